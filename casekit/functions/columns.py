@@ -120,11 +120,13 @@ def risk_level(p: str | Column) -> Column:
             .otherwise(F.lit("High")))
 
 
-def fmt_fixed(c: str | Column, digits: int) -> Column:
-    """Python ``f'{x:.Nf}'`` for values already rounded half-even at N digits.
+def fmt_fixed(c: str | Column, digits: int, sign: bool = False) -> Column:
+    """Python ``f'{x:.Nf}'`` (``:+.Nf`` with ``sign``); null stays null.
 
-    ``format_string`` rounds half-up; rounding with the NumPy rule first makes
-    the text agree with Python's formatting on every value that is not
-    itself a binary tie.
+    ``format_string`` rounds half-up and prints null as "null"; rounding
+    with the NumPy rule first makes the text agree with Python's formatting
+    on every value that is not itself a binary tie.
     """
-    return F.format_string(f"%.{digits}f", rint_round(c, digits))
+    c = col_(c)
+    spec = f"%{'+' if sign else ''}.{digits}f"
+    return F.when(c.isNotNull(), F.format_string(spec, rint_round(c, digits)))

@@ -78,3 +78,7 @@ def q_age_groups(spark, sf_dir):
     f"SELECT * FROM cases WHERE age >= {O.D(30)} AND age <= {O.D(75)}"))
 def q_cohort_filter(spark, sf_dir):
     return P.cohort_filter(cases(spark, sf_dir), 30, 75)
+
+
+# registrations by area (imported for their side effect on QUERIES / ORACLE)
+from casekit.plans import q_cohort  # noqa: E402,F401
