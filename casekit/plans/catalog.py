@@ -83,3 +83,4 @@ def q_cohort_filter(spark, sf_dir):
 # registrations by area (imported for their side effect on QUERIES / ORACLE)
 from casekit.plans import q_cohort  # noqa: E402,F401
 from casekit.plans import q_scoring  # noqa: E402,F401
+from casekit.plans import q_models  # noqa: E402,F401
