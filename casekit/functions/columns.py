@@ -56,10 +56,12 @@ def risk_score(age: str | Column = "age", drug_count: str | Column = "drug_count
                unique_drug_count: str | Column = "unique_drug_count",
                reaction_count: str | Column = "reaction_count",
                polypharmacy: str | Column = "polypharmacy",
-               drug_repeat_flag: str | Column = "drug_repeat_flag") -> Column:
+               drug_repeat_flag: str | Column = "drug_repeat_flag", rounding: str = "numpy") -> Column:
     """Composite risk score 0..100, two decimals (O-9).
 
     Summed in the reference's order so the double result is bit-identical.
+    ``rounding``: "numpy" for the case table (pandas ``.round``), "python"
+    for scores of hand-entered / uploaded cases (scalar ``round``).
     """
     cols = {"age": age, "drug_count": drug_count, "unique_drug_count": unique_drug_count,
             "reaction_count": reaction_count}
@@ -69,7 +71,8 @@ def risk_score(age: str | Column = "age", drug_count: str | Column = "drug_count
         total = term if total is None else total + term
     flags = (col_(polypharmacy).cast("int") * F.lit(C.POLYPHARMACY_POINTS)
              + col_(drug_repeat_flag).cast("int") * F.lit(C.REPEAT_POINTS))
-    return rint_round(total + flags.cast("double"), 2)
+    raw = total + flags.cast("double")
+    return py_round(raw, 2) if rounding == "python" else rint_round(raw, 2)
 
 
 def age_group(age: str | Column = "age") -> Column:
@@ -120,13 +123,47 @@ def risk_level(p: str | Column) -> Column:
             .otherwise(F.lit("High")))
 
 
+_SPLIT = 134217729.0  # 2^27 + 1 (Veltkamp split of a double into two 26-bit halves)
+
+
+def py_round(c: str | Column, digits: int) -> Column:
+    """Python ``round(x, d)``: the double's exact decimal value, ties to even.
+
+    ``p = x * 10^d`` is correctly rounded; its exact error comes from
+    Dekker's product (Veltkamp split, all steps exact in double), so an
+    apparent tie ``p = k + 0.5`` is resolved by the sign of that error.
+    NumPy's rule (``rint_round``) differs exactly on those ties (2.675).
+    """
+    if digits == 0:
+        return F.rint(col_(c).cast("double"))
+    scale = F.lit(float(10 ** digits))
+
+    def body(x: Column) -> Column:
+        p = x * scale
+        t = x * F.lit(_SPLIT)
+        xh = t - (t - x)
+        xl = x - xh
+        err = (xh * scale - p) + xl * scale  # exact value of x*10^d - p
+        tie = (p - F.floor(p)) == F.lit(0.5)
+        r = F.when(tie & (err > 0), F.ceil(p).cast("double")).when(tie & (err < 0), F.floor(p).cast("double")) \
+            .otherwise(F.rint(p))
+        return r / scale
+    # bind the input once (a one-element transform acts as a let): the body
+    # refers to it many times and inputs are often large expressions
+    return let(col_(c).cast("double"), body)
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and apply ``fn`` to it (no expression duplication)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def fmt_fixed(c: str | Column, digits: int, sign: bool = False) -> Column:
     """Python ``f'{x:.Nf}'`` (``:+.Nf`` with ``sign``); null stays null.
 
-    ``format_string`` rounds half-up and prints null as "null"; rounding
-    with the NumPy rule first makes the text agree with Python's formatting
-    on every value that is not itself a binary tie.
+    ``format_string`` rounds the shortest decimal form half-up and prints
+    null as "null"; rounding first with Python's exact rule leaves it a
+    value it prints verbatim.
     """
-    c = col_(c)
     spec = f"%{'+' if sign else ''}.{digits}f"
-    return F.when(c.isNotNull(), F.format_string(spec, rint_round(c, digits)))
+    return let(col_(c).cast("double"), lambda v: F.when(v.isNotNull(), F.format_string(spec, py_round(v, digits))))

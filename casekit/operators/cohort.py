@@ -412,7 +412,7 @@ def missing_values(sources: dict[str, DataFrame]) -> DataFrame:
         kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("m")) for c in cols]))
         frames.append(row.select(kv.alias("e")).select(
             F.lit(src).alias("source"), "e.column",
-            X.rint_round(_pct(F.coalesce(F.col("e.m"), F.lit(float("nan")))), 2).alias("missing_pct")))
+            X.py_round(_pct(F.coalesce(F.col("e.m"), F.lit(float("nan")))), 2).alias("missing_pct")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -422,10 +422,11 @@ def missing_values(sources: dict[str, DataFrame]) -> DataFrame:
 def retention(demo: DataFrame, cases: DataFrame) -> DataFrame:
     """Final rows, DEMO rows dropped (never negative), retention % (0 for empty DEMO)."""
     n_demo = demo.select(F.count(F.lit(1))).scalar()
-    return cases.agg(F.count(F.lit(1)).alias("final_rows")).select(
+    # the DEMO count is projected before the rounding (a subquery may not sit in a lambda)
+    return cases.agg(F.count(F.lit(1)).alias("final_rows")).withColumn("_n_demo", n_demo).select(
         "final_rows",
-        F.greatest(n_demo - F.col("final_rows"), F.lit(0)).alias("demo_rows_dropped"),
-        F.when(n_demo > 0, X.rint_round(_pct(F.col("final_rows") / n_demo), 2))
+        F.greatest(F.col("_n_demo") - F.col("final_rows"), F.lit(0)).alias("demo_rows_dropped"),
+        F.when(F.col("_n_demo") > 0, X.py_round(_pct(F.col("final_rows") / F.col("_n_demo")), 2))
          .otherwise(F.lit(0.0)).alias("retention_pct"))
 
 
@@ -512,7 +513,7 @@ def upload_quality(processed: DataFrame) -> DataFrame:
                              for c in processed.columns]))
     return row.select("_n", kv.alias("e")).select(
         F.lit("Uploaded CSV").alias("source"), "e.column",
-        X.rint_round(_pct(F.col("e.m")), 2).alias("missing_pct"),
+        X.py_round(_pct(F.col("e.m")), 2).alias("missing_pct"),
         F.col("_n").alias("final_rows"), F.lit(0).alias("demo_rows_dropped"),
         F.lit(100.0).alias("retention_pct"))
 

@@ -47,9 +47,9 @@ def confidence(p: str | Column, t: str | Column | float) -> Column:
     score = F.least(F.lit(1.0), F.lit(0.55) * F.least(dist / F.lit(0.35), F.lit(1.0)) + F.lit(0.45) * cert)
     level = (F.when(score >= 0.70, F.lit("High")).when(score >= 0.40, F.lit("Moderate"))
              .otherwise(F.lit("Low")))
-    return F.struct(level.alias("level"), X.rint_round(score * F.lit(100.0), 1).alias("score"),
-                    X.rint_round(dist, 3).alias("threshold_distance"),
-                    X.rint_round(cert, 3).alias("certainty"))
+    return F.struct(level.alias("level"), X.py_round(score * F.lit(100.0), 1).alias("score"),
+                    X.py_round(dist, 3).alias("threshold_distance"),
+                    X.py_round(cert, 3).alias("certainty"))
 
 
 # ---------------------------------------------------------------- O-72
@@ -164,8 +164,8 @@ def _driver_struct(ord_: int, feature: str, value: Column, weight: Column, score
     return F.struct(F.lit(ord_).alias("ord"), F.lit(feature).alias("feature"),
                     F.lit(C.FEATURE_LABELS.get(feature, feature)).alias("label"),
                     value.cast("double").alias("value"),
-                    X.rint_round(weight, 4).alias("importance"),
-                    X.rint_round(feature_intensity(feature, value), 3).alias("feature_intensity"),
+                    X.py_round(weight, 4).alias("importance"),
+                    X.py_round(feature_intensity(feature, value), 3).alias("feature_intensity"),
                     score.alias("score"), driver_message(feature, value).alias("message"))
 
 
@@ -221,7 +221,7 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     total = F.aggregate(F.col("_drv"), F.lit(0.0), lambda acc, x: acc + F.greatest(x["score"], F.lit(0.0)))
     out = out.withColumn("_tot", total)
     with_pct = F.transform(F.col("_drv"), lambda x: x.withField(
-        "impact_pct", F.when(F.col("_tot") > 0, X.rint_round(
+        "impact_pct", F.when(F.col("_tot") > 0, X.py_round(
             (F.greatest(x["score"], F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1)).otherwise(F.lit(0.0))))
     with_msg = F.transform(with_pct, lambda x: x.withField(
         "quantified_message", F.concat(x["message"], F.lit(" ("), X.fmt_fixed(x["impact_pct"], 1),
@@ -403,9 +403,9 @@ def risk_segmentation(pred: DataFrame, prob_col: str = "predicted_probability")
     has = F.col("patients").isNotNull()
     return j.select(
         "seg_ord", "risk_segment", F.coalesce(F.col("patients"), F.lit(0)).alias("patients"),
-        F.when(has, X.rint_round((F.col("patients") / F.col("_n_all")) * F.lit(100.0), 2)).otherwise(F.lit(0.0))
+        F.when(has, X.py_round((F.col("patients") / F.col("_n_all")) * F.lit(100.0), 2)).otherwise(F.lit(0.0))
          .alias("share_pct"),
         F.when(has, X.rint_round(F.col("_p") * F.lit(100.0), 2)).otherwise(F.lit(0.0)).alias("avg_probability_pct"),
         F.when(has, F.array_join(F.transform(top3, lambda x: x["name"]), ", "))
          .otherwise(F.lit("No patients in segment")).alias("key_drivers"),
-        *[X.rint_round(F.col(f"_m_{c}"), 2).alias(f"avg_{c}") for c in feats])
+        *[X.py_round(F.col(f"_m_{c}"), 2).alias(f"avg_{c}") for c in feats])

@@ -23,6 +23,28 @@ def sql_round_even(expr: str, digits: int) -> str:
     return f"(round_even(({expr}) * {scale}, 0) / {scale})"
 
 
+def sql_py_round(expr: str, digits: int) -> str:
+    """SQL twin of ``columns.py_round`` (same exact product error, same tie rule)."""
+    if digits == 0:
+        return f"round_even(CAST({expr} AS DOUBLE), 0)"
+    sc = D(float(10 ** digits))
+    x = "v"
+    p = f"({x} * {sc})"
+    t = f"({x} * {D(134217729.0)})"
+    xh = f"({t} - ({t} - {x}))"
+    xl = f"({x} - {xh})"
+    err = f"((({xh} * {sc}) - {p}) + ({xl} * {sc}))"
+    tie = f"({p} - floor({p}) = {D(0.5)})"
+    r = (f"CASE WHEN {tie} AND {err} > 0 THEN CAST(ceil({p}) AS DOUBLE) "
+         f"WHEN {tie} AND {err} < 0 THEN CAST(floor({p}) AS DOUBLE) ELSE round_even({p}, 0) END")
+    # the input is bound once through a one-element list lambda
+    return f"list_transform([CAST({expr} AS DOUBLE)], lambda v: ({r}) / {sc})[1]"
+
+
+def sql_fmt(expr: str, digits: int, sign: bool = False) -> str:
+    return f"printf('%{'+' if sign else ''}.{digits}f', {sql_py_round(expr, digits)})"
+
+
 def sql_age_group(age: str = "age") -> str:
     b, labels = C.AGE_BINS, C.AGE_LABELS
     parts = [f"WHEN {age} >= {D(b[0])} AND {age} <= {D(b[1])} THEN '{labels[0]}'"]
@@ -44,7 +66,7 @@ def sql_clip(expr: str, lo: float, hi: float) -> str:
 
 
 def sql_risk_score(age="age", dc="drug_count", udc="unique_drug_count", rc="reaction_count",
-                   poly="polypharmacy", rep="drug_repeat_flag") -> str:
+                   poly="polypharmacy", rep="drug_repeat_flag", rounding: str = "numpy") -> str:
     names = {"age": age, "drug_count": dc, "unique_drug_count": udc, "reaction_count": rc}
     total = None
     for name, upper, weight in C.RISK_SCORE_TERMS:
@@ -52,6 +74,8 @@ def sql_risk_score(age="age", dc="drug_count", udc="unique_drug_count", rc="reac
         total = term if total is None else f"({total} + {term})"
     flags = (f"CAST(CAST({poly} AS INTEGER) * {C.POLYPHARMACY_POINTS} "
              f"+ CAST({rep} AS INTEGER) * {C.REPEAT_POINTS} AS DOUBLE)")
+    if rounding == "python":
+        return sql_py_round(f"{total} + {flags}", 2)
     return sql_round_even(f"{total} + {flags}", 2)
 
 

@@ -224,7 +224,7 @@ register("correlation_matrix", sql_correlation())(
 
 # ---------------------------------------------------------------- O-31
 def _fmt(x: str, digits: int = 1, sign: bool = False) -> str:
-    return f"printf('%{'+' if sign else ''}.{digits}f', {RE(x, digits)})"
+    return O.sql_fmt(x, digits, sign)
 
 
 def _phrase(t: str, f: str) -> str:
@@ -288,13 +288,13 @@ register("source_rows", O.with_ctes("\nUNION ALL\n".join(
     lambda spark, sf: K.source_rows(FX.sources(spark, sf)))
 register("missing_values", O.with_ctes("\nUNION ALL\n".join(
     f"SELECT '{s.upper()}' AS source, '{c}' AS \"column\", "
-    f"{RE(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct FROM {s}"
+    f"{O.sql_py_round(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct FROM {s}"
     for s in _SRC for c in C.QUALITY_MONITORED[s.upper()])))(
     lambda spark, sf: K.missing_values(FX.sources(spark, sf)))
 register("retention", O.with_ctes(f"""
 SELECT count(*) AS final_rows, greatest((SELECT count(*) FROM demo) - count(*), 0) AS demo_rows_dropped,
        CASE WHEN (SELECT count(*) FROM demo) > 0
-            THEN {RE(f'(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM demo)) * {H}', 2)}
+            THEN {O.sql_py_round(f'(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM demo)) * {H}', 2)}
             ELSE {D(0)} END AS retention_pct
 FROM cases"""))(lambda spark, sf: K.retention(FX.demo_source(spark, sf), cases(spark, sf)))
 
@@ -355,14 +355,14 @@ def q_upload_quality(spark, sf):
 _UQ_COLS = C.CASE_COLUMNS
 register("upload_quality", O.with_ctes("\nUNION ALL\n".join(
     f"SELECT 'Uploaded CSV' AS source, '{c}' AS \"column\", "
-    f"{RE(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct, "
+    f"{O.sql_py_round(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct, "
     f"count(*) AS final_rows, 0 AS demo_rows_dropped, {D(100.0)} AS retention_pct FROM cases"
     for c in _UQ_COLS)))(q_upload_quality)
 
 register("missing_view", O.with_ctes(
     "SELECT * FROM (" + "\nUNION ALL\n".join(
         f"SELECT '{s.upper()}' AS source, '{c}' AS \"column\", "
-        f"{RE(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct FROM {s}"
+        f"{O.sql_py_round(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct FROM {s}"
         for s in _SRC for c in C.QUALITY_MONITORED[s.upper()])
     + ") t ORDER BY missing_pct DESC, source, \"column\" LIMIT 20"))(
     lambda spark, sf: K.missing_view(K.missing_values(FX.sources(spark, sf))))

@@ -19,7 +19,7 @@ from casekit.operators import scoring as S
 from casekit.plans import oracle as O
 from casekit.plans.catalog import cases, register
 
-D, RE = O.D, O.sql_round_even
+D, RE, PR = O.D, O.sql_round_even, O.sql_py_round
 H = D(100.0)
 
 # proxy scorers: (name, Spark expression, SQL expression)
@@ -165,7 +165,7 @@ SELECT model, {_CAL_BIN} AS bin, {RE('avg(p)', 6)} AS mean_predicted, avg(CAST(y
 
 
 def _f3(x):
-    return f"printf('%.3f', {RE(x, 3)})"
+    return O.sql_fmt(x, 3)
 
 
 register("model_digest", O.with_ctes(f"""
@@ -227,7 +227,7 @@ _CSCORE = f"least({D(1)}, {D(0.55)} * least({_DIST_SQL} / {D(0.35)}, {D(1)}) + {
 register("confidence", O.with_ctes(f"""
 SELECT primaryid, {_P} AS probability,
        CASE WHEN {_CSCORE} >= {D(0.7)} THEN 'High' WHEN {_CSCORE} >= {D(0.4)} THEN 'Moderate' ELSE 'Low' END AS level,
-       {RE(f'{_CSCORE} * {H}', 1)} AS score, {RE(_DIST_SQL, 3)} AS threshold_distance, {RE(_CERT, 3)} AS certainty
+       {PR(f'{_CSCORE} * {H}', 1)} AS score, {PR(_DIST_SQL, 3)} AS threshold_distance, {PR(_CERT, 3)} AS certainty
 FROM cases"""))(
     lambda spark, sf: _proxy_cases(spark, sf).select(
         "primaryid", "probability", S.confidence("probability", _T).alias("c")).select(
@@ -268,7 +268,7 @@ SELECT primaryid,
        '**AI Insight:** Based on the patient''s profile, the system detects **' || lower({_LEVEL}) || ' risk** driven by '
          || {_BECAUSE} || '. Closer monitoring may be required if risk factors persist.' AS insight,
        '**AI Decision Summary**  ' || chr(10) || 'Risk level: **' || {_LEVEL} || '** | Predicted label: **' || {_LABEL}
-         || '** | Risk confidence: **' || printf('%.2f', {RE(f'{_P} * {H}', 2)}) || '%**  ' || chr(10)
+         || '** | Risk confidence: **' || {O.sql_fmt(f'{_P} * {H}', 2)} || '%**  ' || chr(10)
          || 'Key drivers: **' || CASE WHEN {_INTERP_DRIVERS} = '' THEN 'No major risk drivers' ELSE {_INTERP_DRIVERS} END
          || '**  ' || chr(10) || {_INTERP_SENTENCE} AS decision
 FROM cases"""))(lambda spark, sf: _ai_texts(spark, sf))
@@ -319,7 +319,7 @@ def _sql_intensity(f: str, v: str) -> str:
 
 
 def _sql_message(f: str, v: str) -> str:
-    n0 = f"printf('%.0f', {RE(v, 0)})"
+    n0 = O.sql_fmt(v, 0)
     texts = {
         "drug_count": f"'drug count is high (' || {n0} || ' drugs)'",
         "unique_drug_count": f"'unique medication burden is high (' || {n0} || ' unique drugs)'",
@@ -327,7 +327,7 @@ def _sql_message(f: str, v: str) -> str:
         "polypharmacy": "'polypharmacy is detected'",
         "elderly": "'the patient is in an elderly age band'",
         "drug_repeat_flag": "'the case contains repeated drug entries'",
-        "risk_score": f"'composite risk score is elevated (' || printf('%.1f', {RE(v, 1)}) || ')'",
+        "risk_score": f"'composite risk score is elevated (' || {O.sql_fmt(v, 1)} || ')'",
         "age": f"'age is elevated (' || {n0} || ' years)'",
     }
     return texts.get(f, f"'{C.FEATURE_LABELS.get(f, f)} is ' || CAST({v} AS VARCHAR)")
@@ -372,10 +372,10 @@ FROM (SELECT * FROM cand UNION ALL SELECT * FROM fb) a""",
     "topd": f"SELECT * FROM rk WHERE rank <= {C.EXPLAIN_TOP_N}",
     "tt": f"SELECT primaryid, sum(greatest(score, {D(0)})) AS tot FROM topd GROUP BY primaryid",
     "ex": f"""
-SELECT t.*, CASE WHEN tt.tot > 0 THEN {RE(f'(greatest(t.score, {D(0)}) / tt.tot) * {H}', 1)} ELSE {D(0)} END AS impact_pct
+SELECT t.*, CASE WHEN tt.tot > 0 THEN {PR(f'(greatest(t.score, {D(0)}) / tt.tot) * {H}', 1)} ELSE {D(0)} END AS impact_pct
 FROM topd t JOIN tt USING (primaryid)""",
-    "exq": """
-SELECT *, message || ' (' || printf('%.1f', impact_pct) || '% of explanation weight)' AS quantified_message FROM ex""",
+    "exq": f"""
+SELECT *, message || ' (' || {O.sql_fmt('impact_pct', 1)} || '% of explanation weight)' AS quantified_message FROM ex""",
 }
 
 
@@ -385,8 +385,8 @@ def _explained(spark, sf):
 
 
 register("explain_cases", O.with_ctes(f"""
-SELECT primaryid, CAST(rank AS INTEGER) AS rank, feature, label, value, {RE('wt', 4)} AS importance,
-       {RE('intensity', 3)} AS feature_intensity, {RE('score', 6)} AS score, message, impact_pct, quantified_message
+SELECT primaryid, CAST(rank AS INTEGER) AS rank, feature, label, value, {PR('wt', 4)} AS importance,
+       {PR('intensity', 3)} AS feature_intensity, {RE('score', 6)} AS score, message, impact_pct, quantified_message
 FROM exq""", EXPLAIN_CTES))(
     lambda spark, sf: r6(S.explain_long(_explained(spark, sf)), ["score"]))
 
@@ -417,7 +417,7 @@ SELECT primaryid, age, CAST(CASE WHEN sex = 'F' THEN 0 ELSE 1 END AS INTEGER) AS
        CAST(CASE WHEN drug_count >= {D(5)} THEN 1 ELSE 0 END AS INTEGER) AS polypharmacy,
        CAST(CASE WHEN age >= {D(65)} THEN 1 ELSE 0 END AS INTEGER) AS elderly,
        {O.sql_risk_score('age', 'drug_count', 'drug_count', 'reaction_count',
-                         f'CASE WHEN drug_count >= {D(5)} THEN 1 ELSE 0 END', '0')} AS risk_score
+                         f'CASE WHEN drug_count >= {D(5)} THEN 1 ELSE 0 END', '0', rounding='python')} AS risk_score
 FROM (SELECT primaryid, {a} AS age, upper(trim(sex)) AS sex, {dc} AS drug_count, {rc} AS reaction_count
       FROM {src}) u
 WHERE sex IN ('F', 'M') AND age > 0 AND age < 120 AND drug_count >= 0 AND reaction_count >= 0
@@ -436,7 +436,7 @@ SELECT c.primaryid, {_P} AS probability, {_LEVEL} AS risk_level, {_LABEL} AS pre
        CASE WHEN age >= {D(65)} THEN 'Elderly' WHEN age >= {D(40)} THEN 'Adult' ELSE 'Young' END AS profile_age_group,
        {_INTERP_SENTENCE} AS interpretation, {_sql_action(0, _LEVEL)} AS action,
        CASE WHEN {_CSCORE} >= {D(0.7)} THEN 'High' WHEN {_CSCORE} >= {D(0.4)} THEN 'Moderate' ELSE 'Low' END AS confidence_level,
-       {RE(f'{_CSCORE} * {H}', 1)} AS confidence_score, s.summary AS explanation
+       {PR(f'{_CSCORE} * {H}', 1)} AS confidence_score, s.summary AS explanation
 FROM cases c JOIN (SELECT c.primaryid,
        CASE WHEN coalesce(sm.n, 0) > 0 THEN 'This case is ' || lower({_LEVEL}) || ' risk because ' || sm.qm || '.'
             ELSE 'This case is ' || lower({_LEVEL}) || ' risk with no strong rule-based risk flags from the available features.'
@@ -507,10 +507,10 @@ FROM po WHERE NOT prediction_match ORDER BY primaryid LIMIT 50""", {**EVAL_CTES,
 _SEG_FEATS = C.DRIVER_FEATURES
 _SEG = f"""
 SELECT d.seg_ord, d.risk_segment, coalesce(g.patients, 0) AS patients,
-       CASE WHEN g.patients IS NOT NULL THEN {RE(f'(CAST(g.patients AS DOUBLE) / (SELECT count(*) FROM po)) * {H}', 2)} ELSE {D(0)} END AS share_pct,
+       CASE WHEN g.patients IS NOT NULL THEN {PR(f'(CAST(g.patients AS DOUBLE) / (SELECT count(*) FROM po)) * {H}', 2)} ELSE {D(0)} END AS share_pct,
        CASE WHEN g.patients IS NOT NULL THEN {RE(f'g._p * {H}', 2)} ELSE {D(0)} END AS avg_probability_pct,
        CASE WHEN g.patients IS NOT NULL THEN kd.key_drivers ELSE 'No patients in segment' END AS key_drivers,
-       {', '.join(f"{RE(f'g._m_{c}', 2)} AS avg_{c}" for c in _SEG_FEATS)}
+       {', '.join(f"{PR(f'g._m_{c}', 2)} AS avg_{c}" for c in _SEG_FEATS)}
 FROM (VALUES (0, 'Low'), (1, 'Medium'), (2, 'High')) d(seg_ord, risk_segment)
 LEFT JOIN (SELECT predicted_risk_level AS risk_segment, count(*) AS patients, avg(predicted_probability) AS _p,
                   {', '.join(f'avg(CAST({c} AS DOUBLE)) AS _m_{c}' for c in _SEG_FEATS)}
