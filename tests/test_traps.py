@@ -163,16 +163,21 @@ def test_validation_messages(spark):
 
 
 def test_prepare_external_defaults(spark):
-    """O-15: defaults for missing inputs; supplied flags trusted; bad sex rows dropped."""
+    """O-15: defaults for missing inputs; supplied flags trusted (an empty one drops
+    the row in the required-feature null drop); bad sex rows dropped."""
     up = spark.createDataFrame([("40", "f", "6", None), ("50", "Q", "2", None), ("70", "M", "3", "1")],
                                "age string, sex string, drug_count string, polypharmacy string")
     out = {r["age"]: r for r in P.prepare_external(up).collect()}
-    assert sorted(out) == [40.0, 70.0]
-    r40, r70 = out[40.0], out[70.0]
-    assert r40["unique_drug_count"] == 6.0 and r40["drug_repeat_flag"] == 0 and r40["reaction_count"] == 0.0
-    assert r40["polypharmacy"] is None or r40["polypharmacy"] in (0, 1)
+    assert sorted(out) == [70.0]
+    r70 = out[70.0]
     assert r70["polypharmacy"] == 1 and r70["elderly"] == 1
     assert r70["risk_score"] == round((70 / 100) * 25 + (3 / 20) * 30 + (3 / 20) * 15 + 0 + 0 + 0, 2)
+    up2 = spark.createDataFrame([("40", "f", "6"), ("50", "Q", "2")], "age string, sex string, drug_count string")
+    rows = P.prepare_external(up2).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r["unique_drug_count"], r["drug_repeat_flag"], r["reaction_count"], r["polypharmacy"],
+            r["sex_code"]) == (6.0, 0, 0.0, 1, 0)
 
 
 def test_prepare_labelled_severity_and_ids(spark):
