@@ -31,6 +31,9 @@ def r6(df, cols):
     return df.withColumns({c: X.rint_round(c, 6) for c in cols})
 
 
+_MEMO: dict = {}
+
+
 def _mf(spark, sf):
     return S.model_frame(cases(spark, sf))
 
@@ -39,8 +42,16 @@ def _split(spark, sf):
     return S.split_assign(_mf(spark, sf))
 
 
+def _split_cut(spark, sf):
+    """The split, checkpointed once per session and shared by the keys that only read it."""
+    key = (id(spark), sf, "split")
+    if key not in _MEMO:
+        _MEMO[key] = TR.prepare_split(cases(spark, sf))
+    return _MEMO[key]
+
+
 def _train(spark, sf):
-    return _split(spark, sf).filter(F.col("split") == "train")
+    return _split_cut(spark, sf).filter(F.col("split") == "train")
 
 
 MODEL_CTES = {
@@ -73,7 +84,7 @@ FROM train GROUP BY serious""", MODEL_CTES))(lambda spark, sf: S.class_weights(_
 
 
 def q_standardize(spark, sf):
-    sp = _split(spark, sf)
+    sp = _split_cut(spark, sf)
     sc = M.Standardizer.fit(sp.filter(F.col("split") == "train"))
     return r6(sp.select("primaryid", "split", *sc.scaled_columns()), [f"z_{c}" for c in C.FEATURE_COLS])
 
@@ -136,15 +147,13 @@ register("stats_pvalues")(lambda spark, sf: T.stats_tests(_mf(spark, sf)))
 
 
 # ---------------------------------------------------------------- model fits (rows-only checks)
-_MEMO: dict = {}
 
 
 def _trained(spark, sf):
     """Fast-settings training shared by the model keys of one session (fit once per sf)."""
     key = (id(spark), sf)
     if key not in _MEMO:
-        split = TR.prepare_split(cases(spark, sf))
-        _MEMO[key] = TR.train_candidates(split, M.ModelSettings.fast())
+        _MEMO[key] = TR.train_candidates(_split_cut(spark, sf), M.ModelSettings.fast())
     return _MEMO[key]
 
 
@@ -164,7 +173,7 @@ register("permutation_importance")(
 def _clusters(spark, sf):
     key = (id(spark), sf, "clusters")
     if key not in _MEMO:
-        sp = _split(spark, sf)
+        sp = _split_cut(spark, sf)
         _MEMO[key] = TR.clustering(sp.drop("split"), sp.filter(F.col("split") == "train"), restarts=3)
     return _MEMO[key]
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +158,8 @@ def importance_tables(result: TrainingResult, permutation: bool = True) -> dict:
 def clustering(ml: DataFrame, train: DataFrame, restarts: int = 10) -> dict:
     """O-43 / O-59..O-61: k-means on the fully scaled set, PCA fitted on train."""
     scaler_all = M.Standardizer.fit(ml)
-    all_s = scaler_all.transform(ml)
+    # the restarts iterate over the same scaled input: keep it (spills to disk when large)
+    all_s = scaler_all.transform(ml).persist(StorageLevel.MEMORY_AND_DISK)
     km = M.kmeans_best(all_s, restarts=restarts)
     clustered = km.transform(all_s)
     pca_model, pca_table = M.pca_fit(M.Standardizer.fit(train).transform(train))
