@@ -126,7 +126,7 @@ def risk_level(p: str | Column) -> Column:
 _SPLIT = 134217729.0  # 2^27 + 1 (Veltkamp split of a double into two 26-bit halves)
 
 
-def py_round(c: str | Column, digits: int) -> Column:
+def py_round(c: str | Column, digits: int, bind: bool = True) -> Column:
     """Python ``round(x, d)``: the double's exact decimal value, ties to even.
 
     ``p = x * 10^d`` is correctly rounded; its exact error comes from
@@ -149,8 +149,10 @@ def py_round(c: str | Column, digits: int) -> Column:
             .otherwise(F.rint(p))
         return r / scale
     # bind the input once (a one-element transform acts as a let): the body
-    # refers to it many times and inputs are often large expressions
-    return let(col_(c).cast("double"), body)
+    # refers to it many times and inputs are often large expressions; a cheap
+    # input (a column or lambda variable) is used directly (bind=False)
+    x = col_(c).cast("double")
+    return let(x, body) if bind else body(x)
 
 
 def let(value: Column, fn) -> Column:
@@ -158,7 +160,7 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def fmt_fixed(c: str | Column, digits: int, sign: bool = False) -> Column:
+def fmt_fixed(c: str | Column, digits: int, sign: bool = False, bind: bool = True) -> Column:
     """Python ``f'{x:.Nf}'`` (``:+.Nf`` with ``sign``); null stays null.
 
     ``format_string`` rounds the shortest decimal form half-up and prints
@@ -166,4 +168,8 @@ def fmt_fixed(c: str | Column, digits: int, sign: bool = False) -> Column:
     value it prints verbatim.
     """
     spec = f"%{'+' if sign else ''}.{digits}f"
-    return let(col_(c).cast("double"), lambda v: F.when(v.isNotNull(), F.format_string(spec, py_round(v, digits))))
+
+    def body(v: Column) -> Column:
+        return F.when(v.isNotNull(), F.format_string(spec, py_round(v, digits, bind=False)))
+    x = col_(c).cast("double")
+    return let(x, body) if bind else body(x)

@@ -136,7 +136,7 @@ def feature_intensity(feature: str, v: Column) -> Column:
 
 def driver_message(feature: str, v: Column) -> Column:
     v = v.cast("double")
-    n0 = X.fmt_fixed(v, 0)
+    n0 = X.fmt_fixed(v, 0, bind=False)
     texts = {
         "drug_count": F.concat(F.lit("drug count is high ("), n0, F.lit(" drugs)")),
         "unique_drug_count": F.concat(F.lit("unique medication burden is high ("), n0, F.lit(" unique drugs)")),
@@ -144,7 +144,7 @@ def driver_message(feature: str, v: Column) -> Column:
         "polypharmacy": F.lit("polypharmacy is detected"),
         "elderly": F.lit("the patient is in an elderly age band"),
         "drug_repeat_flag": F.lit("the case contains repeated drug entries"),
-        "risk_score": F.concat(F.lit("composite risk score is elevated ("), X.fmt_fixed(v, 1), F.lit(")")),
+        "risk_score": F.concat(F.lit("composite risk score is elevated ("), X.fmt_fixed(v, 1, bind=False), F.lit(")")),
         "age": F.concat(F.lit("age is elevated ("), n0, F.lit(" years)")),
     }
     return texts.get(feature, F.concat(F.lit(f"{C.FEATURE_LABELS.get(feature, feature)} is "), v.cast("string")))
@@ -164,8 +164,8 @@ def _driver_struct(ord_: int, feature: str, value: Column, weight: Column, score
     return F.struct(F.lit(ord_).alias("ord"), F.lit(feature).alias("feature"),
                     F.lit(C.FEATURE_LABELS.get(feature, feature)).alias("label"),
                     value.cast("double").alias("value"),
-                    X.py_round(weight, 4).alias("importance"),
-                    X.py_round(feature_intensity(feature, value), 3).alias("feature_intensity"),
+                    X.py_round(weight, 4, bind=False).alias("importance"),
+                    X.py_round(feature_intensity(feature, value), 3, bind=False).alias("feature_intensity"),
                     score.alias("score"), driver_message(feature, value).alias("message"))
 
 
@@ -222,9 +222,9 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     out = out.withColumn("_tot", total)
     with_pct = F.transform(F.col("_drv"), lambda x: x.withField(
         "impact_pct", F.when(F.col("_tot") > 0, X.py_round(
-            (F.greatest(x["score"], F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1)).otherwise(F.lit(0.0))))
+            (F.greatest(x["score"], F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False)).otherwise(F.lit(0.0))))
     with_msg = F.transform(with_pct, lambda x: x.withField(
-        "quantified_message", F.concat(x["message"], F.lit(" ("), X.fmt_fixed(x["impact_pct"], 1),
+        "quantified_message", F.concat(x["message"], F.lit(" ("), X.fmt_fixed(x["impact_pct"], 1, bind=False),
                                        F.lit("% of explanation weight)"))).dropFields("ord"))
     out = out.withColumn("_drv", with_msg)
     risk = F.lower(F.col(risk_col))
@@ -238,9 +238,16 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
 
 
 def explain_long(explained: DataFrame, key: str = "primaryid") -> DataFrame:
-    """One row per (case, driver rank): the unnested explanation."""
-    return (explained.select(key, F.posexplode("explanation.drivers").alias("rank", "d"))
-            .select(key, (F.col("rank") + 1).alias("rank"), "d.*"))
+    """One row per (case, driver rank): the unnested explanation.
+
+    The rank is stamped into each struct and the array is expanded with
+    ``inline`` (struct fields become columns directly), so no per-field
+    extraction sits above the generator.
+    """
+    ranked = F.transform("explanation.drivers", lambda x, i: F.struct((i + 1).alias("rank"), *[
+        x[f].alias(f) for f in ("feature", "label", "value", "importance", "feature_intensity", "score",
+                                "message", "impact_pct", "quantified_message")]))
+    return explained.select(key, F.inline(ranked))
 
 
 # ---------------------------------------------------------------- scorers

@@ -121,3 +121,4 @@ def q_cohort_filter(spark, sf_dir):
 from casekit.plans import q_cohort  # noqa: E402,F401
 from casekit.plans import q_scoring  # noqa: E402,F401
 from casekit.plans import q_models  # noqa: E402,F401
+from casekit.plans import q_files  # noqa: E402,F401
