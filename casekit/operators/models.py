@@ -195,15 +195,18 @@ def pca_project(model, df_scaled: DataFrame, keep: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- O-59 / O-60 / O-61
 def kmeans_best(df_scaled: DataFrame, k: int = C.N_CLUSTERS, restarts: int = 10, seed: int = C.RANDOM_STATE,
-                features: str = "features"):
-    """Best of ``restarts`` k-means fits (lowest training cost)."""
-    best = None
-    for i in range(restarts):
+                features: str = "features", parallelism: int = 4):
+    """Best of ``restarts`` k-means fits (lowest training cost; ties -> lowest seed).
+
+    Restarts are independent and run concurrently (each is a chain of small jobs)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(i: int):
         m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(df_scaled)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best[0]
+        return m.summary.trainingCost, i, m
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    return min(fits, key=lambda t: (t[0], t[1]))[2]
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ sweeps and one-row summaries only):
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -62,7 +63,7 @@ def prepare_split(cases: DataFrame, max_rows: int | None = None, seed: int = C.R
 
 
 def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None, balanced: bool = True,
-                     names: list[str] | None = None) -> TrainingResult:
+                     names: list[str] | None = None, parallelism: int = 4) -> TrainingResult:
     """Stages 3-4 for the chosen candidates (default: all four)."""
     settings = settings or M.ModelSettings()
     train = split.filter(F.col("split") == "train")
@@ -81,8 +82,8 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
     est = M.build_estimators(settings, balanced=balanced, n_train=n_train)
     est_refit = M.build_estimators(settings, balanced=balanced, n_train=n_trainval)
     names = names or list(est)
-    sweeps, thresholds, scores, fitted = [], [], [], {}
-    for name in names:
+
+    def run_one(name: str):
         model = est[name].fit(train_s)
         val_scores = M.positive_probability(model, val_s, ["serious"]).select(
             F.lit(name).alias("model"), F.col("serious").alias("y"), "p")
@@ -90,11 +91,19 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
         best = E.best_threshold(sweep).first()
         thr = float(best["threshold"]) if best is not None else 0.5
         refit = est_refit[name].fit(trainval_s)
+        scored = M.positive_probability(refit, test_s, ["primaryid", "serious"]).select(
+            F.lit(name).alias("model"), "primaryid", F.col("serious").alias("y"), "p")
+        return name, thr, sweep, refit, scored
+
+    # candidates are independent: their (small, iterative) jobs run concurrently
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(names)))) as pool:
+        done = list(pool.map(run_one, names))
+    sweeps, thresholds, scores, fitted = [], [], [], {}
+    for name, thr, sweep, refit, scored in done:
         fitted[name] = refit
         thresholds.append((name, thr))
         sweeps.append(sweep)
-        scores.append(M.positive_probability(refit, test_s, ["primaryid", "serious"]).select(
-            F.lit(name).alias("model"), "primaryid", F.col("serious").alias("y"), "p"))
+        scores.append(scored)
     spark = split.sparkSession
     thr_df = spark.createDataFrame(thresholds, "model string, threshold double")
     test_scores = scores[0]
@@ -121,12 +130,16 @@ def imbalance_comparison(result: TrainingResult) -> DataFrame:
     settings = result.extras["settings"]
     tv, test_s = result.extras["trainval_scaled"], result.extras["test_scaled"]
     plain = M.build_estimators(settings, balanced=False, n_train=tv.count())
+    names = [n for n, _ in result.thresholds.collect() if n != "ANN (MLPClassifier)" and n in result.models]
+
+    def unweighted(name: str):
+        return name, plain[name].fit(tv)
+
+    with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
+        bases = dict(pool.map(unweighted, names))
     frames = []
-    for name, thr in result.thresholds.collect():
-        if name == "ANN (MLPClassifier)" or name not in result.models:
-            continue
-        base = plain[name].fit(tv)
-        sc = M.positive_probability(base, test_s, ["primaryid", "serious"]).select(
+    for name in names:
+        sc = M.positive_probability(bases[name], test_s, ["primaryid", "serious"]).select(
             F.lit(name).alias("model"), "primaryid", F.col("serious").alias("y"), "p")
         for setting, scored in (("unweighted", sc),
                                 ("class_weight=balanced", result.test_scores.filter(F.col("model") == name))):
