@@ -141,6 +141,88 @@ CASE_COLUMNS = [
 ]
 
 MODEL_NAMES = ["ANN (MLPClassifier)", "Logistic Regression", "Decision Tree", "Random Forest"]
+
+# ---------------------------------------------------------------------------
+# fixed values: texts (must match the reference word for word)
+# Templates use Python format fields; numbers are rendered with Python's rules.
+# ---------------------------------------------------------------------------
+SEVERITY_LABELS = {0: "Non-serious", 1: "Serious"}
+RISK_LEVELS = ["Low", "Medium", "High"]
+CONFIDENCE_LEVELS = ["High", "Moderate", "Low"]
+PROFILE_AGE_BANDS = ["Elderly", "Adult", "Young"]
+WHAT_IF_DIRECTIONS = ["Increase", "Decrease", "No material change"]
+PREDICTION_RESULTS = ["Correct", "Mismatch"]
+
+VALIDATION_MESSAGES = {
+    "missing_columns": "Missing required columns: {missing}",
+    "no_sex": "Must include either 'sex' or 'sex_code' column.",
+    "not_numeric": "Age and drug_count must contain numeric values.",
+    "age_range": "Age values must be between 1 and 119.",
+    "negative_drugs": "Drug count cannot be negative.",
+    "no_valid_sex": "Sex values must contain at least one valid 'F' or 'M' entry.",
+    "passed": "Data validation passed.",
+}
+
+INTERPRETATION_TEXT = {
+    "high_burden": "high drug burden increases risk",
+    "elderly": "age-related vulnerability in elderly patients raises adverse-event risk",
+    "no_flags": "no strong risk flags were detected from age and drug burden",
+    "elevated": "Risk is elevated due to {parts}.",
+    "lower": "Risk appears lower because {part}.",
+}
+
+STORY_TEXT = {
+    "flow": "Age {age} + Drug Count {drug_count} → {risk} Risk",
+    "high_load": "high medication load",
+    "age_vulnerability": "age-related vulnerability",
+    "balanced": "balanced age and medication profile",
+}
+
+INSIGHT_TEXT = ("**AI Insight:** Based on the patient's profile, the system detects **{risk} risk** "
+                "driven by {because}. Closer monitoring may be required if risk factors persist.")
+DECISION_TEXT = ("**AI Decision Summary**  \nRisk level: **{risk}** | Predicted label: **{label}** | "
+                 "Risk confidence: **{confidence:.2f}%**  \nKey drivers: **{drivers}**  \n{interpretation}")
+NO_DRIVERS_TEXT = "No major risk drivers"
+
+DRIVER_MESSAGES = {
+    "drug_count": "drug count is high ({value:.0f} drugs)",
+    "unique_drug_count": "unique medication burden is high ({value:.0f} unique drugs)",
+    "reaction_count": "reaction count is elevated ({value:.0f} reactions)",
+    "polypharmacy": "polypharmacy is detected",
+    "elderly": "the patient is in an elderly age band",
+    "drug_repeat_flag": "the case contains repeated drug entries",
+    "risk_score": "composite risk score is elevated ({value:.1f})",
+    "age": "age is elevated ({value:.0f} years)",
+}
+DRIVER_MESSAGE_OTHER = "{label} is {value}"
+QUANTIFIED_MESSAGE = "{message} ({impact:.1f}% of explanation weight)"
+EXPLANATION_SUMMARY = "This case is {risk} risk because {drivers}."
+EXPLANATION_NO_DRIVERS = "This case is {risk} risk with no strong rule-based risk flags from the available features."
+
+CLINICAL_INSIGHTS = {
+    "polypharmacy": ("Polypharmacy is associated with {phrase} versus non-polypharmacy cases "
+                     "({rate_true:.1f}% vs {rate_false:.1f}%, {delta:+.1f} percentage points)."),
+    "elderly": ("Elderly status is associated with {phrase} versus non-elderly patients "
+                "({rate_true:.1f}% vs {rate_false:.1f}%, {delta:+.1f} percentage points)."),
+    "high_reaction": ("Cases with at least {cutoff:.0f} reactions show {phrase} compared with lower-reaction cases "
+                      "({rate_true:.1f}% vs {rate_false:.1f}%)."),
+    "drug_repeat": ("Repeated drug entries appear in {share:.1f}% of cases; they are associated with {phrase} "
+                    "versus non-repeated drug lists ({rate_true:.1f}% vs {rate_false:.1f}%)."),
+    "overall": "The current filtered cohort has an overall serious outcome rate of {overall:.1f}%.",
+}
+RELATIVE_PHRASE = "{rel:+.1f}% relative risk change"
+UNDEFINED_RELATIVE_PHRASE = ("an undefined relative increase because the comparison group has "
+                             "0.0% serious outcomes")
+
+MODEL_DIGEST = {
+    "f1": "{model} is the most balanced model by F1-score ({value:.3f}).",
+    "recall": "{model} has the strongest serious-case capture with recall {value:.3f}.",
+    "precision": "{model} is the most selective model with precision {value:.3f}.",
+    "roc_auc": "{model} separates serious and non-serious cases best by ROC-AUC ({value:.3f}).",
+    "low_threshold": "Low selected thresholds for {models} indicate the system is prioritizing recall over precision.",
+}
+EMPTY_SEGMENT_TEXT = "No patients in segment"
+UPLOAD_SOURCE_NAME = "Uploaded CSV"
 # ---------------------------------------------------------------------------
 
 

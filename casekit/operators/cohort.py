@@ -8,11 +8,14 @@ shuffled once, with partial (map-side) aggregation.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X
+from casekit.functions import text as T
 from casekit.operators import ranking as R
 
 
@@ -301,14 +304,12 @@ def correlation_matrix(cases: DataFrame, cols: list[str] | None = None) -> DataF
 
 
 # ---------------------------------------------------------------- O-31
-UNDEFINED_PHRASE = ("an undefined relative increase because the comparison group has "
-                    "0.0% serious outcomes")
+UNDEFINED_PHRASE = C.UNDEFINED_RELATIVE_PHRASE
 
 
 def _rel_phrase(t: Column, f: Column) -> Column:
     rel = ((t - f) / f) * F.lit(100.0)
-    return F.when(f <= 0, F.lit(UNDEFINED_PHRASE)).otherwise(
-        F.concat(X.fmt_fixed(rel, 1, sign=True), F.lit("% relative risk change")))
+    return F.when(f <= 0, F.lit(UNDEFINED_PHRASE)).otherwise(T.render(C.RELATIVE_PHRASE, rel=rel))
 
 
 def clinical_insights(cases: DataFrame) -> DataFrame:
@@ -335,51 +336,35 @@ def clinical_insights(cases: DataFrame) -> DataFrame:
         _pct(F.avg("drug_repeat_flag").cast("double")).alias("rep_share"),
         F.count(F.lit(1)).alias("n")).withColumn("cutoff", cutoff)
 
-    def f1(c: Column) -> Column:
-        return X.fmt_fixed(c, 1)
-
-    def pair_text(lead: str, t: str, f: str, tail: str) -> Column:
-        tc, fc = F.col(t), F.col(f)
-        return F.concat(F.lit(lead), _rel_phrase(tc, fc), F.lit(tail), F.lit(" ("), f1(tc), F.lit("% vs "),
-                        f1(fc), F.lit("%, "), X.fmt_fixed(tc - fc, 1, sign=True),
-                        F.lit(" percentage points)."))
+    def text(name: str, t: str | None, f: str | None) -> Column:
+        fields = {"overall": F.col("overall"), "cutoff": F.col("cutoff"), "share": F.col("rep_share")}
+        if t:
+            fields.update(rate_true=F.col(t), rate_false=F.col(f), delta=F.col(t) - F.col(f),
+                          phrase=_rel_phrase(F.col(t), F.col(f)))
+        needed = {fld for _, fld, _, _ in string.Formatter().parse(C.CLINICAL_INSIGHTS[name]) if fld}
+        return T.render(C.CLINICAL_INSIGHTS[name], **{k: v for k, v in fields.items() if k in needed})
 
     def rel(t: str, f: str) -> Column:
         return F.when(F.col(f) > 0, ((F.col(t) - F.col(f)) / F.col(f)) * F.lit(100.0))
 
-    def entry(order, name, t, f, text, present):
+    def entry(order, name, t, f, present):
         return F.struct(F.lit(order).alias("ord"), F.lit(name).alias("insight"),
                         F.col(t).alias("rate_true") if t else F.lit(None).cast("double").alias("rate_true"),
                         F.col(f).alias("rate_false") if f else F.lit(None).cast("double").alias("rate_false"),
                         (rel(t, f) if t else F.lit(None).cast("double")).alias("relative_change"),
                         ((F.col(t) - F.col(f)) if t else F.lit(None).cast("double")).alias("pp_delta"),
-                        text.alias("text"), present.alias("present"))
+                        text(name, t, f).alias("text"), present.alias("present"))
 
     def shown(t, f):
         # the reference prints a pair when either rate is nonzero (NaN counts as nonzero)
         return F.coalesce(F.col(t) != 0, F.lit(True)) | F.coalesce(F.col(f) != 0, F.lit(True))
 
-    rx_text = F.concat(F.lit("Cases with at least "), X.fmt_fixed(F.col("cutoff"), 0),
-                       F.lit(" reactions show "), _rel_phrase(F.col("rx_t"), F.col("rx_f")),
-                       F.lit(" compared with lower-reaction cases ("), f1(F.col("rx_t")), F.lit("% vs "),
-                       f1(F.col("rx_f")), F.lit("%)."))
-    rep_text = F.concat(F.lit("Repeated drug entries appear in "), f1(F.col("rep_share")),
-                        F.lit("% of cases; they are associated with "),
-                        _rel_phrase(F.col("rep_t"), F.col("rep_f")),
-                        F.lit(" versus non-repeated drug lists ("), f1(F.col("rep_t")), F.lit("% vs "),
-                        f1(F.col("rep_f")), F.lit("%)."))
-    overall_text = F.concat(F.lit("The current filtered cohort has an overall serious outcome rate of "),
-                            f1(F.col("overall")), F.lit("%."))
     rows = F.array(
-        entry(1, "polypharmacy", "poly_t", "poly_f",
-              pair_text("Polypharmacy is associated with ", "poly_t", "poly_f", " versus non-polypharmacy cases"),
-              shown("poly_t", "poly_f")),
-        entry(2, "elderly", "eld_t", "eld_f",
-              pair_text("Elderly status is associated with ", "eld_t", "eld_f", " versus non-elderly patients"),
-              shown("eld_t", "eld_f")),
-        entry(3, "high_reaction", "rx_t", "rx_f", rx_text, F.col("rx_t").isNotNull() & F.col("rx_f").isNotNull()),
-        entry(4, "drug_repeat", "rep_t", "rep_f", rep_text, F.lit(True)),
-        entry(5, "overall", None, None, overall_text, F.lit(True)))
+        entry(1, "polypharmacy", "poly_t", "poly_f", shown("poly_t", "poly_f")),
+        entry(2, "elderly", "eld_t", "eld_f", shown("eld_t", "eld_f")),
+        entry(3, "high_reaction", "rx_t", "rx_f", F.col("rx_t").isNotNull() & F.col("rx_f").isNotNull()),
+        entry(4, "drug_repeat", "rep_t", "rep_f", F.lit(True)),
+        entry(5, "overall", None, None, F.lit(True)))
     out = row.filter(F.col("n") > 0).select(F.explode(rows).alias("e"), "overall", "cutoff").select(
         "e.ord", "e.insight", "e.rate_true", "e.rate_false", "e.relative_change", "e.pp_delta",
         "e.text", "e.present", "overall", "cutoff")
@@ -512,7 +497,7 @@ def upload_quality(processed: DataFrame) -> DataFrame:
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("m"))
                              for c in processed.columns]))
     return row.select("_n", kv.alias("e")).select(
-        F.lit("Uploaded CSV").alias("source"), "e.column",
+        F.lit(C.UPLOAD_SOURCE_NAME).alias("source"), "e.column",
         X.py_round(_pct(F.col("e.m")), 2).alias("missing_pct"),
         F.col("_n").alias("final_rows"), F.lit(0).alias("demo_rows_dropped"),
         F.lit(100.0).alias("retention_pct"))

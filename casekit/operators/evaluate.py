@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X
+from casekit.functions import text as T
 from casekit.operators import ranking as R
 
 
@@ -195,25 +196,13 @@ def model_digest(metrics: DataFrame, low_threshold: float = 0.35) -> DataFrame:
                           F.col("threshold") < low_threshold, F.struct("rank", "model")))), lambda x: x["model"]),
                           ", ").alias("low"))
 
-    def f3(c):
-        return X.fmt_fixed(F.col(c), 3)
     def item(ord_: int, kind: str, model: Column, text: Column) -> Column:
         return F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), model.alias("model"),
                         text.alias("text"))
-    items = F.array(
-        item(1, "f1", F.col("f1_model"),
-             F.concat(F.col("f1_model"), F.lit(" is the most balanced model by F1-score ("), f3("f1_value"),
-                      F.lit(")."))),
-        item(2, "recall", F.col("recall_model"),
-             F.concat(F.col("recall_model"), F.lit(" has the strongest serious-case capture with recall "),
-                      f3("recall_value"), F.lit("."))),
-        item(3, "precision", F.col("precision_model"),
-             F.concat(F.col("precision_model"), F.lit(" is the most selective model with precision "),
-                      f3("precision_value"), F.lit("."))),
-        item(4, "roc_auc", F.col("roc_auc_model"),
-             F.concat(F.col("roc_auc_model"), F.lit(" separates serious and non-serious cases best by ROC-AUC ("),
-                      f3("roc_auc_value"), F.lit(")."))),
+    items = F.array(*[
+        item(i + 1, k, F.col(f"{k}_model"),
+             T.render(C.MODEL_DIGEST[k], model=F.col(f"{k}_model"), value=F.col(f"{k}_value")))
+        for i, k in enumerate(["f1", "recall", "precision", "roc_auc"])],
         item(5, "low_threshold", F.lit(None).cast("string"),
-             F.when(F.col("low") != "", F.concat(F.lit("Low selected thresholds for "), F.col("low"),
-                    F.lit(" indicate the system is prioritizing recall over precision.")))))
+             F.when(F.col("low") != "", T.render(C.MODEL_DIGEST["low_threshold"], models=F.col("low")))))
     return (row.select(F.explode(items).alias("e")).select("e.*").filter(F.col("text").isNotNull()))

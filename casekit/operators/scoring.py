@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X
+from casekit.functions import text as T
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -64,9 +65,9 @@ def patient_profile(age: str | Column = "age", drug_count: str | Column = "drug_
 
 
 # ---------------------------------------------------------------- O-73
-HIGH_BURDEN_PART = "high drug burden increases risk"
-ELDERLY_PART = "age-related vulnerability in elderly patients raises adverse-event risk"
-NO_FLAGS_PART = "no strong risk flags were detected from age and drug burden"
+HIGH_BURDEN_PART = C.INTERPRETATION_TEXT["high_burden"]
+ELDERLY_PART = C.INTERPRETATION_TEXT["elderly"]
+NO_FLAGS_PART = C.INTERPRETATION_TEXT["no_flags"]
 
 
 def interpretation(age: str | Column = "age", drug_count: str | Column = "drug_count") -> Column:
@@ -75,8 +76,8 @@ def interpretation(age: str | Column = "age", drug_count: str | Column = "drug_c
     poly, old = d >= C.POLYPHARMACY_THRESHOLD, a >= C.ELDERLY_THRESHOLD
     parts = F.array_compact(F.array(F.when(poly, F.lit(HIGH_BURDEN_PART)), F.when(old, F.lit(ELDERLY_PART))))
     drivers = F.array_compact(F.array(F.when(poly, F.lit("drug_count")), F.when(old, F.lit("age"))))
-    sentence = F.when(F.size(parts) == 0, F.lit(f"Risk appears lower because {NO_FLAGS_PART}.")).otherwise(
-        F.concat(F.lit("Risk is elevated due to "), F.array_join(parts, " and "), F.lit(".")))
+    sentence = F.when(F.size(parts) == 0, T.render(C.INTERPRETATION_TEXT["lower"], part=F.lit(NO_FLAGS_PART))) \
+        .otherwise(T.render(C.INTERPRETATION_TEXT["elevated"], parts=F.array_join(parts, " and ")))
     return F.struct(sentence.alias("sentence"), drivers.alias("drivers"))
 
 
@@ -84,30 +85,25 @@ def interpretation(age: str | Column = "age", drug_count: str | Column = "drug_c
 def story_flow(age: str | Column, drug_count: str | Column, risk: str | Column) -> Column:
     """struct(flow, because): 'Age 70 + Drug Count 8 → High Risk', reasons joined by ' + '."""
     a, d, r = X.col_(age), X.col_(drug_count), X.col_(risk)
-    flow = F.concat(F.lit("Age "), a.cast("double").cast("bigint").cast("string"), F.lit(" + Drug Count "),
-                    d.cast("double").cast("bigint").cast("string"), F.lit(" → "), r, F.lit(" Risk"))
+    flow = T.render(C.STORY_TEXT["flow"], age=a.cast("double").cast("bigint"),
+                    drug_count=d.cast("double").cast("bigint"), risk=r)
     parts = F.array_compact(F.array(
-        F.when(d.cast("double") >= C.POLYPHARMACY_THRESHOLD, F.lit("high medication load")),
-        F.when(a.cast("double") >= C.ELDERLY_THRESHOLD, F.lit("age-related vulnerability"))))
-    because = F.when(F.size(parts) == 0, F.lit("balanced age and medication profile")).otherwise(
-        F.array_join(parts, " + "))
+        F.when(d.cast("double") >= C.POLYPHARMACY_THRESHOLD, F.lit(C.STORY_TEXT["high_load"])),
+        F.when(a.cast("double") >= C.ELDERLY_THRESHOLD, F.lit(C.STORY_TEXT["age_vulnerability"]))))
+    because = F.when(F.size(parts) == 0, F.lit(C.STORY_TEXT["balanced"])).otherwise(F.array_join(parts, " + "))
     return F.struct(flow.alias("flow"), because.alias("because"))
 
 
 def insight_text(risk: str | Column, because: str | Column) -> Column:
-    return F.concat(F.lit("**AI Insight:** Based on the patient's profile, the system detects **"),
-                    F.lower(X.col_(risk)), F.lit(" risk** driven by "), X.col_(because),
-                    F.lit(". Closer monitoring may be required if risk factors persist."))
+    return T.render(C.INSIGHT_TEXT, risk=F.lower(X.col_(risk)), because=X.col_(because))
 
 
 def decision_text(risk: str | Column, label: str | Column, prob: str | Column,
                   drivers: str | Column, interp_sentence: str | Column) -> Column:
     dr = X.col_(drivers)
-    key = F.when(F.size(dr) > 0, F.array_join(dr, ", ")).otherwise(F.lit("No major risk drivers"))
-    return F.concat(F.lit("**AI Decision Summary**  \nRisk level: **"), X.col_(risk),
-                    F.lit("** | Predicted label: **"), X.col_(label), F.lit("** | Risk confidence: **"),
-                    X.fmt_fixed(X.col_(prob) * F.lit(100.0), 2), F.lit("%**  \nKey drivers: **"), key,
-                    F.lit("**  \n"), X.col_(interp_sentence))
+    key = F.when(F.size(dr) > 0, F.array_join(dr, ", ")).otherwise(F.lit(C.NO_DRIVERS_TEXT))
+    return T.render(C.DECISION_TEXT, risk=X.col_(risk), label=X.col_(label),
+                    confidence=X.col_(prob) * F.lit(100.0), drivers=key, interpretation=X.col_(interp_sentence))
 
 
 # ---------------------------------------------------------------- O-76 .. O-78
@@ -136,18 +132,9 @@ def feature_intensity(feature: str, v: Column) -> Column:
 
 def driver_message(feature: str, v: Column) -> Column:
     v = v.cast("double")
-    n0 = X.fmt_fixed(v, 0, bind=False)
-    texts = {
-        "drug_count": F.concat(F.lit("drug count is high ("), n0, F.lit(" drugs)")),
-        "unique_drug_count": F.concat(F.lit("unique medication burden is high ("), n0, F.lit(" unique drugs)")),
-        "reaction_count": F.concat(F.lit("reaction count is elevated ("), n0, F.lit(" reactions)")),
-        "polypharmacy": F.lit("polypharmacy is detected"),
-        "elderly": F.lit("the patient is in an elderly age band"),
-        "drug_repeat_flag": F.lit("the case contains repeated drug entries"),
-        "risk_score": F.concat(F.lit("composite risk score is elevated ("), X.fmt_fixed(v, 1, bind=False), F.lit(")")),
-        "age": F.concat(F.lit("age is elevated ("), n0, F.lit(" years)")),
-    }
-    return texts.get(feature, F.concat(F.lit(f"{C.FEATURE_LABELS.get(feature, feature)} is "), v.cast("string")))
+    if feature in C.DRIVER_MESSAGES:
+        return T.render(C.DRIVER_MESSAGES[feature], bind=False, value=v)
+    return T.render(C.DRIVER_MESSAGE_OTHER, label=F.lit(C.FEATURE_LABELS.get(feature, feature)), value=v)
 
 
 def importance_map(importance: DataFrame | None) -> Column | None:
@@ -224,15 +211,14 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
         "impact_pct", F.when(F.col("_tot") > 0, X.py_round(
             (F.greatest(x["score"], F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False)).otherwise(F.lit(0.0))))
     with_msg = F.transform(with_pct, lambda x: x.withField(
-        "quantified_message", F.concat(x["message"], F.lit(" ("), X.fmt_fixed(x["impact_pct"], 1, bind=False),
-                                       F.lit("% of explanation weight)"))).dropFields("ord"))
+        "quantified_message", T.render(C.QUANTIFIED_MESSAGE, bind=False, message=x["message"],
+                                       impact=x["impact_pct"])).dropFields("ord"))
     out = out.withColumn("_drv", with_msg)
     risk = F.lower(F.col(risk_col))
-    summary = F.when(F.size(F.col("_drv")) > 0, F.concat(
-        F.lit("This case is "), risk, F.lit(" risk because "),
-        F.array_join(F.transform(F.col("_drv"), lambda x: x["quantified_message"]), "; "), F.lit("."))
-    ).otherwise(F.concat(F.lit("This case is "), risk,
-                         F.lit(" risk with no strong rule-based risk flags from the available features.")))
+    summary = F.when(F.size(F.col("_drv")) > 0, T.render(
+        C.EXPLANATION_SUMMARY, risk=risk,
+        drivers=F.array_join(F.transform(F.col("_drv"), lambda x: x["quantified_message"]), "; "))
+    ).otherwise(T.render(C.EXPLANATION_NO_DRIVERS, risk=risk))
     return (out.withColumn("explanation", F.struct(summary.alias("summary"), F.col("_drv").alias("drivers")))
             .drop("_drv", "_tot", "_imp"))
 
@@ -414,5 +400,5 @@ def risk_segmentation(pred: DataFrame, prob_col: str = "predicted_probability")
          .alias("share_pct"),
         F.when(has, X.rint_round(F.col("_p") * F.lit(100.0), 2)).otherwise(F.lit(0.0)).alias("avg_probability_pct"),
         F.when(has, F.array_join(F.transform(top3, lambda x: x["name"]), ", "))
-         .otherwise(F.lit("No patients in segment")).alias("key_drivers"),
+         .otherwise(F.lit(C.EMPTY_SEGMENT_TEXT)).alias("key_drivers"),
         *[X.py_round(F.col(f"_m_{c}"), 2).alias(f"avg_{c}") for c in feats])

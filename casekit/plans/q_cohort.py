@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X
+from casekit.functions import text as TX
 from casekit.operators import cohort as K
 from casekit.operators import prepare as P
 from casekit.plans import oracle as O
@@ -228,13 +229,16 @@ def _fmt(x: str, digits: int = 1, sign: bool = False) -> str:
 
 
 def _phrase(t: str, f: str) -> str:
-    return (f"CASE WHEN {f} <= 0 THEN '{K.UNDEFINED_PHRASE}' "
-            f"ELSE {_fmt(f'(({t} - {f}) / {f}) * {H}', 1, True)} || '% relative risk change' END")
+    return (f"CASE WHEN {f} <= 0 THEN {TX.sql_literal(C.UNDEFINED_RELATIVE_PHRASE)} "
+            f"ELSE {TX.render_sql(C.RELATIVE_PHRASE, rel=f'(({t} - {f}) / {f}) * {H}')} END")
 
 
-def _pair(lead: str, t: str, f: str, tail: str) -> str:
-    return (f"'{lead}' || {_phrase(t, f)} || '{tail} (' || {_fmt(t)} || '% vs ' || {_fmt(f)} || '%, ' "
-            f"|| {_fmt(f'{t} - {f}', 1, True)} || ' percentage points).'")
+def _insight_sql(name: str, t: str | None = None, f: str | None = None) -> str:
+    fields = {"overall": "overall", "cutoff": "cutoff", "share": "rep_share"}
+    if t:
+        fields.update(rate_true=t, rate_false=f, delta=f"{t} - {f}", phrase=_phrase(t, f))
+    return TX.render_sql(C.CLINICAL_INSIGHTS[name], **fields) if t else \
+        TX.render_sql(C.CLINICAL_INSIGHTS[name], **{k: v for k, v in fields.items()})
 
 
 def _shown(t: str, f: str) -> str:
@@ -256,28 +260,19 @@ SELECT avg(serious) * {H} AS overall,
        avg(drug_repeat_flag) * {H} AS rep_share, count(*) AS n, any_value(q.cutoff) AS cutoff
 FROM cases, (SELECT greatest({D(3)}, quantile_cont(reaction_count, 0.75)) AS cutoff FROM cases) q"""
 _INS = [
-    (1, "polypharmacy", "poly_t", "poly_f",
-     _pair("Polypharmacy is associated with ", "poly_t", "poly_f", " versus non-polypharmacy cases"),
+    (1, "polypharmacy", "poly_t", "poly_f", _insight_sql("polypharmacy", "poly_t", "poly_f"),
      _shown("poly_t", "poly_f")),
-    (2, "elderly", "eld_t", "eld_f",
-     _pair("Elderly status is associated with ", "eld_t", "eld_f", " versus non-elderly patients"),
-     _shown("eld_t", "eld_f")),
-    (3, "high_reaction", "rx_t", "rx_f",
-     f"'Cases with at least ' || {_fmt('cutoff', 0)} || ' reactions show ' || {_phrase('rx_t', 'rx_f')} "
-     f"|| ' compared with lower-reaction cases (' || {_fmt('rx_t')} || '% vs ' || {_fmt('rx_f')} || '%).'",
+    (2, "elderly", "eld_t", "eld_f", _insight_sql("elderly", "eld_t", "eld_f"), _shown("eld_t", "eld_f")),
+    (3, "high_reaction", "rx_t", "rx_f", _insight_sql("high_reaction", "rx_t", "rx_f"),
      "(rx_t IS NOT NULL AND rx_f IS NOT NULL)"),
-    (4, "drug_repeat", "rep_t", "rep_f",
-     f"'Repeated drug entries appear in ' || {_fmt('rep_share')} || '% of cases; they are associated with ' "
-     f"|| {_phrase('rep_t', 'rep_f')} || ' versus non-repeated drug lists (' || {_fmt('rep_t')} || '% vs ' "
-     f"|| {_fmt('rep_f')} || '%).'", "true"),
+    (4, "drug_repeat", "rep_t", "rep_f", _insight_sql("drug_repeat", "rep_t", "rep_f"), "true"),
 ]
 _INS_SQL = "\nUNION ALL\n".join(
     [f"SELECT CAST({o} AS INTEGER) AS ord, '{n}' AS insight, {t} AS rate_true, {f} AS rate_false, "
      f"{_rel(t, f)} AS relative_change, {t} - {f} AS pp_delta, cutoff AS reaction_cutoff, {txt} AS text "
      f"FROM r WHERE n > 0 AND {cond}" for o, n, t, f, txt, cond in _INS]
     + [f"SELECT CAST(5 AS INTEGER), 'overall', overall, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
-       f"CAST(NULL AS DOUBLE), cutoff, 'The current filtered cohort has an overall serious outcome rate of ' "
-       f"|| {_fmt('overall')} || '%.' FROM r WHERE n > 0"])
+       f"CAST(NULL AS DOUBLE), cutoff, {_insight_sql('overall')} FROM r WHERE n > 0"])
 register("clinical_insights", O.with_ctes(_INS_SQL, {"r": _INS_ROW}))(
     lambda spark, sf: K.clinical_insights(cases(spark, sf)))
 
@@ -354,7 +349,7 @@ def q_upload_quality(spark, sf):
 
 _UQ_COLS = C.CASE_COLUMNS
 register("upload_quality", O.with_ctes("\nUNION ALL\n".join(
-    f"SELECT 'Uploaded CSV' AS source, '{c}' AS \"column\", "
+    f"SELECT '{C.UPLOAD_SOURCE_NAME}' AS source, '{c}' AS \"column\", "
     f"{O.sql_py_round(f'avg(CASE WHEN {c} IS NULL THEN {D(1)} ELSE {D(0)} END) * {H}', 2)} AS missing_pct, "
     f"count(*) AS final_rows, 0 AS demo_rows_dropped, {D(100.0)} AS retention_pct FROM cases"
     for c in _UQ_COLS)))(q_upload_quality)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X
+from casekit.functions import text as TX
 from casekit.operators import evaluate as E
 from casekit.operators import prepare as P
 from casekit.operators import scoring as S
@@ -168,28 +169,19 @@ def _f3(x):
     return O.sql_fmt(x, 3)
 
 
-register("model_digest", O.with_ctes(f"""
-SELECT * FROM (
-  SELECT 1 AS ord, 'f1' AS kind, arg_max(model, (f1, -rank)) AS model,
-         arg_max(model, (f1, -rank)) || ' is the most balanced model by F1-score (' || {_f3('max(f1)')} || ').' AS text
-  FROM metrics
-  UNION ALL
-  SELECT 2, 'recall', arg_max(model, (recall, -rank)),
-         arg_max(model, (recall, -rank)) || ' has the strongest serious-case capture with recall ' || {_f3('max(recall)')} || '.'
-  FROM metrics
-  UNION ALL
-  SELECT 3, 'precision', arg_max(model, (precision, -rank)),
-         arg_max(model, (precision, -rank)) || ' is the most selective model with precision ' || {_f3('max(precision)')} || '.'
-  FROM metrics
-  UNION ALL
-  SELECT 4, 'roc_auc', arg_max(model, (roc_auc, -rank)),
-         arg_max(model, (roc_auc, -rank)) || ' separates serious and non-serious cases best by ROC-AUC (' || {_f3('max(roc_auc)')} || ').'
-  FROM metrics
-  UNION ALL
-  SELECT 5, 'low_threshold', NULL,
-         'Low selected thresholds for ' || string_agg(model, ', ' ORDER BY rank) FILTER (WHERE threshold < {D(0.35)})
-         || ' indicate the system is prioritizing recall over precision.'
-  FROM metrics) x WHERE text IS NOT NULL""", {**_AUC_CTES, "metrics": _METRICS}))(
+def _digest_row(i: int, kind: str) -> str:
+    who = f"arg_max(model, ({kind}, -rank))"
+    return (f"SELECT {i} AS ord, '{kind}' AS kind, {who} AS model, "
+            f"{TX.render_sql(C.MODEL_DIGEST[kind], model=who, value=f'max({kind})')} AS text FROM metrics")
+
+
+_LOW = f"string_agg(model, ', ' ORDER BY rank) FILTER (WHERE threshold < {D(0.35)})"
+register("model_digest", O.with_ctes(
+    "SELECT * FROM (" + "\nUNION ALL\n".join(
+        [_digest_row(i + 1, k) for i, k in enumerate(["f1", "recall", "precision", "roc_auc"])]
+        + [f"SELECT 5, 'low_threshold', NULL, {TX.render_sql(C.MODEL_DIGEST['low_threshold'], models=_LOW)} "
+           f"FROM metrics"]) + ") x WHERE text IS NOT NULL",
+    {**_AUC_CTES, "metrics": _METRICS}))(
     lambda spark, sf: E.model_digest(_metrics(spark, sf)))
 
 
@@ -242,35 +234,36 @@ FROM cases"""))(lambda spark, sf: cases(spark, sf).select("primaryid", S.patient
     "primaryid", "p.*"))
 
 _POLY, _OLD = "drug_count >= 5", f"age >= {D(65)}"
+_PARTS = (f"concat_ws(' and ', CASE WHEN {_POLY} THEN {TX.sql_literal(S.HIGH_BURDEN_PART)} END, "
+          f"CASE WHEN {_OLD} THEN {TX.sql_literal(S.ELDERLY_PART)} END)")
 _INTERP_SENTENCE = (
-    f"CASE WHEN NOT ({_POLY}) AND NOT ({_OLD}) THEN 'Risk appears lower because {S.NO_FLAGS_PART}.' "
-    f"ELSE 'Risk is elevated due to ' || concat_ws(' and ', CASE WHEN {_POLY} THEN '{S.HIGH_BURDEN_PART}' END, "
-    f"CASE WHEN {_OLD} THEN '{S.ELDERLY_PART}' END) || '.' END")
+    f"CASE WHEN NOT ({_POLY}) AND NOT ({_OLD}) "
+    f"THEN {TX.render_sql(C.INTERPRETATION_TEXT['lower'], part=TX.sql_literal(S.NO_FLAGS_PART))} "
+    f"ELSE {TX.render_sql(C.INTERPRETATION_TEXT['elevated'], parts=_PARTS)} END")
 _INTERP_DRIVERS = f"concat_ws(', ', CASE WHEN {_POLY} THEN 'drug_count' END, CASE WHEN {_OLD} THEN 'age' END)"
 register("interpretation", O.with_ctes(f"""
 SELECT primaryid, {_INTERP_SENTENCE} AS sentence, {_INTERP_DRIVERS} AS drivers FROM cases"""))(
     lambda spark, sf: cases(spark, sf).select("primaryid", S.interpretation().alias("i")).select(
         "primaryid", "i.sentence", F.array_join("i.drivers", ", ").alias("drivers")))
 
-_STORY_FLOW = (f"'Age ' || CAST(CAST(trunc(age) AS BIGINT) AS VARCHAR) || ' + Drug Count ' || "
-               f"CAST(CAST(drug_count AS BIGINT) AS VARCHAR) || ' → ' || {_LEVEL} || ' Risk'")
-_BECAUSE = (f"CASE WHEN NOT ({_POLY}) AND NOT ({_OLD}) THEN 'balanced age and medication profile' "
-            f"ELSE concat_ws(' + ', CASE WHEN {_POLY} THEN 'high medication load' END, "
-            f"CASE WHEN {_OLD} THEN 'age-related vulnerability' END) END")
+_STORY_FLOW = TX.render_sql(C.STORY_TEXT["flow"], age="CAST(trunc(age) AS BIGINT)",
+                            drug_count="CAST(drug_count AS BIGINT)", risk=_LEVEL)
+_BECAUSE = (f"CASE WHEN NOT ({_POLY}) AND NOT ({_OLD}) THEN {TX.sql_literal(C.STORY_TEXT['balanced'])} "
+            f"ELSE concat_ws(' + ', CASE WHEN {_POLY} THEN {TX.sql_literal(C.STORY_TEXT['high_load'])} END, "
+            f"CASE WHEN {_OLD} THEN {TX.sql_literal(C.STORY_TEXT['age_vulnerability'])} END) END")
 register("story_flow", O.with_ctes(f"SELECT primaryid, {_STORY_FLOW} AS flow, {_BECAUSE} AS because FROM cases"))(
     lambda spark, sf: _proxy_cases(spark, sf).select(
         "primaryid", S.story_flow("age", "drug_count", X.risk_level("probability")).alias("s")).select(
         "primaryid", "s.*"))
 
 _LABEL = f"CASE WHEN {_P} >= {D(_T)} THEN 'Serious' ELSE 'Non-serious' END"
+_KEY_DRIVERS = (f"CASE WHEN {_INTERP_DRIVERS} = '' THEN {TX.sql_literal(C.NO_DRIVERS_TEXT)} "
+                f"ELSE {_INTERP_DRIVERS} END")
 register("ai_texts", O.with_ctes(f"""
 SELECT primaryid,
-       '**AI Insight:** Based on the patient''s profile, the system detects **' || lower({_LEVEL}) || ' risk** driven by '
-         || {_BECAUSE} || '. Closer monitoring may be required if risk factors persist.' AS insight,
-       '**AI Decision Summary**  ' || chr(10) || 'Risk level: **' || {_LEVEL} || '** | Predicted label: **' || {_LABEL}
-         || '** | Risk confidence: **' || {O.sql_fmt(f'{_P} * {H}', 2)} || '%**  ' || chr(10)
-         || 'Key drivers: **' || CASE WHEN {_INTERP_DRIVERS} = '' THEN 'No major risk drivers' ELSE {_INTERP_DRIVERS} END
-         || '**  ' || chr(10) || {_INTERP_SENTENCE} AS decision
+       {TX.render_sql(C.INSIGHT_TEXT, risk=f'lower({_LEVEL})', because=_BECAUSE)} AS insight,
+       {TX.render_sql(C.DECISION_TEXT, risk=_LEVEL, label=_LABEL, confidence=f'{_P} * {H}', drivers=_KEY_DRIVERS,
+                      interpretation=_INTERP_SENTENCE)} AS decision
 FROM cases"""))(lambda spark, sf: _ai_texts(spark, sf))
 
 
@@ -319,18 +312,9 @@ def _sql_intensity(f: str, v: str) -> str:
 
 
 def _sql_message(f: str, v: str) -> str:
-    n0 = O.sql_fmt(v, 0)
-    texts = {
-        "drug_count": f"'drug count is high (' || {n0} || ' drugs)'",
-        "unique_drug_count": f"'unique medication burden is high (' || {n0} || ' unique drugs)'",
-        "reaction_count": f"'reaction count is elevated (' || {n0} || ' reactions)'",
-        "polypharmacy": "'polypharmacy is detected'",
-        "elderly": "'the patient is in an elderly age band'",
-        "drug_repeat_flag": "'the case contains repeated drug entries'",
-        "risk_score": f"'composite risk score is elevated (' || {O.sql_fmt(v, 1)} || ')'",
-        "age": f"'age is elevated (' || {n0} || ' years)'",
-    }
-    return texts.get(f, f"'{C.FEATURE_LABELS.get(f, f)} is ' || CAST({v} AS VARCHAR)")
+    if f in C.DRIVER_MESSAGES:
+        return TX.render_sql(C.DRIVER_MESSAGES[f], value=v)
+    return TX.render_sql(C.DRIVER_MESSAGE_OTHER, label=TX.sql_literal(C.FEATURE_LABELS.get(f, f)), value=v)
 
 
 _TRIG = {"drug_count": "drug_count >= 5", "unique_drug_count": "unique_drug_count >= 5",
@@ -375,10 +359,14 @@ FROM (SELECT * FROM cand UNION ALL SELECT * FROM fb) a""",
 SELECT t.*, CASE WHEN tt.tot > 0 THEN {PR(f'(greatest(t.score, {D(0)}) / tt.tot) * {H}', 1)} ELSE {D(0)} END AS impact_pct
 FROM topd t JOIN tt USING (primaryid)""",
     "exq": f"""
-SELECT *, message || ' (' || {O.sql_fmt('impact_pct', 1)} || '% of explanation weight)' AS quantified_message FROM ex""",
+SELECT *, {TX.render_sql(C.QUANTIFIED_MESSAGE, message='message', impact='impact_pct')} AS quantified_message FROM ex""",
 }
 
 
+_SUMMARY_YES = TX.render_sql(C.EXPLANATION_SUMMARY, risk=f"lower({_LEVEL})", drivers="sm.qm")
+_SUMMARY_NO = TX.render_sql(C.EXPLANATION_NO_DRIVERS, risk=f"lower({_LEVEL})")
+
+
 def _explained(spark, sf):
     cs = _proxy_cases(spark, sf).withColumn("risk_level", X.risk_level("probability"))
     return S.explain(cs, "risk_level", proxy_importance(cases(spark, sf)))
@@ -392,8 +380,8 @@ FROM exq""", EXPLAIN_CTES))(
 
 register("explain_summary", O.with_ctes(f"""
 SELECT c.primaryid,
-       CASE WHEN coalesce(sm.n, 0) > 0 THEN 'This case is ' || lower({_LEVEL}) || ' risk because ' || sm.qm || '.'
-            ELSE 'This case is ' || lower({_LEVEL}) || ' risk with no strong rule-based risk flags from the available features.'
+       CASE WHEN coalesce(sm.n, 0) > 0 THEN {_SUMMARY_YES}
+            ELSE {_SUMMARY_NO}
        END AS summary,
        CAST(coalesce(sm.n, 0) AS INTEGER) AS n_drivers
 FROM cases c LEFT JOIN (SELECT primaryid, string_agg(quantified_message, '; ' ORDER BY rank) AS qm, count(*) AS n
@@ -438,8 +426,8 @@ SELECT c.primaryid, {_P} AS probability, {_LEVEL} AS risk_level, {_LABEL} AS pre
        CASE WHEN {_CSCORE} >= {D(0.7)} THEN 'High' WHEN {_CSCORE} >= {D(0.4)} THEN 'Moderate' ELSE 'Low' END AS confidence_level,
        {PR(f'{_CSCORE} * {H}', 1)} AS confidence_score, s.summary AS explanation
 FROM cases c JOIN (SELECT c.primaryid,
-       CASE WHEN coalesce(sm.n, 0) > 0 THEN 'This case is ' || lower({_LEVEL}) || ' risk because ' || sm.qm || '.'
-            ELSE 'This case is ' || lower({_LEVEL}) || ' risk with no strong rule-based risk flags from the available features.'
+       CASE WHEN coalesce(sm.n, 0) > 0 THEN {_SUMMARY_YES}
+            ELSE {_SUMMARY_NO}
        END AS summary
   FROM cases c LEFT JOIN (SELECT primaryid, string_agg(quantified_message, '; ' ORDER BY rank) AS qm, count(*) AS n
                           FROM exq GROUP BY primaryid) sm USING (primaryid)) s USING (primaryid)""", EXPLAIN_CTES))(
@@ -509,7 +497,7 @@ _SEG = f"""
 SELECT d.seg_ord, d.risk_segment, coalesce(g.patients, 0) AS patients,
        CASE WHEN g.patients IS NOT NULL THEN {PR(f'(CAST(g.patients AS DOUBLE) / (SELECT count(*) FROM po)) * {H}', 2)} ELSE {D(0)} END AS share_pct,
        CASE WHEN g.patients IS NOT NULL THEN {RE(f'g._p * {H}', 2)} ELSE {D(0)} END AS avg_probability_pct,
-       CASE WHEN g.patients IS NOT NULL THEN kd.key_drivers ELSE 'No patients in segment' END AS key_drivers,
+       CASE WHEN g.patients IS NOT NULL THEN kd.key_drivers ELSE {TX.sql_literal(C.EMPTY_SEGMENT_TEXT)} END AS key_drivers,
        {', '.join(f"{PR(f'g._m_{c}', 2)} AS avg_{c}" for c in _SEG_FEATS)}
 FROM (VALUES (0, 'Low'), (1, 'Medium'), (2, 'High')) d(seg_ord, risk_segment)
 LEFT JOIN (SELECT predicted_risk_level AS risk_segment, count(*) AS patients, avg(predicted_probability) AS _p,
@@ -530,13 +518,19 @@ register("risk_segmentation", O.with_ctes(_SEG, {
 register("prepare_external", O.with_ctes(f"SELECT {_FEATS}, primaryid FROM prep", {"prep": _prep_sql("cases")}))(
     lambda spark, sf: P.prepare_external(_upload(spark, sf)).select(*C.FEATURE_COLS, "primaryid"))
 _VA, _VD = O.sql_to_number("age"), O.sql_to_number("drug_count")
+
+
+def _VM(key: str) -> str:
+    return TX.sql_literal(C.VALIDATION_MESSAGES[key])
+
+
+
 register("validate_upload", O.with_ctes(f"""
-SELECT msg IS NULL AS is_valid, coalesce(msg, 'Data validation passed.') AS message FROM (
-  SELECT CASE WHEN bool_and(a IS NULL) OR bool_and(dc IS NULL) THEN 'Age and drug_count must contain numeric values.'
-              WHEN bool_and(coalesce(a <= 0 OR a >= 120, false)) THEN 'Age values must be between 1 and 119.'
-              WHEN bool_and(coalesce(dc < 0, false)) THEN 'Drug count cannot be negative.'
-              WHEN NOT bool_or(coalesce(upper(trim(sex)), 'NAN') IN ('F', 'M'))
-                THEN 'Sex values must contain at least one valid ''F'' or ''M'' entry.' END AS msg
+SELECT msg IS NULL AS is_valid, coalesce(msg, {_VM('passed')}) AS message FROM (
+  SELECT CASE WHEN bool_and(a IS NULL) OR bool_and(dc IS NULL) THEN {_VM('not_numeric')}
+              WHEN bool_and(coalesce(a <= 0 OR a >= 120, false)) THEN {_VM('age_range')}
+              WHEN bool_and(coalesce(dc < 0, false)) THEN {_VM('negative_drugs')}
+              WHEN NOT bool_or(coalesce(upper(trim(sex)), 'NAN') IN ('F', 'M')) THEN {_VM('no_valid_sex')} END AS msg
   FROM (SELECT {_VA} AS a, {_VD} AS dc, sex FROM cases) u) t"""))(
     lambda spark, sf: P.validate_upload(_upload(spark, sf)))
 register("prepare_labelled", O.with_ctes(f"""
