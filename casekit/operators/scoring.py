@@ -147,8 +147,13 @@ def importance_map(importance: DataFrame | None) -> Column | None:
     return norm.select(F.map_from_entries(F.collect_list(F.struct("feature", "w")))).scalar()
 
 
-def _driver_struct(ord_: int, feature: str, value: Column, weight: Column, score: Column) -> Column:
-    return F.struct(F.lit(ord_).alias("ord"), F.lit(feature).alias("feature"),
+_DRIVER_TYPE = ("struct<k1:double,ord:int,feature:string,label:string,value:double,importance:double,"
+                "feature_intensity:double,score:double,message:string>")
+
+
+def _driver_struct(key: Column, ord_: int, feature: str, value: Column, weight: Column, score: Column) -> Column:
+    """A candidate driver; ``k1`` (then ``ord``) is its sort key, so plain ``sort_array`` ranks candidates."""
+    return F.struct(key.alias("k1"), F.lit(ord_).alias("ord"), F.lit(feature).alias("feature"),
                     F.lit(C.FEATURE_LABELS.get(feature, feature)).alias("label"),
                     value.cast("double").alias("value"),
                     X.py_round(weight, 4, bind=False).alias("importance"),
@@ -163,64 +168,77 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     Up to 8 rule-triggered drivers weighted by model importance, else the
     top importances; ranked by score (stable on the rule order), top N,
     impact % of the kept scores, one sentence.
+
+    The candidate list is bounded (8 rules, top N), so the ranking is
+    ``sort_array`` over structs keyed (-score, rule order) and the per-driver
+    work is spelled out per position: every expression stays inside
+    whole-stage code generation (no lambda functions).
     """
     imap_q = importance_map(importance)
     cols = set(df.columns)
     if imap_q is not None:
-        # a scalar subquery may not sit inside a higher-order function: project it first
         df = df.withColumn("_imp", imap_q)
     imap = F.col("_imp") if imap_q is not None else None
 
     def weight(f):
         return F.coalesce(imap[F.lit(f)], F.lit(0.0)) if imap is not None else F.lit(0.0)
 
-    cands = []
+    cands, flags = [], []
     for i, (feat, trig, rw) in enumerate(RULES):
         if feat not in cols:
             continue
         v = F.col(feat)
         sc = (weight(feat) + F.lit(0.05)) * feature_intensity(feat, v) + F.lit(rw)
-        cands.append(F.when(F.coalesce(trig(v.cast("double")), F.lit(False)),
-                            _driver_struct(i, feat, v, weight(feat), sc)))
-    triggered = F.filter(F.array(*cands), lambda x: x.isNotNull()) if cands else None
+        hit = F.coalesce(trig(v.cast("double")), F.lit(False))
+        cands.append(F.when(hit, _driver_struct(-sc, i, feat, v, weight(feat), sc)))
+        flags.append(hit.cast("int"))
+    if cands:
+        out = df.withColumns({"_cand": F.sort_array(F.array(*cands)),  # nulls (untriggered) first
+                              "_ntrig": sum(flags[1:], flags[0])})
+        top_trig = F.slice(F.col("_cand"), F.lit(len(cands)) - F.col("_ntrig") + 1, F.lit(top_n))
+    else:
+        out = df.withColumns({"_cand": F.array().cast(f"array<{_DRIVER_TYPE}>"), "_ntrig": F.lit(0)})
+        top_trig = F.col("_cand")
 
     if imap is not None:
         order = importance_order or C.FEATURE_COLS
-        fb = [_driver_struct(i, f, F.col(f), weight(f),
+        fb = [_driver_struct(-weight(f), 100 + i, f, F.col(f), weight(f),
                              weight(f) * F.greatest(feature_intensity(f, F.col(f)), F.lit(0.1)))
-              .withField("w", weight(f))
               for i, f in enumerate(order) if f in cols]
-        # top importances first (stable on the table order), then keep top_n
-        fb_sorted = F.array_sort(F.array(*fb), lambda l, r: F.when(l["w"] > r["w"], -1)
-                                 .when(l["w"] < r["w"], 1).otherwise(l["ord"] - r["ord"]))
-        fallback = F.transform(F.slice(fb_sorted, 1, top_n), lambda x: x.dropFields("w"))
-        fallback = F.transform(fallback, lambda x: x.withField("ord", x["ord"] + F.lit(100)))
+        # the top importances (ties: table order), then re-keyed by score
+        out = out.withColumn("_fbw", F.slice(F.sort_array(F.array(*fb)), 1, top_n))
+        rekeyed = [F.try_element_at(F.col("_fbw"), F.lit(j)) for j in range(1, top_n + 1)]
+        rekeyed = [F.when(x.isNotNull(), x.withField("k1", -x["score"])) for x in rekeyed]
+        n_fb = F.size("_fbw")
+        fb_sorted = F.slice(F.sort_array(F.array(*rekeyed)), F.lit(top_n) - n_fb + 1, n_fb)
         has_imp = F.size(F.map_keys(imap)) > 0
-        chosen = F.when(F.size(triggered) > 0, triggered).when(has_imp, fallback).otherwise(triggered)
+        chosen = F.when(F.col("_ntrig") > 0, top_trig).when(has_imp, fb_sorted).otherwise(top_trig)
     else:
-        chosen = triggered
-    if chosen is None:
-        chosen = F.array().cast("array<struct<ord:int,feature:string,label:string,value:double,"
-                                "importance:double,feature_intensity:double,score:double,message:string>>")
-    ranked = F.slice(F.array_sort(chosen, lambda l, r: F.when(l["score"] > r["score"], -1)
-                                  .when(l["score"] < r["score"], 1).otherwise(l["ord"] - r["ord"])), 1, top_n)
-    out = df.withColumn("_drv", ranked)
-    total = F.aggregate(F.col("_drv"), F.lit(0.0), lambda acc, x: acc + F.greatest(x["score"], F.lit(0.0)))
+        chosen = top_trig
+    out = out.withColumn("_drv", chosen)
+    pos = range(1, top_n + 1)
+    out = out.withColumns({f"_d{j}": F.try_element_at(F.col("_drv"), F.lit(j)) for j in pos})
+    total = F.lit(0.0)
+    for j in pos:  # Python's sum order over the ranked drivers
+        total = total + F.coalesce(F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)), F.lit(0.0))
     out = out.withColumn("_tot", total)
-    with_pct = F.transform(F.col("_drv"), lambda x: x.withField(
-        "impact_pct", F.when(F.col("_tot") > 0, X.py_round(
-            (F.greatest(x["score"], F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False)).otherwise(F.lit(0.0))))
-    with_msg = F.transform(with_pct, lambda x: x.withField(
-        "quantified_message", T.render(C.QUANTIFIED_MESSAGE, bind=False, message=x["message"],
-                                       impact=x["impact_pct"])).dropFields("ord"))
-    out = out.withColumn("_drv", with_msg)
+    out = out.withColumns({f"_i{j}": F.when(F.col("_tot") > 0, X.py_round(
+        (F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1))
+        .otherwise(F.lit(0.0)) for j in pos})
+    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, message=F.col(f"_d{j}.message"),
+                                               impact=F.col(f"_i{j}")) for j in pos})
+    fields = ("feature", "label", "value", "importance", "feature_intensity", "score", "message")
+    drivers = F.slice(F.array(*[
+        F.when(F.col(f"_d{j}").isNotNull(), F.struct(
+            *[F.col(f"_d{j}.{f}").alias(f) for f in fields], F.col(f"_i{j}").alias("impact_pct"),
+            F.col(f"_q{j}").alias("quantified_message"))) for j in pos]), 1, F.size("_drv"))
     risk = F.lower(F.col(risk_col))
     summary = F.when(F.size(F.col("_drv")) > 0, T.render(
-        C.EXPLANATION_SUMMARY, risk=risk,
-        drivers=F.array_join(F.transform(F.col("_drv"), lambda x: x["quantified_message"]), "; "))
+        C.EXPLANATION_SUMMARY, risk=risk, drivers=F.array_join(F.array(*[F.col(f"_q{j}") for j in pos]), "; "))
     ).otherwise(T.render(C.EXPLANATION_NO_DRIVERS, risk=risk))
-    return (out.withColumn("explanation", F.struct(summary.alias("summary"), F.col("_drv").alias("drivers")))
-            .drop("_drv", "_tot", "_imp"))
+    temp = ["_cand", "_ntrig", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos]
+    return (out.withColumn("explanation", F.struct(summary.alias("summary"), drivers.alias("drivers")))
+            .drop(*[c for c in temp if c in out.columns]))
 
 
 def explain_long(explained: DataFrame, key: str = "primaryid") -> DataFrame:
