@@ -48,9 +48,10 @@ def confidence(p: str | Column, t: str | Column | float) -> Column:
     score = F.least(F.lit(1.0), F.lit(0.55) * F.least(dist / F.lit(0.35), F.lit(1.0)) + F.lit(0.45) * cert)
     level = (F.when(score >= 0.70, F.lit("High")).when(score >= 0.40, F.lit("Moderate"))
              .otherwise(F.lit("Low")))
-    return F.struct(level.alias("level"), X.py_round(score * F.lit(100.0), 1).alias("score"),
-                    X.py_round(dist, 3).alias("threshold_distance"),
-                    X.py_round(cert, 3).alias("certainty"))
+    # inputs are short arithmetic on one column: used directly (codegen shares the subexpressions)
+    return F.struct(level.alias("level"), X.py_round(score * F.lit(100.0), 1, bind=False).alias("score"),
+                    X.py_round(dist, 3, bind=False).alias("threshold_distance"),
+                    X.py_round(cert, 3, bind=False).alias("certainty"))
 
 
 # ---------------------------------------------------------------- O-72
@@ -102,7 +103,7 @@ def decision_text(risk: str | Column, label: str | Column, prob: str | Column,
                   drivers: str | Column, interp_sentence: str | Column) -> Column:
     dr = X.col_(drivers)
     key = F.when(F.size(dr) > 0, F.array_join(dr, ", ")).otherwise(F.lit(C.NO_DRIVERS_TEXT))
-    return T.render(C.DECISION_TEXT, risk=X.col_(risk), label=X.col_(label),
+    return T.render(C.DECISION_TEXT, bind=False, risk=X.col_(risk), label=X.col_(label),
                     confidence=X.col_(prob) * F.lit(100.0), drivers=key, interpretation=X.col_(interp_sentence))
 
 
@@ -223,9 +224,9 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
         total = total + F.coalesce(F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)), F.lit(0.0))
     out = out.withColumn("_tot", total)
     out = out.withColumns({f"_i{j}": F.when(F.col("_tot") > 0, X.py_round(
-        (F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1))
+        (F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False))
         .otherwise(F.lit(0.0)) for j in pos})
-    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, message=F.col(f"_d{j}.message"),
+    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, bind=False, message=F.col(f"_d{j}.message"),
                                                impact=F.col(f"_i{j}")) for j in pos})
     fields = ("feature", "label", "value", "importance", "feature_intensity", "score", "message")
     drivers = F.slice(F.array(*[
