@@ -72,7 +72,9 @@ def risk_score(age: str | Column = "age", drug_count: str | Column = "drug_count
     flags = (col_(polypharmacy).cast("int") * F.lit(C.POLYPHARMACY_POINTS)
              + col_(drug_repeat_flag).cast("int") * F.lit(C.REPEAT_POINTS))
     raw = total + flags.cast("double")
-    return py_round(raw, 2, bind=False) if rounding == "python" else rint_round(raw, 2)
+    if rounding == "none":
+        return raw
+    return py_round(raw, 2) if rounding == "python" else rint_round(raw, 2)
 
 
 def age_group(age: str | Column = "age") -> Column:

@@ -152,14 +152,16 @@ _DRIVER_TYPE = ("struct<k1:double,ord:int,feature:string,label:string,value:doub
                 "feature_intensity:double,score:double,message:string>")
 
 
-def _driver_struct(key: Column, ord_: int, feature: str, value: Column, weight: Column, score: Column) -> Column:
-    """A candidate driver; ``k1`` (then ``ord``) is its sort key, so plain ``sort_array`` ranks candidates."""
+def _driver_struct(key: Column, ord_: int, feature: str, score: Column) -> Column:
+    """A candidate driver; ``k1`` (then ``ord``) is its sort key, so plain ``sort_array`` ranks candidates.
+
+    Weight and intensity come from the staged columns ``_w_<f>`` / ``_in_<f>``,
+    so the exact rounding expands over column references only."""
     return F.struct(key.alias("k1"), F.lit(ord_).alias("ord"), F.lit(feature).alias("feature"),
                     F.lit(C.FEATURE_LABELS.get(feature, feature)).alias("label"),
-                    value.cast("double").alias("value"),
-                    X.py_round(weight, 4, bind=False).alias("importance"),
-                    X.py_round(feature_intensity(feature, value), 3, bind=False).alias("feature_intensity"),
-                    score.alias("score"), driver_message(feature, value).alias("message"))
+                    F.col(feature).cast("double").alias("value"),
+                    F.col(f"_wr_{feature}").alias("importance"), F.col(f"_inr_{feature}").alias("feature_intensity"),
+                    score.alias("score"), F.col(f"_msg_{feature}").alias("message"))
 
 
 def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame | None = None,
@@ -184,14 +186,29 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     def weight(f):
         return F.coalesce(imap[F.lit(f)], F.lit(0.0)) if imap is not None else F.lit(0.0)
 
+    order = importance_order or C.FEATURE_COLS
+    rule_feats = [f for f, _, _ in RULES if f in cols]
+    fb_feats = [f for f in order if f in cols] if imap is not None else []
+    staged = {}
+    for f in dict.fromkeys(rule_feats + fb_feats):
+        staged[f"_w_{f}"] = weight(f)
+        staged[f"_in_{f}"] = feature_intensity(f, F.col(f))
+    df = df.withColumns(staged)
+    feats = list(dict.fromkeys(rule_feats + fb_feats))
+    df = df.withColumns({**{f"_rs_{f}": (F.col(f"_w_{f}") + F.lit(0.05)) * F.col(f"_in_{f}") + F.lit(rw)
+                            for f, _, rw in RULES if f in cols},
+                         **{f"_fs_{f}": F.col(f"_w_{f}") * F.greatest(F.col(f"_in_{f}"), F.lit(0.1))
+                            for f in fb_feats},
+                         **{f"_wr_{f}": X.py_round(F.col(f"_w_{f}"), 4, bind=False) for f in feats},
+                         **{f"_inr_{f}": X.py_round(F.col(f"_in_{f}"), 3, bind=False) for f in feats},
+                         **{f"_msg_{f}": driver_message(f, F.col(f)) for f in feats}})
     cands, flags = [], []
     for i, (feat, trig, rw) in enumerate(RULES):
         if feat not in cols:
             continue
-        v = F.col(feat)
-        sc = (weight(feat) + F.lit(0.05)) * feature_intensity(feat, v) + F.lit(rw)
-        hit = F.coalesce(trig(v.cast("double")), F.lit(False))
-        cands.append(F.when(hit, _driver_struct(-sc, i, feat, v, weight(feat), sc)))
+        sc = F.col(f"_rs_{feat}")
+        hit = F.coalesce(trig(F.col(feat).cast("double")), F.lit(False))
+        cands.append(F.when(hit, _driver_struct(-sc, i, feat, sc)))
         flags.append(hit.cast("int"))
     if cands:
         out = df.withColumns({"_cand": F.sort_array(F.array(*cands)),  # nulls (untriggered) first
@@ -202,9 +219,7 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
         top_trig = F.col("_cand")
 
     if imap is not None:
-        order = importance_order or C.FEATURE_COLS
-        fb = [_driver_struct(-weight(f), 100 + i, f, F.col(f), weight(f),
-                             weight(f) * F.greatest(feature_intensity(f, F.col(f)), F.lit(0.1)))
+        fb = [_driver_struct(-F.col(f"_w_{f}"), 100 + i, f, F.col(f"_fs_{f}"))
               for i, f in enumerate(order) if f in cols]
         # the top importances (ties: table order), then re-keyed by score
         out = out.withColumn("_fbw", F.slice(F.sort_array(F.array(*fb)), 1, top_n))
@@ -237,7 +252,8 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     summary = F.when(F.size(F.col("_drv")) > 0, T.render(
         C.EXPLANATION_SUMMARY, risk=risk, drivers=F.array_join(F.array(*[F.col(f"_q{j}") for j in pos]), "; "))
     ).otherwise(T.render(C.EXPLANATION_NO_DRIVERS, risk=risk))
-    temp = ["_cand", "_ntrig", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos]
+    temp = ["_cand", "_ntrig", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos] \
+        + [c for c in out.columns if c.startswith(("_w_", "_in_", "_rs_", "_fs_", "_wr_", "_inr_", "_msg_"))]
     return (out.withColumn("explanation", F.struct(summary.alias("summary"), drivers.alias("drivers")))
             .drop(*[c for c in temp if c in out.columns]))
 

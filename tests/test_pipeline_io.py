@@ -59,3 +59,24 @@ def test_training_end_to_end_small(spark):
     cl = TR.clustering(split.drop("split"), split.filter("split = 'train'"), restarts=2)
     assert cl["cluster_summary"].count() == 3
     assert cl["pca_variance"].count() == 3
+
+
+def test_api_facade_end_to_end(spark, tmpdir_path):
+    """Reference-style calls: files -> case table -> quality -> metrics -> model -> scoring."""
+    from casekit import api
+    from casekit.plans import q_files
+
+    base = q_files.write_report_files(spark, SF001)
+    src = api.load_data(spark, base)
+    ct = api.preprocess_data(src["demo"], src["drug"], src["outc"], src["reac"])
+    assert ct.count() == 1269
+    rep = api.build_data_quality_report(processed=ct, **src)
+    assert rep["source_rows"].count() == 4
+    assert api.calculate_risk_deltas(ct).count() == 1
+    assert api.build_top_risk_segments(ct).count() == 10
+    res = TR.train_candidates(TR.prepare_split(ct), M.ModelSettings.fast(), names=["Decision Tree"])
+    up = ct.select("primaryid", "age", "sex", "drug_count", "reaction_count").limit(50)
+    scored = api.predict_cases(up, res).collect()
+    assert len(scored) == 50 and all(r["risk_level"] in ("Low", "Medium", "High") for r in scored)
+    ok, msg = api.validate_upload_data(up).first()
+    assert ok is True

@@ -37,6 +37,8 @@ def _pandas_rule(lines, n):
     out = []
     for line in lines:
         parts = line.split("$")
+        if len(parts) == 1 and not parts[0].strip():
+            continue  # a blank line (one field, white space only) is skipped
         if len(parts) > n:
             continue
         parts = parts + [None] * (n - len(parts))
