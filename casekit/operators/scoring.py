@@ -139,11 +139,15 @@ def driver_message(feature: str, v: Column) -> Column:
 
 
 def importance_map(importance: DataFrame | None) -> Column | None:
-    """Normalised |importance| per feature as a ``map`` (scalar subquery over <= 9 rows)."""
+    """Normalised |importance| per feature as a ``map`` (one scalar subquery over <= 9 rows).
+
+    The total comes from a window over the (bounded) importance table, so the
+    map is built by a single aggregate."""
     if importance is None:
         return None
+    from pyspark.sql import Window
     a = importance.select("feature", F.abs(F.col("importance").cast("double")).alias("a"))
-    tot = a.select(F.sum("a")).scalar()
+    tot = F.sum("a").over(Window.partitionBy())  # one row per feature
     norm = a.select("feature", F.when(tot > 0, F.col("a") / tot).otherwise(F.lit(0.0)).alias("w"))
     return norm.select(F.map_from_entries(F.collect_list(F.struct("feature", "w")))).scalar()
 
