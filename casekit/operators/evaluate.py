@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casekit import config as C
-from casekit.functions import columns as X
 from casekit.functions import text as T
 from casekit.operators import ranking as R
 

@@ -149,7 +149,9 @@ def importance_map(importance: DataFrame | None) -> Column | None:
     a = importance.select("feature", F.abs(F.col("importance").cast("double")).alias("a"))
     tot = F.sum("a").over(Window.partitionBy())  # one row per feature
     norm = a.select("feature", F.when(tot > 0, F.col("a") / tot).otherwise(F.lit(0.0)).alias("w"))
-    return norm.select(F.map_from_entries(F.collect_list(F.struct("feature", "w")))).scalar()
+    # the weight and its displayed (Python-rounded) form, computed once per query, not per row
+    entry = F.struct(F.col("w"), X.py_round(F.col("w"), 4, bind=False).alias("w4"))
+    return norm.select(F.map_from_entries(F.collect_list(F.struct("feature", entry)))).scalar()
 
 
 _DRIVER_TYPE = ("struct<k1:double,ord:int,feature:string,label:string,value:double,importance:double,"
@@ -187,8 +189,8 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
         df = df.withColumn("_imp", imap_q)
     imap = F.col("_imp") if imap_q is not None else None
 
-    def weight(f):
-        return F.coalesce(imap[F.lit(f)], F.lit(0.0)) if imap is not None else F.lit(0.0)
+    def weight(f, field="w"):
+        return F.coalesce(imap[F.lit(f)][field], F.lit(0.0)) if imap is not None else F.lit(0.0)
 
     order = importance_order or C.FEATURE_COLS
     rule_feats = [f for f, _, _ in RULES if f in cols]
@@ -203,7 +205,7 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
                             for f, _, rw in RULES if f in cols},
                          **{f"_fs_{f}": F.col(f"_w_{f}") * F.greatest(F.col(f"_in_{f}"), F.lit(0.1))
                             for f in fb_feats},
-                         **{f"_wr_{f}": X.py_round(F.col(f"_w_{f}"), 4, bind=False) for f in feats},
+                         **{f"_wr_{f}": weight(f, "w4") for f in feats},
                          **{f"_inr_{f}": X.py_round(F.col(f"_in_{f}"), 3, bind=False) for f in feats},
                          **{f"_msg_{f}": driver_message(f, F.col(f)) for f in feats}})
     cands, flags = [], []

@@ -8,6 +8,7 @@ such as model fits).
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ def build_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATERIALIZED: dict = {}
+_LOCK = threading.RLock()  # one materialisation per key even when queries run from several threads
 
 
 def _source_stamp(sf_dir: str) -> str:
@@ -61,12 +63,13 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from casekit.session import ensure_checkpoint_dir
     key = (spark.sparkContext.applicationId, sf_dir, _source_stamp(sf_dir))
-    path = _MATERIALIZED.get(key)
-    if path is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/casekit-cases/{key[0]}-{key[2]}"
-        build_cases(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
+    with _LOCK:
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            base = ensure_checkpoint_dir(spark).rstrip("/")
+            path = f"{base}/casekit-cases/{key[0]}-{key[2]}"
+            build_cases(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 

@@ -224,10 +224,6 @@ register("correlation_matrix", sql_correlation())(
 
 
 # ---------------------------------------------------------------- O-31
-def _fmt(x: str, digits: int = 1, sign: bool = False) -> str:
-    return O.sql_fmt(x, digits, sign)
-
-
 def _phrase(t: str, f: str) -> str:
     return (f"CASE WHEN {f} <= 0 THEN {TX.sql_literal(C.UNDEFINED_RELATIVE_PHRASE)} "
             f"ELSE {TX.render_sql(C.RELATIVE_PHRASE, rel=f'(({t} - {f}) / {f}) * {H}')} END")

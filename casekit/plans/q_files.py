@@ -10,8 +10,9 @@ session's checkpoint folder (shared storage on a cluster).
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.operators import prepare as P
@@ -27,6 +28,7 @@ from casekit.streaming import score_stream as SS
 D, RE = O.D, O.sql_round_even
 REPORT_FILES = {"demo": "DEMO.txt", "drug": "DRUG.txt", "outc": "OUTC.txt", "reac": "REAC.txt"}
 _DONE: dict = {}
+_LOCK = threading.RLock()
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -36,14 +38,18 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def write_report_files(spark: SparkSession, sf_dir: str) -> str:
     """O-4 in the report format: '$'-separated, Latin-1, header, values written verbatim."""
     key = (spark.sparkContext.applicationId, sf_dir, "reports")
-    if key not in _DONE:
-        base = _scratch(spark, f"reports-{abs(hash(sf_dir))}")
-        for name, df in FX.sources(spark, sf_dir).items():
-            (df.write.mode("overwrite").option("header", True).option("sep", "$")
-             .option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False)
-             .option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{REPORT_FILES[name]}"))
-        _DONE[key] = base
-    return _DONE[key]
+    with _LOCK:
+        return _DONE[key] if key in _DONE else _write_reports(spark, sf_dir, key)
+
+
+def _write_reports(spark: SparkSession, sf_dir: str, key) -> str:
+    base = _scratch(spark, f"reports-{abs(hash(sf_dir))}")
+    for name, df in FX.sources(spark, sf_dir).items():
+        (df.write.mode("overwrite").option("header", True).option("sep", "$")
+         .option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{REPORT_FILES[name]}"))
+    _DONE[key] = base
+    return base
 
 
 def q_case_table_from_files(spark, sf):
@@ -57,12 +63,16 @@ register("case_table_from_files", O.with_ctes("SELECT * FROM cases"))(q_case_tab
 
 def write_upload_csv(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "upload")
-    if key not in _DONE:
-        path = _scratch(spark, f"upload-{abs(hash(sf_dir))}")
-        up = cases(spark, sf_dir).select("primaryid", "age", "sex", "drug_count", "reaction_count")
-        DL.write_csv(up, path)
-        _DONE[key] = path
-    return _DONE[key]
+    with _LOCK:
+        return _DONE[key] if key in _DONE else _write_upload(spark, sf_dir, key)
+
+
+def _write_upload(spark: SparkSession, sf_dir: str, key) -> str:
+    path = _scratch(spark, f"upload-{abs(hash(sf_dir))}")
+    up = cases(spark, sf_dir).select("primaryid", "age", "sex", "drug_count", "reaction_count")
+    DL.write_csv(up, path)
+    _DONE[key] = path
+    return path
 
 
 def q_batch_score_from_csv(spark, sf):
@@ -85,10 +95,11 @@ def q_stream_score_cases(spark, sf) -> DataFrame:
     src = write_upload_csv(spark, sf)
     sink, ckpt = _scratch(spark, f"stream-sink-{abs(hash(sf))}"), _scratch(spark, f"stream-ckpt-{abs(hash(sf))}")
     key = (spark.sparkContext.applicationId, sf, "stream")
-    if key not in _DONE:
-        q = SS.run_to_parquet(SS.scored_stream(spark, src), sink, ckpt)
-        q.awaitTermination()
-        _DONE[key] = sink
+    with _LOCK:
+        if key not in _DONE:
+            q = SS.run_to_parquet(SS.scored_stream(spark, src), sink, ckpt)
+            q.awaitTermination()
+            _DONE[key] = sink
     return spark.read.parquet(_DONE[key]).select("primaryid", *C.FEATURE_COLS, "probability", "risk_level",
                                                  "predicted_label", "action", "confidence")
 

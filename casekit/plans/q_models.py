@@ -9,6 +9,8 @@ whole registry stays quick; the library default is the full one.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import functions as F
 
 from casekit import config as C
@@ -32,6 +34,7 @@ def r6(df, cols):
 
 
 _MEMO: dict = {}
+_LOCK = threading.RLock()
 
 
 def _mf(spark, sf):
@@ -45,9 +48,10 @@ def _split(spark, sf):
 def _split_cut(spark, sf):
     """The split, checkpointed once per session and shared by the keys that only read it."""
     key = (id(spark), sf, "split")
-    if key not in _MEMO:
-        _MEMO[key] = TR.prepare_split(cases(spark, sf))
-    return _MEMO[key]
+    with _LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = TR.prepare_split(cases(spark, sf))
+        return _MEMO[key]
 
 
 def _train(spark, sf):
@@ -152,9 +156,10 @@ register("stats_pvalues")(lambda spark, sf: T.stats_tests(_mf(spark, sf)))
 def _trained(spark, sf):
     """Fast-settings training shared by the model keys of one session (fit once per sf)."""
     key = (id(spark), sf)
-    if key not in _MEMO:
-        _MEMO[key] = TR.train_candidates(_split_cut(spark, sf), M.ModelSettings.fast())
-    return _MEMO[key]
+    with _LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = TR.train_candidates(_split_cut(spark, sf), M.ModelSettings.fast())
+        return _MEMO[key]
 
 
 register("train_models")(lambda spark, sf: _trained(spark, sf).eval_df)
@@ -172,7 +177,9 @@ register("permutation_importance")(
 
 def _clusters(spark, sf):
     key = (id(spark), sf, "clusters")
-    if key not in _MEMO:
+    with _LOCK:
+        if key in _MEMO:
+            return _MEMO[key]
         sp = _split_cut(spark, sf)
         _MEMO[key] = TR.clustering(sp.drop("split"), sp.filter(F.col("split") == "train"), restarts=3)
     return _MEMO[key]

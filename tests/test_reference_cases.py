@@ -1,6 +1,5 @@
 """The reference's own five example tests, on Spark tables."""
 
-from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X

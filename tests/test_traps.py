@@ -5,7 +5,6 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import columns as X
