@@ -29,7 +29,9 @@ def _digits(spec: str) -> tuple[int, bool]:
     return int(body[1:-1]), sign
 
 
-def render(template: str, bind: bool = True, **fields: Column | str) -> Column:
+def render(template: str, bind: bool = True, rounded: bool = False, **fields: Column | str) -> Column:
+    """``rounded=True``: the numeric fields already hold Python-rounded values at the
+    template's precision, so they are formatted without rounding them again."""
     parts: list[Column] = []
     for literal, field, spec in _pieces(template):
         if literal:
@@ -39,7 +41,10 @@ def render(template: str, bind: bool = True, **fields: Column | str) -> Column:
         v = X.col_(fields[field]) if isinstance(fields[field], str) else fields[field]
         if spec:
             d, sign = _digits(spec)
-            parts.append(X.fmt_fixed(v, d, sign=sign, bind=bind))
+            if rounded:
+                parts.append(F.when(v.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{d}f", v.cast("double"))))
+            else:
+                parts.append(X.fmt_fixed(v, d, sign=sign, bind=bind))
         else:
             parts.append(v.cast("string"))
     return F.concat(*parts) if len(parts) > 1 else parts[0]

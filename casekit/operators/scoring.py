@@ -172,7 +172,7 @@ def _driver_struct(key: Column, ord_: int, feature: str, score: Column) -> Colum
 
 def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame | None = None,
             top_n: int = C.EXPLAIN_TOP_N, importance_order: list[str] | None = None) -> DataFrame:
-    """Adds ``explanation`` = struct(summary, drivers array<struct>) per case.
+    """Adds ``explanation`` = struct(summary, drivers array<struct>, n_drivers) per case.
 
     Up to 8 rule-triggered drivers weighted by model importance, else the
     top importances; ranked by score (stable on the rule order), top N,
@@ -247,7 +247,8 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     out = out.withColumns({f"_i{j}": F.when(F.col("_tot") > 0, X.py_round(
         (F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False))
         .otherwise(F.lit(0.0)) for j in pos})
-    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, bind=False, message=F.col(f"_d{j}.message"),
+    # _i<j> is already Python-rounded to 1 decimal: '%.1f' prints it verbatim, no second rounding needed
+    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, rounded=True, message=F.col(f"_d{j}.message"),
                                                impact=F.col(f"_i{j}")) for j in pos})
     fields = ("feature", "label", "value", "importance", "feature_intensity", "score", "message")
     drivers = F.slice(F.array(*[
@@ -260,7 +261,8 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     ).otherwise(T.render(C.EXPLANATION_NO_DRIVERS, risk=risk))
     temp = ["_cand", "_ntrig", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos] \
         + [c for c in out.columns if c.startswith(("_w_", "_in_", "_rs_", "_fs_", "_wr_", "_inr_", "_msg_"))]
-    return (out.withColumn("explanation", F.struct(summary.alias("summary"), drivers.alias("drivers")))
+    return (out.withColumn("explanation", F.struct(summary.alias("summary"), drivers.alias("drivers"),
+                                                   F.size("_drv").alias("n_drivers")))
             .drop(*[c for c in temp if c in out.columns]))
 
 

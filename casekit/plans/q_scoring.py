@@ -387,7 +387,7 @@ SELECT c.primaryid,
 FROM cases c LEFT JOIN (SELECT primaryid, string_agg(quantified_message, '; ' ORDER BY rank) AS qm, count(*) AS n
                         FROM exq GROUP BY primaryid) sm USING (primaryid)""", EXPLAIN_CTES))(
     lambda spark, sf: _explained(spark, sf).select(
-        "primaryid", "explanation.summary", F.size("explanation.drivers").alias("n_drivers")))
+        "primaryid", "explanation.summary", "explanation.n_drivers"))
 
 
 # ---------------------------------------------------------------- O-79 / O-80
