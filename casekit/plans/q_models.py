@@ -3,8 +3,9 @@
 Split, sample, weights, scaling, mutual information and test statistics
 are exact and carry a DuckDB oracle. Model fits (network, forest, tree,
 logistic, k-means, PCA) are not SQL-shaped: they are registered without
-an oracle and use the small ``ModelSettings.fast()`` configuration so the
-whole registry stays quick; the library default is the full one.
+an oracle and use the small ``ModelSettings.fast()`` configuration (and 3
+k-means restarts instead of 10) so the whole registry stays quick; the
+library default is the full one.
 """
 
 from __future__ import annotations
