@@ -68,7 +68,9 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             base = ensure_checkpoint_dir(spark).rstrip("/")
             path = f"{base}/casekit-cases/{key[0]}-{key[2]}"
-            build_cases(spark, sf_dir).write.mode("overwrite").parquet(path)
+            # rows sorted by age inside each file: Parquet min/max statistics then let
+            # age-range cohort filters skip row groups (a local sort, no shuffle)
+            build_cases(spark, sf_dir).sortWithinPartitions("age").write.mode("overwrite").parquet(path)
             _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
