@@ -539,3 +539,5 @@ SELECT CAST(primaryid AS VARCHAR) AS primaryid, age, sex, CAST(drug_count AS DOU
        CAST(reaction_count AS DOUBLE) AS reaction_count, serious, polypharmacy, elderly,
        {O.sql_age_group('age')} AS age_group, sex_code, risk_score, severity_label FROM cases"""))(
     lambda spark, sf: P.prepare_labelled(cases(spark, sf)))
+register("build_feature_frame", O.with_ctes(f"SELECT {_FEATS} FROM prep", {"prep": _prep_sql("cases")}))(
+    lambda spark, sf: P.build_feature_frame(_upload(spark, sf).drop("primaryid")))
