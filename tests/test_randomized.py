@@ -60,3 +60,17 @@ def test_ragged_reader_matches_rule(spark, rows):
     got = sorted((tuple(r) for r in DL.read_delimited(spark, path).collect()), key=repr)
     exp = sorted(_pandas_rule(lines, n), key=repr)
     assert got == exp
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.one_of(st.floats(min_value=-1e3, max_value=1e3, allow_nan=False, allow_infinity=False),
+                          st.integers(min_value=-50, max_value=50).map(float)), min_size=2, max_size=400))
+def test_histogram_matches_numpy(spark, values):
+    import numpy as np
+
+    from casekit.operators import cohort as K
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r["count"] for r in K.histogram(df, "x").orderBy("bin").collect()]
+    lo, hi = min(values), max(values)
+    exp, _ = np.histogram(np.array(values), bins=30, range=(lo, hi) if lo < hi else None)
+    assert got == exp.tolist()
