@@ -227,3 +227,20 @@ def test_risk_score_bounds(spark, value):
     got = df.select(X.risk_score("a", "d", "u", "r", "p", "f")).first()[0]
     assert 0.0 <= got <= 100.0
     assert not math.isnan(got)
+
+
+def test_resolve_column_rules(spark):
+    """O-2: case-insensitive candidates in order; the last of duplicate lower-case names wins; miss -> KeyError."""
+    df = spark.createDataFrame([(1, "M", "F")], "PrimaryID int, Gender string, SEX string")
+    assert P.resolve_column(df, ["primaryid"]) == "PrimaryID"
+    assert P.resolve_column(df, ["sex", "gender"]) == "SEX"
+    with pytest.raises(KeyError):
+        P.resolve_column(df, ["age"])
+
+
+def test_single_class_guard(spark):
+    """O-38: training needs both classes."""
+    from casekit.operators import sampling as SM
+    df = spark.createDataFrame([(1, 0), (2, 0)], "primaryid long, serious int")
+    with pytest.raises(ValueError):
+        SM.require_two_classes(df)
