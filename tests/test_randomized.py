@@ -74,3 +74,24 @@ def test_histogram_matches_numpy(spark, values):
     lo, hi = min(values), max(values)
     exp, _ = np.histogram(np.array(values), bins=30, range=(lo, hi) if lo < hi else None)
     assert got == exp.tolist()
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(min_value=1, max_value=11999).map(lambda a: a / 100.0),
+                          st.integers(min_value=0, max_value=40), st.integers(min_value=0, max_value=40),
+                          st.integers(min_value=0, max_value=20), st.integers(min_value=0, max_value=1)),
+                min_size=20, max_size=300))
+def test_risk_score_bit_identical(spark, rows):
+    import numpy as np
+    import pandas as pd
+
+    df = spark.createDataFrame(rows, "age double, dc int, udc int, rc int, rep int")
+    poly = (df["dc"] >= 5).cast("int")
+    got = df.select(X.risk_score("age", "dc", "udc", "rc", poly, "rep").alias("np_rule"),
+                    X.risk_score("age", "dc", "udc", "rc", poly, "rep", rounding="python").alias("py_rule")).collect()
+    p = pd.DataFrame(rows, columns=["age", "dc", "udc", "rc", "rep"])
+    raw = ((p["age"].clip(0, 100) / 100) * 25 + (p["dc"].clip(0, 20) / 20) * 30 + (p["udc"].clip(0, 20) / 20) * 15
+           + (p["rc"].clip(0, 10) / 10) * 20 + ((p["dc"] >= 5).astype(int) * 7 + p["rep"] * 3))
+    assert [r["np_rule"] for r in got] == raw.round(2).tolist()
+    assert [r["py_rule"] for r in got] == [round(float(v), 2) for v in raw]
+    assert np.all(np.isfinite(raw))
