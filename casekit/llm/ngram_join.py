@@ -359,10 +359,14 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the document with the smallest doc_id (repeated rows of it once).
-
-    Empty documents and rows without doc_id are in no group and all stay.
+    """Rows of ``docs`` that stay: of each component the document with the smallest doc_id, and of rows that repeat
+    that doc_id one. Empty documents and rows without doc_id are in no group and all stay.
     """
-    got = join(docs)
-    gone = got.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    got = cut(join(docs))
+    gone = cut(got.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(got.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        return kept
+    once = kept.join(small(twice, 1_000_000), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(small(twice, 1_000_000), "doc_id", "left_anti").select(*docs.columns).union(once)
