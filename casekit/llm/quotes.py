@@ -51,17 +51,20 @@ def quotations(messages: DataFrame) -> DataFrame:
 
 
 def _up(parents: DataFrame) -> DataFrame:
-    """``node, root, depth`` by doubling the steps; each round is checkpointed."""
-    now = cut(parents.select("list_id", F.col("message_id").alias("node"), F.coalesce("parent_id", "message_id").alias("root"),
-                             F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")))
-    while True:
-        up = now.select(F.col("list_id").alias("l"), F.col("node").alias("mid"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        new = cut(now.join(up, F.col("list_id").eqNullSafe(F.col("l")) & (F.col("root") == F.col("mid")), "left").select(
+    """``list_id, node, root, depth`` by doubling the steps; only messages that are not at their first one go on.
+
+    An answer is later than what it answers, so there is no cycle. Each round is checkpointed.
+    """
+    go = cut(parents.select("list_id", F.col("message_id").alias("node"), F.coalesce("parent_id", "message_id").alias("root"),
+                            F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("parent_id").isNull().alias("done")))
+    done, go = go.where("done"), go.where("NOT done")
+    while go.limit(1).count():
+        up = done.union(go).select(F.col("list_id").alias("l"), F.col("node").alias("mid"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        new = cut(go.join(up, F.col("list_id").eqNullSafe(F.col("l")) & (F.col("root") == F.col("mid")), "left").select(
             "list_id", "node", F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
-        if not new.where("moved").limit(1).count():
-            return new.drop("moved")
-        now = new.drop("moved")
+            F.coalesce("ends", F.lit(True)).alias("done")))
+        done, go = done.union(new.where("done")), new.where("NOT done")
+    return done.drop("done")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
