@@ -79,7 +79,7 @@ def class_of(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parity bit map: bit i tells whether an odd number of elements falls into it."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    bits = max(64, 1 << int(len(s) // 2).bit_length())
     odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
