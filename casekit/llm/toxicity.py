@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from casekit.llm.common import slices, texts
 
-SAMPLE = 2_000  # documents of each class at most
+SAMPLE = 1_000  # documents of each class at most
 LANDMARKS, BACKGROUND, LIKE = 64, 16, 48  # telling, frequent, and clean words that look like telling ones
 TELLS = 1.5  # least log odds of a telling landmark
 GAP, DECAY, POWER, WIDTH, STEP = 3, 0.6, 3, 32, 16
@@ -42,6 +42,7 @@ LETTERS = 40  # a-z and 14 classes for other letters
 #: Digits and signs that stand for letters inside a word.
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
+CHUNK = 20_000  # words whose kernel values are held at once in training
 KEEP = 700_000  # tokens remembered by a worker
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
@@ -99,7 +100,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     """Kernel of each word to each landmark."""
-    out = np.zeros((len(words), len(marks)))
+    out = np.zeros((len(words), len(marks)), np.float32)
     mark, code, value = features(marks)
     known, row = np.unique(code, return_inverse=True)
     matrix = np.zeros((len(known), len(marks)), np.float32)
@@ -115,7 +116,7 @@ def kernel(words: list[bytes], marks: list[bytes]) -> np.ndarray:
         if len(word):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             out[part[word[first]]] = np.add.reduceat(matrix[hit] * value[:, None].astype(np.float32), first, axis=0)
-    return np.clip(out, 0, 1)**POWER
+    return np.clip(out, 0, 1, out=out)**POWER
 
 
 @dataclass
@@ -185,8 +186,8 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0
         if active is not None and (now == active).all():
             break
         active = now
-        xa, wa = x[active], weight[active]
-        w = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(pull), (xa * (wa * y[active])[:, None]).sum(axis=0))
+        xa, wa = x[active], weight[active].astype(np.float32)
+        w = np.linalg.solve((xa * wa[:, None]).T.astype(np.float32) @ xa + np.diag(pull), (xa * (wa * y[active])[:, None]).sum(axis=0))
     return w
 
 
@@ -201,7 +202,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30)
 
 def train(docs: list[str], toxic: np.ndarray, odds: float | None = None) -> Model:
     """Model from labelled texts (both classes present); ``odds``: of toxic among all labelled rows."""
-    cut = [tokens(t) for t in docs]
+    pool: dict[str, str] = {}  # one string for each distinct token
+    cut = [[pool.setdefault(t, t) for t in tokens(d)] for d in docs]
     known = {t: letters(t) for t in set(chain.from_iterable(cut))}
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for c, y in zip(cut, toxic):
@@ -209,31 +211,45 @@ def train(docs: list[str], toxic: np.ndarray, odds: float | None = None) -> Mode
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     tells = {w: k / n1 * np.log((k + 0.5) / (n1 + 1) * (n0 + 1) / (seen[0][w] + 0.5)) for w, k in seen[1].items()}
     marks = sorted((w for w in tells if seen[1][w] >= 2 and tells[w] > TELLS * seen[1][w] / n1), key=lambda w: (-tells[w], w))[:LANDMARKS]
-    clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w not in set(marks)]
+    chosen = set(marks)
+    clean = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w not in chosen]
     if marks:
-        alike = kernel(clean, marks).max(axis=1) * np.array([seen[0][w] for w in clean])
+        alike = np.concatenate([kernel(clean[i:i + CHUNK], marks).max(axis=1) for i in range(0, len(clean), CHUNK)] or [np.zeros(0)])
+        alike = alike * np.array([seen[0][w] for w in clean])
         marks += [clean[i] for i in np.argsort(-alike, kind="stable")[:LIKE] if alike[i] > 0]
-    marks += [w for w in clean if w not in set(marks)][:BACKGROUND]
+    chosen.update(marks)
+    marks += [w for w in clean if w not in chosen][:BACKGROUND]
     if not marks:
         return Model(share=float(toxic.mean()))
     flat = list(dict.fromkeys(chain.from_iterable(known.values())))
     place = {w: i for i, w in enumerate(flat)}
-    near = np.vstack([kernel(flat, marks), np.zeros((1, len(marks)))])
     gram = kernel(marks, marks)
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-2))) @ vec.T
-    rows, owner = [], []
+    owner, word, sentence = [], [], []
     for i, c in enumerate(cut):
         start = 0
         for j, t in enumerate(c):
             if t[-1] in ".!?" or j + 1 == len(c):
                 words = [place[w] for u in c[start:j + 1] for w in known[u]]
                 if words:
-                    rows.append(near[words].sum(axis=0))
+                    word += words
+                    sentence += [len(owner)] * len(words)
                     owner.append(i)
                 start = j + 1
+    word_a, sentence_a = np.array(word, np.int32), np.array(sentence, np.int32)
+    del word, sentence, cut, known, pool
+    x = np.zeros((len(owner), len(marks) + 1), np.float32)
+    for at in range(0, len(flat), CHUNK):  # adds up each sentence's kernel values, some words at a time
+        use = np.flatnonzero((word_a >= at) & (word_a < at + CHUNK))
+        near = kernel(flat[at:at + CHUNK], marks)
+        for k in range(0, len(use), 100_000):
+            part = use[k:k + 100_000]  # in order of sentences
+            first = np.flatnonzero(np.r_[True, np.diff(sentence_a[part]) > 0])
+            x[sentence_a[part][first], :-1] += np.add.reduceat(near[word_a[part] - at], first, axis=0)
+    x[:, :-1] = x[:, :-1] @ root.astype(np.float32)
+    x[:, -1] = 1
     owner_a = np.array(owner, int)
-    x = np.hstack([np.array(rows) @ root, np.ones((len(rows), 1))])
     y = np.where(toxic[owner_a] == 1, 1.0, -1.0)
 
     def fitted(use, sign):
@@ -247,7 +263,9 @@ def train(docs: list[str], toxic: np.ndarray, odds: float | None = None) -> Mode
     if (use & (y > 0)).any():
         w = fitted(use, y)
     model = Model(marks, root @ w[:-1], float(w[-1]))
-    model.logit = logistic(Scorer(model).evidence(docs), toxic.astype(float))
+    scorer = Scorer(model)
+    shown = np.vstack([scorer.evidence(docs[i:i + 200]) for i in range(0, len(docs), 200)])
+    model.logit = logistic(shown, toxic.astype(float))
     if odds:  # the sample is balanced, the labelled rows are not
         model.logit[0] += np.log(odds * n0 / n1)
     return model
