@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import slices, texts
+from casekit.llm.common import cut, slices, texts
 
 #: Short public license notices.
 TEMPLATES = {
@@ -143,5 +143,5 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """License of every file, its own or inherited."""
-    return inherit(scan_files(files))
+    """License of every file, its own or inherited; the texts are scanned once, the findings checkpointed."""
+    return inherit(cut(scan_files(files)))
