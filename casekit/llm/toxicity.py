@@ -131,22 +131,22 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, self.number, self.gain, self.ends = model, {}, np.zeros(0), np.zeros(0, bool)
+        self.m, self.number, self.gain, self.ends, self.value = model, {}, np.zeros(0), np.zeros(0, bool), {}
 
     def learn(self, new: list[str]) -> None:
         words = [letters(t) for t in new]
-        flat = list(dict.fromkeys(chain.from_iterable(words)))
-        place = {w: i for i, w in enumerate(flat)}
-        g = kernel(flat, self.m.marks) @ self.m.weights if flat and self.m.marks else np.zeros(len(flat))
+        flat = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.value]
+        if flat:
+            self.value.update(zip(flat, (kernel(flat, self.m.marks) @ self.m.weights).tolist()))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.gain = np.concatenate([self.gain, [sum(g[place[w]] for w in ws) for ws in words]])
+        self.gain = np.concatenate([self.gain, [sum(self.value[w] for w in ws) for ws in words]])
         self.ends = np.concatenate([self.ends, [t[-1] in ".!?" for t in new]])
 
     def evidence(self, docs: list[str]) -> np.ndarray:
         """For each text: 1, highest sentence margin, log of positive sentences, their share."""
         cut = [tokens(t) for t in docs]
         if len(self.number) > KEEP:
-            self.number, self.gain, self.ends = {}, np.zeros(0), np.zeros(0, bool)
+            self.number, self.gain, self.ends, self.value = {}, np.zeros(0), np.zeros(0, bool), {}
         new = list(set(chain.from_iterable(cut)) - self.number.keys())
         if new:
             self.learn(sorted(new))
