@@ -79,7 +79,7 @@ def class_of(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parity bit map: bit i tells whether an odd number of elements falls into it."""
-    bits = max(64, 1 << int(len(s) // 2).bit_length())
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -269,15 +269,31 @@ def _maybe_pairs(batches):
 
 
 def _open_members(batches):
-    """(run, cls) of members that may be similar to one of another component."""
+    """(run, cls) of members that may be similar to one of another component.
+
+    Members that such pairs connect form a run of their own, named by its members, so a pair that met under many
+    signatures comes once.
+    """
+    before: set[int] = set()
     for t in _groups(batches):
         comp = t.column("comp").to_numpy()
-        if len(set(comp)) > 1:
-            near = _may_link(t.column("sketch").to_pylist(), t.column("n").to_numpy()) & (comp[:, None] != comp[None, :])
-            at = np.flatnonzero(near.any(axis=1))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(t.column("run").to_numpy()[at]), pa.array(t.column("cls").to_numpy()[at])],
-                                                 ["run", "cls"])
+        if len(set(comp)) < 2:
+            continue
+        near = _may_link(t.column("sketch").to_pylist(), t.column("n").to_numpy()) & (comp[:, None] != comp[None, :])
+        group = {}
+        for u, v in _forest(near):
+            group[v] = group[u] = group.get(u, u)
+        cls, parts = t.column("cls").to_numpy(), {}
+        for i, g in group.items():
+            parts.setdefault(g, []).append(i)
+        for at in parts.values():
+            own = np.sort(cls[at])
+            run = int((mix(own.view(U64)).sum() + U64(len(own))).astype(np.int64))
+            if run not in before:
+                if len(before) > 500_000:
+                    before.clear()
+                before.add(run)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), run)), pa.array(own)], ["run", "cls"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
