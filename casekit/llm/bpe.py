@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -24,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import slices, texts
+from casekit.llm.common import held, slices, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pre-token pattern of the byte-level scheme.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept from one slice to the next, and the longest such word (bytes); both bound memory only.
-KEEP_WORDS, KEEP_BYTES = 500_000, 48
+KEEP_WORDS, KEEP_BYTES = 400_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,7 +75,7 @@ class Codec:
         """Whether ``token`` stands as it is after ``before`` (-1: at the start of a word)."""
         key = (before, token)
         if (found := self.fits.get(key)) is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             if before < 0:
                 found = self.merged(self.token[token]) == [token]
@@ -143,9 +142,8 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -34,6 +34,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make()`` gave for ``key`` in this worker process; only the last key is kept, so that the memory of one
+    operator's words is free before the next operator's tasks run in the same worker."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` text bytes (one longer text stays whole)."""
     if batch.num_rows == 0:

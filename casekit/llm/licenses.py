@@ -105,17 +105,13 @@ class Index:
         return found[2], found[0], found[1]
 
 
-_INDEX: list[Index] = []
-
-
 def scan_files(files: DataFrame) -> DataFrame:
     """``doc_id, path, own_license, cosine, line`` of every file."""
     def run(batches):
-        if not _INDEX:
-            _INDEX.append(Index())
+        index = Index()
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [_INDEX[0].scan(t) for t in texts(part, "text")]
+                got = [index.scan(t) for t in texts(part, "text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                      pa.array([g[2] for g in got], pa.int64())], ["doc_id", "path", "own_license", "cosine", "line"])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import slices, texts
+from casekit.llm.common import held, slices, texts
 
 SAMPLE = 1_000  # documents of each class at most
 LANDMARKS, BACKGROUND, LIKE = 64, 16, 48  # telling, frequent, and clean words that look like telling ones
@@ -43,7 +43,7 @@ LETTERS = 40  # a-z and 14 classes for other letters
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 CHUNK = 20_000  # words whose kernel values are held at once in training
-KEEP = 700_000  # tokens remembered by a worker
+KEEP = 500_000  # tokens remembered by a worker
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
 
@@ -290,16 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(got.text.to_list(), toxic, total[1] / total[0])
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """One scorer for each model and worker process, so that its words outlive a task."""
-    key = (tuple(model.marks), model.weights.tobytes(), model.offset, model.logit.tobytes(), model.share)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    return held(("toxicity", tuple(model.marks), model.weights.tobytes(), model.offset, model.logit.tobytes(), model.share), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
