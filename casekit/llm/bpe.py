@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pre-token pattern of the byte-level scheme.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept from one slice to the next, and the longest such word (bytes); both bound memory only.
-KEEP_WORDS, KEEP_BYTES = 400_000, 48
+KEEP_WORDS, KEEP_BYTES = 250_000, 48
 
 
 def byte_letters() -> dict[str, int]:

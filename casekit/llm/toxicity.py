@@ -43,7 +43,7 @@ LETTERS = 40  # a-z and 14 classes for other letters
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 CHUNK = 20_000  # words whose kernel values are held at once in training
-KEEP = 500_000  # tokens remembered by a worker
+KEEP = 400_000  # tokens remembered by a worker
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
 
@@ -108,8 +108,8 @@ def kernel(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     place = np.full((LETTERS + 1)**3, -1, np.int64)
     place[known] = np.arange(len(known))
     order = np.argsort(np.array([len(w) for w in words], int), kind="stable")  # words of like length share a matrix
-    for at in range(0, len(words), 4000):
-        part = order[at:at + 4000]
+    for at in range(0, len(words), 1000):
+        part = order[at:at + 1000]
         word, code, value = features([words[i] for i in part])
         hit = place[code]
         word, value, hit = word[hit >= 0], value[hit >= 0], hit[hit >= 0]
