@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casekit.session import ensure_checkpoint_dir
+
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
     if n:
@@ -45,6 +47,10 @@ def rank_distinct(df: DataFrame, value_col: str, keys: list[str] | tuple = (),
     order = F.col(value_col).asc() if ascending else F.col(value_col).desc()
     d = (d.repartitionByRange(n, *[F.col(k).asc() for k in keys], order)
           .withColumn("_pid", F.spark_partition_id()))
+    # Range bounds are sampled, so two evaluations may cut differently: the cut rows are
+    # materialised once (checkpoint in the shared folder) and both branches below read them.
+    ensure_checkpoint_dir(df.sparkSession)
+    d = d.checkpoint(eager=True)
     tot_aggs = [F.sum("cnt").alias("_pcnt"), F.count(F.lit(1)).alias("_pidx")] + \
                [F.sum(w).alias(f"_p_{w}") for w in weights]
     tot = d.groupBy("_pid", *keys).agg(*tot_aggs)

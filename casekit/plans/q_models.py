@@ -48,7 +48,7 @@ def _split(spark, sf):
 
 def _split_cut(spark, sf):
     """The split, checkpointed once per session and shared by the keys that only read it."""
-    key = (id(spark), sf, "split")
+    key = (spark.sparkContext.applicationId, sf, "split")
     with _LOCK:
         if key not in _MEMO:
             _MEMO[key] = TR.prepare_split(cases(spark, sf))
@@ -156,7 +156,7 @@ register("stats_pvalues")(lambda spark, sf: T.stats_tests(_mf(spark, sf)))
 
 def _trained(spark, sf):
     """Fast-settings training shared by the model keys of one session (fit once per sf)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     with _LOCK:
         if key not in _MEMO:
             _MEMO[key] = TR.train_candidates(_split_cut(spark, sf), M.ModelSettings.fast())
@@ -177,7 +177,7 @@ register("permutation_importance")(
 
 
 def _clusters(spark, sf):
-    key = (id(spark), sf, "clusters")
+    key = (spark.sparkContext.applicationId, sf, "clusters")
     with _LOCK:
         if key in _MEMO:
             return _MEMO[key]

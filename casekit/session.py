@@ -48,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...),
     which is what lineage cuts write to. Only a local test session without
-    that setting gets a fresh scratch folder.
+    that setting gets a fresh scratch folder; on a cluster it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="casekit-ckpt-")
     sc.setCheckpointDir(scratch)
     return scratch

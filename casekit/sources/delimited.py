@@ -78,15 +78,19 @@ def load_sources(spark: SparkSession, directory: str, files: dict[str, str], **k
     return {name: read_delimited(spark, f"{directory.rstrip('/')}/{fname}", **kw) for name, fname in files.items()}
 
 
+#: One option set for the reader and the writer: doubled quotes, blanks kept, no backslash escapes.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """O-3: a comma CSV with a header; strings only, pandas' missing markers as null."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = spark.read.options(**CSV).option("inferSchema", False).option("multiLine", True).csv(path)
     return df.select(*[_na_to_null(c).alias(c) for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """O-4: CSV sink with a header (one file per partition, written in parallel)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
