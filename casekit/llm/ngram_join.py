@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import LOWER, U64, cut, mix, raw, slices, small, word_hashes
+from casekit.llm.common import LOWER, U64, cut, held, mix, raw, slices, small, word_hashes
 from casekit.llm.components import components
 
 WORDS, LEAST = 5, 4  # shingle length; sets below 4 shingles are similar only if equal
@@ -106,6 +106,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches):
+    held(None, lambda: None)  # frees what other operators keep in this worker
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(raw(part, "text"))
@@ -115,6 +116,7 @@ def _profile(batches):
 
 
 def _signature_rows(batches):
+    held(None, lambda: None)
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text"):
@@ -132,6 +134,7 @@ def _signature_rows(batches):
 
 
 def _full_sets(batches):
+    held(None, lambda: None)  # frees what other operators keep in this worker
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingle_sets(raw(part, "text"))

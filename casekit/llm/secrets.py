@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.llm.common import cut, slices, texts
+from casekit.llm.common import cut, held, slices, texts
 
 #: Kinds in order, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -148,6 +148,7 @@ def candidates(text: str, base, random_level: float) -> list[tuple[int, int, int
 def _scan(docs: DataFrame, random_level: float) -> DataFrame:
     """``doc_id, base, cand`` of every row: base spans and candidates of whole texts."""
     def run(batches):
+        held(None, lambda: None)  # frees what other operators keep in this worker
         for batch in batches:
             for part in slices(batch, "text"):
                 base, cand = [], []
@@ -199,6 +200,7 @@ def redact(docs: DataFrame, level: float = LEVEL, random_level: float = RANDOM_L
         return "".join(out) + text[at:] if out else text
 
     def run(batches):
+        held(None, lambda: None)  # frees what other operators keep in this worker
         for batch in batches:
             for part in slices(batch, "text"):
                 old = part.column(part.schema.get_field_index("text")).to_pylist()
