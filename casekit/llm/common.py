@@ -6,6 +6,8 @@ output name) are ignored where the result has a fixed schema.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +44,21 @@ def held(key, make):
     operator's words is free before the next operator's tasks run in the same worker."""
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system (allocators keep it for themselves otherwise)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` text bytes (one longer text stays whole)."""
     if batch.num_rows == 0:

@@ -35,7 +35,8 @@ from casekit.llm.components import components
 
 WORDS, LEAST = 5, 4  # shingle length; sets below 4 shingles are similar only if equal
 SPARE = 1.1  # partitions for each one that the argument needs, so that empty ones can be left out
-BLOCK, BLOCK_BYTES = 4096, 64_000_000
+BLOCK, BLOCK_BYTES = 4096, 64_000_000  # members, and bytes of sketches or sets, of a block
+TILE = 1024
 OPEN = 2_000_000  # a run longer than this is passed on without being held
 
 
@@ -190,10 +191,11 @@ def _runs(batches):
         yield out
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Deals the members of each run out to pairs of blocks: columns ``run, x, y`` name the block pair."""
-    size = rows.groupBy("run").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+def _in_blocks(rows: DataFrame, weight) -> DataFrame:
+    """Deals the members of each run out to pairs of blocks: columns ``run, x, y`` name the block pair. ``weight``:
+    bytes of a member."""
+    size = rows.groupBy("run").agg(F.count(F.lit(1)).alias("members"), F.sum(weight).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     own = F.pmod(F.hash("cls"), blocks)
     dealt = rows.join(size, "run").withColumn("own", own).withColumn(
         "other", F.explode(F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
@@ -230,9 +232,18 @@ def _may_link(sketches: list[bytes], n: np.ndarray) -> np.ndarray:
     if len(rows) == 2:
         ok = 9 * int(np.unpackbits(rows[0] ^ rows[1]).sum()) <= n[0] + n[1]
         return np.array([[False, ok], [ok, False]])
-    x = np.unpackbits(np.stack(rows), axis=1).astype(np.float32) * 2 - 1
-    far = (8 * width - x @ x.T) / 2
-    ok = 9 * far <= n[:, None] + n[None, :] + 0.01
+    bits, ok = np.stack(rows), np.zeros((len(rows), len(rows)), bool)
+    kind = np.float32 if width < 100_000 else np.float64  # all values are multiples of a half, exact either way
+    for i in range(0, len(rows), TILE):  # tiles of rows and of bits, so that a full block takes tens of MB
+        alike = np.zeros((len(rows[i:i + TILE]), len(rows)), kind)
+        for k in range(0, width, TILE // 8):
+            x = np.unpackbits(bits[:, k:k + TILE // 8], axis=1).astype(np.float32)
+            x *= 2
+            x -= 1
+            alike += x[i:i + TILE] @ x.T
+        alike *= -4.5
+        alike += (36 * width - n[i:i + TILE, None]).astype(kind)
+        ok[i:i + TILE] = alike <= n[None, :].astype(kind)
     np.fill_diagonal(ok, False)
     return ok
 
@@ -343,7 +354,7 @@ def join(docs: DataFrame) -> DataFrame:
     signed = known.mapInArrow(_signature_rows, "sig long, cls long")
     runs = cut(signed.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_runs, "run long, cls long").distinct())
     shown = classes.select("cls", "n", "sketch")
-    maybe = cut(_in_blocks(runs.join(shown, "cls")).mapInArrow(_maybe_pairs, "a long, b long").distinct())
+    maybe = cut(_in_blocks(runs.join(shown, "cls"), F.length("sketch")).mapInArrow(_maybe_pairs, "a long, b long").distinct())
 
     involved = maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct()
     wanted = cut(classes.select("cls", "doc_id").join(involved, "cls", "left_semi"))
@@ -361,9 +372,9 @@ def join(docs: DataFrame) -> DataFrame:
     left = runs.join(comp, "cls")
     mixed = left.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("run")
     left = left.join(mixed, "run", "left_semi").join(shown, "cls")
-    unsure = cut(_in_blocks(left).mapInArrow(_open_members, "run long, cls long").distinct())
+    unsure = cut(_in_blocks(left, F.length("sketch")).mapInArrow(_open_members, "run long, cls long").distinct())
     more = (unsure.join(comp, "cls").join(shown, "cls").join(sets, "cls"))
-    more = cut(_in_blocks(more).mapInArrow(_exact_pairs, "a long, b long"))
+    more = cut(_in_blocks(more, 8 * F.col("n")).mapInArrow(_exact_pairs, "a long, b long"))
     joined = components(links.union(more)) if more.limit(1).count() else label
 
     of_class = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
