@@ -32,7 +32,16 @@ def preprocess_data(demo: DataFrame, drug: DataFrame, outc: DataFrame, reac: Dat
 resolve_column = P.resolve_column
 validate_upload_data = P.validate_upload
 prepare_external_features = P.prepare_external
-prepare_uploaded_analysis_data = P.prepare_labelled
+
+
+def prepare_uploaded_analysis_data(df: DataFrame, id_col: str = "primaryid") -> DataFrame:
+    """Labelled upload -> case schema; an invalid upload raises with the validation message."""
+    verdict = P.validate_upload(df).first()
+    if not verdict["is_valid"]:
+        raise ValueError(verdict["message"])
+    return P.prepare_labelled(df, id_col)
+
+
 build_feature_frame = P.build_feature_frame
 
 

@@ -26,7 +26,6 @@ N_CLUSTERS = 3
 THRESHOLD_GRID_START = 0.2
 THRESHOLD_GRID_END = 0.81
 THRESHOLD_GRID_STEP = 0.02
-PERMUTATION_MAX_ROWS = 5000
 PERMUTATION_REPEATS = 5
 
 FEATURE_COLS = [

@@ -143,8 +143,9 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     separate projections so each edge is computed once per row.
     """
     v = F.col(col).cast("double")
-    lo0 = df.select(F.min(v)).scalar()
-    hi0 = df.select(F.max(v)).scalar()
+    valid = df.filter(v.isNotNull() & ~F.isnan(v))
+    lo0 = valid.select(F.min(v)).scalar()
+    hi0 = valid.select(F.max(v)).scalar()
 
     def bounds(frame: DataFrame) -> DataFrame:
         return (frame.withColumns({"_lo0": lo0, "_hi0": hi0})
@@ -157,7 +158,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     def edge(i: Column) -> Column:
         return F.when(i >= F.lit(bins), F.col("_hi")).otherwise(i.cast("double") * F.col("_step") + F.col("_lo"))
 
-    x = bounds(df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    x = bounds(valid.select(v.alias("_v")))
     lo, step = F.col("_lo"), F.col("_step")
     raw = (((F.col("_v") - lo) / (F.col("_hi") - lo)) * F.lit(float(bins))).cast("int")
     # raw <= bins; only v == max gives bins, which belongs to the last bin
@@ -184,7 +185,8 @@ def kde(df: DataFrame, col: str, bins: int = HIST_BINS, gridsize: int = KDE_GRID
     count(x) = n * binwidth * density(x). Values are first collapsed to
     (value, multiplicity); each distinct value then emits its contribution to
     every grid point with a generator and a partial aggregation sums them, so
-    work is distinct values x grid points, spread over tasks.
+    work is distinct values x grid points, spread over tasks. A constant column
+    (or a single value) has no bandwidth and gives no curve.
     """
     v = F.col(col).cast("double")
     vals = df.filter(v.isNotNull() & ~F.isnan(v)).select(v.alias("x"))
@@ -192,7 +194,7 @@ def kde(df: DataFrame, col: str, bins: int = HIST_BINS, gridsize: int = KDE_GRID
     sd = vals.select(F.stddev_samp("x")).scalar()
     lo = vals.select(F.min("x")).scalar()
     hi = vals.select(F.max("x")).scalar()
-    h = sd * F.pow(n, F.lit(-0.2))
+    h = F.nullif(sd * F.pow(n, F.lit(-0.2)), F.lit(0.0))
     binwidth = (hi - lo) / F.lit(float(bins))
     gstep = (hi - lo) / F.lit(float(gridsize - 1))
     distinct = vals.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("m"))
@@ -204,7 +206,7 @@ def kde(df: DataFrame, col: str, bins: int = HIST_BINS, gridsize: int = KDE_GRID
            .groupBy("point", "x_grid").agg(F.sum("k").alias("ksum")))
     scale = binwidth / (h * F.lit((2.0 * 3.141592653589793) ** 0.5))
     return out.select(F.col("point").cast("int").alias("point"), "x_grid",
-                      (F.col("ksum") * scale).alias("count_density"))
+                      (F.col("ksum") * scale).alias("count_density")).filter(F.col("count_density").isNotNull())
 
 
 # ---------------------------------------------------------------- O-26 / O-26b

@@ -8,6 +8,8 @@ applied as column arithmetic before ``VectorAssembler``.
 
 from __future__ import annotations
 
+import math
+import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
@@ -115,46 +117,58 @@ def model_session(_model):
 
 
 # ---------------------------------------------------------------- O-57
+def _shuffles(n: int, features: list[str], repeats: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """(feature, repeat, a, b) of each variant: place ``x`` receives from ``(a * x + b) mod n``, a permutation
+    as ``a`` has no factor in common with ``n``. ``a`` stays below 2^20, so ``a * x`` fits a long up to 8e12 rows."""
+    rng, out = random.Random(seed), []
+    for feature in features:
+        for rep in range(repeats):
+            a = rng.randrange(1, max(2, min(n, 1 << 20)))
+            while math.gcd(a, n) != 1:
+                a = rng.randrange(1, max(2, min(n, 1 << 20)))
+            out.append((feature, rep, a, rng.randrange(n)))
+    return out
+
+
 def permutation_importance(model, name: str, test: DataFrame, scaler: Standardizer, key: str = "primaryid",
                            label: str = "serious", repeats: int = C.PERMUTATION_REPEATS,
-                           max_rows: int | None = C.PERMUTATION_MAX_ROWS, seed: int = C.RANDOM_STATE,
-                           threshold: float = 0.5) -> DataFrame:
-    """Drop in F1 (at the classifier's own 0.5 cut) when one feature is shuffled.
-
-    All feature x repeat variants are built at once: each variant permutes
-    one column by joining row ranks under a seeded per-variant hash to the
-    rows' base ranks (exact ranks from the two-level ranking), the variants
-    are scored in one ``transform`` and F1 is one ``groupBy``.
+                           seed: int = C.RANDOM_STATE, threshold: float = 0.5) -> DataFrame:
+    """Drop in F1 (at the classifier's own 0.5 cut) when one feature is shuffled, over all test rows.
+
+    Rows get distinct places once, in the order of a seeded hash of the whole row (equal rows
+    collapse before the ranking and unfold to consecutive places after it). Each feature x
+    repeat variant then maps places by its own affine permutation, so one equi-join on the
+    place brings every donated value; the variants are scored in one ``transform`` and F1 is
+    one ``groupBy``.
     Returns (feature, importance = mean drop, importance_std = population std, source).
     """
     cols = scaler.cols
-    base = test.select(key, label, *cols).withColumn("_h0", row_hash(key, seed, "perm-base"))
-    if max_rows is not None:
-        r0 = R.rank_distinct(base.select("_h0"), "_h0").select("_h0", F.col("before").alias("_pos"))
-        base = base.join(r0, "_h0").filter(F.col("_pos") < max_rows)
-    else:
-        r0 = R.rank_distinct(base.select("_h0"), "_h0").select("_h0", F.col("before").alias("_pos"))
-        base = base.join(r0, "_h0")
-    variants = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep"))
-                                   for c in cols for r in range(repeats)]))
-    v = base.select("*", variants.alias("_v")).select("*", "_v.feature", "_v.rep").drop("_v")
-    v = v.withColumn("_hp", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.col("feature"),
-                                              F.col("rep").cast("string"))))
-    pr = R.rank_distinct(v.select("feature", "rep", "_hp"), "_hp", keys=["feature", "rep"]).select(
-        "feature", "rep", "_hp", F.col("before").alias("_ppos"))
-    v = v.join(pr, ["feature", "rep", "_hp"])
-    # the value a row receives: the feature value of the row whose base position equals this row's permuted rank
-    donors = base.select(F.col("_pos").alias("_ppos"), F.map_from_arrays(
+    used = list(dict.fromkeys([key, label, *cols]))
+    h = (test.groupBy(*used).agg(F.count(F.lit(1)).alias("_copies"))
+         .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*used))))))
+    ranks = R.rank_distinct(h.select("_h", "_copies"), "_h", weight_cols=["_copies"]).select(
+        "_h", F.col("_copies_before").alias("_first"))
+    base = (h.join(ranks, "_h")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+            .withColumn("_pos", F.col("_first") + F.col("_copy")).select(*used, "_pos"))
+    n = test.count()
+    if n == 0:
+        return test.sparkSession.createDataFrame([], "feature string, importance double, importance_std double, source string")
+    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.lit(a).cast("bigint").alias("a"),
+                                            F.lit(b).cast("bigint").alias("b")) for f, r, a, b in _shuffles(n, cols, repeats, seed)]))
+    v = base.select("*", variants.alias("_v")).select(
+        "*", "_v.feature", "_v.rep", F.pmod(F.col("_v.a") * F.col("_pos") + F.col("_v.b"), F.lit(n)).alias("_from")).drop("_v", "_pos")
+    donors = base.select(F.col("_pos").alias("_from"), F.map_from_arrays(
         F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols])).alias("_vals"))
-    v = v.join(donors, "_ppos").withColumn("_new", F.col("_vals")[F.col("feature")])
+    v = v.join(donors, "_from").withColumn("_new", F.col("_vals")[F.col("feature")])
     v = v.select(key, label, "feature", "rep",
                  *[F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c).cast("double")).alias(c)
                    for c in cols])
-    baseline = base.select(key, label, *[F.col(c).cast("double").alias(c) for c in cols]).select(
-        key, label, F.lit("__baseline__").alias("feature"), F.lit(-1).alias("rep"), *cols)
+    baseline = base.select(key, label, F.lit("__baseline__").alias("feature"), F.lit(-1).alias("rep"),
+                           *[F.col(c).cast("double").alias(c) for c in cols])
     allv = v.unionByName(baseline)
     scored = positive_probability(model, scaler.transform(allv), [key, label, "feature", "rep"])
-    pred = (F.col("p") >= threshold).cast("int")
+    pred = (F.col("p") > threshold).cast("int")
     f1 = scored.groupBy("feature", "rep").agg(
         F.sum(((pred == 1) & (F.col(label) == 1)).cast("long")).alias("tp"),
         F.sum(((pred == 1) & (F.col(label) == 0)).cast("long")).alias("fp"),

@@ -39,12 +39,22 @@ def row_hash(key: str = "primaryid", seed: int = C.RANDOM_STATE, salt: str = "")
 
 
 def _class_rank(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """Adds ``_h`` (seeded hash), ``_before`` (rows of the class with a smaller hash), ``_n_c``."""
-    h = df.withColumn("_h", row_hash(key, seed))
-    ranks = R.rank_distinct(h.select(label, "_h"), "_h", keys=[label]).select(
-        label, "_h", F.col("before").alias("_before"))
-    sizes = F.broadcast(h.groupBy(label).agg(F.count(F.lit(1)).alias("_n_c")))  # one row per class
-    return h.join(ranks, [label, "_h"]).join(sizes, label)
+    """Adds ``_before`` (rows of the class before it) and ``_n_c``; the order is the seeded hash of
+    the id, then a hash of the whole row.
+
+    Equal rows collapse to one with its count before the ranking and unfold to consecutive
+    places after it, so repeated ids and repeated rows share no place.
+    """
+    whole = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    h = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+         .withColumn("_h", F.concat(row_hash(key, seed), F.md5(whole))))
+    ranks = R.rank_distinct(h.select(label, "_h", "_copies"), "_h", keys=[label], weight_cols=["_copies"]).select(
+        label, "_h", F.col("_copies_before").alias("_first"))
+    sizes = h.groupBy(label).agg(F.sum("_copies").alias("_n_c"))  # one row per class
+    return (h.join(ranks, [label, "_h"]).join(sizes, label)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+            .withColumn("_before", F.col("_first") + F.col("_copy"))
+            .drop("_h", "_copies", "_first", "_copy"))
 
 
 # ---------------------------------------------------------------- O-39
@@ -63,7 +73,7 @@ def stratified_sample(df: DataFrame, max_rows: int | None = C.MAX_TRAIN_ROWS, la
     quota = F.least(F.col("_n_c"), F.greatest(F.lit(1).cast("bigint"),
                     F.floor(F.lit(float(max_rows)) * (F.col("_n_c") / n)).cast("bigint")))
     keep = (n <= F.lit(max_rows)) | (F.col("_before") < quota)
-    return r.filter(keep).drop("_h", "_before", "_n_c")
+    return r.filter(keep).drop("_before", "_n_c")
 
 
 # ---------------------------------------------------------------- O-40
@@ -80,7 +90,7 @@ def split_assign(df: DataFrame, label: str = "serious", key: str = "primaryid",
     test = F.round(temp.cast("double") * F.lit(float(validation_split)), 0).cast("bigint")
     split = (F.when(F.col("_before") < test, F.lit("test"))
              .when(F.col("_before") < temp, F.lit("validation")).otherwise(F.lit("train")))
-    return r.withColumn("split", split).drop("_h", "_before", "_n_c")
+    return r.withColumn("split", split).drop("_before", "_n_c")
 
 
 # ---------------------------------------------------------------- O-45

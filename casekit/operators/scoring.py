@@ -304,13 +304,15 @@ def score_cases(cases: DataFrame, scorer: Scorer = proxy_scorer, threshold: floa
     explanation, action and confidence, for every row of ``cases``.
 
     ``threshold`` feeds the confidence score; ``label_threshold`` (default:
-    the same) decides the predicted label. Stateless, so ``cases`` may be a
+    the same, inclusive) decides the predicted label; a given one is a classifier's
+    own cut, which a probability must exceed. Stateless, so ``cases`` may be a
     streaming DataFrame.
     """
-    lt = threshold if label_threshold is None else label_threshold
+    p = F.col("probability")
+    serious = p >= F.lit(float(threshold)) if label_threshold is None else p > F.lit(float(label_threshold))
     s = scorer(cases)
     s = (s.withColumn("risk_level", X.risk_level("probability"))
-          .withColumn("predicted_label", F.when(F.col("probability") >= F.lit(float(lt)), F.lit("Serious"))
+          .withColumn("predicted_label", F.when(serious, F.lit("Serious"))
                       .otherwise(F.lit("Non-serious")))
           .withColumn("profile", patient_profile())
           .withColumn("interpretation", interpretation())
@@ -340,24 +342,23 @@ def what_if(cases: DataFrame, scenarios: DataFrame, scorer: Scorer = proxy_score
             key: str = "primaryid") -> DataFrame:
     """Rescore each case under its scenario (new age / drugs / reactions).
 
-    The scenario table is joined on the case key (one scenario per case, or
-    several); both sides are rebuilt from the hand-entered inputs only
-    (unique drugs = drug count), as the single-case form does.
+    One join carries each case's inputs next to its scenario, and both are scored
+    in the same row, so cases that share an id each keep their own result. Every
+    distinct scenario of an id is applied to every case of that id. Both sides are
+    rebuilt from the hand-entered inputs only (unique drugs = drug count), without
+    the upload's range rule, as the single-case form does.
     """
     from casekit.operators.prepare import prepare_external
-    cur_in = cases.select(key, "age", "sex", "drug_count", "reaction_count")
-    cur = scorer(prepare_external(cur_in)).select(
-        key, F.col("probability").alias("current_probability"),
-        X.risk_level("probability").alias("current_risk"))
-    adj_in = (scenarios.join(cases.select(key, "sex"), key)
-              .select(key, F.col("new_age").alias("age"), "sex", F.col("new_drug_count").alias("drug_count"),
-                      F.col("new_reaction_count").alias("reaction_count")))
-    adj = scorer(prepare_external(adj_in)).select(
+    news = ["new_age", "new_drug_count", "new_reaction_count"]
+    both = (cases.select(key, "age", "sex", "drug_count", "reaction_count")
+            .join(scenarios.select(key, *news).distinct(), key))
+    now = scorer(prepare_external(both, bounded=False)).select(
+        key, "sex", *[F.col(c).alias(c.removeprefix("new_")) for c in news],
+        F.col("probability").alias("current_probability"), X.risk_level("probability").alias("current_risk"))
+    j = scorer(prepare_external(now, bounded=False)).select(
         key, F.col("age").alias("new_age"), F.col("drug_count").alias("new_drug_count"),
-        F.col("reaction_count").alias("new_reaction_count"),
-        F.col("probability").alias("adjusted_probability"),
-        X.risk_level("probability").alias("adjusted_risk"))
-    j = cur.join(adj, key)
+        F.col("reaction_count").alias("new_reaction_count"), "current_probability", "current_risk",
+        F.col("probability").alias("adjusted_probability"), X.risk_level("probability").alias("adjusted_risk"))
     delta = (F.col("adjusted_probability") - F.col("current_probability")) * F.lit(100.0)
     return j.select(key, "new_age", "new_drug_count", "new_reaction_count", "current_probability",
                     "adjusted_probability", "current_risk", "adjusted_risk", delta.alias("delta_pp"),

@@ -3,9 +3,7 @@
 Split, sample, weights, scaling, mutual information and test statistics
 are exact and carry a DuckDB oracle. Model fits (network, forest, tree,
 logistic, k-means, PCA) are not SQL-shaped: they are registered without
-an oracle and use the small ``ModelSettings.fast()`` configuration (and 3
-k-means restarts instead of 10) so the whole registry stays quick; the
-library default is the full one.
+an oracle, with the library's default settings and 10 k-means restarts.
 """
 
 from __future__ import annotations
@@ -155,11 +153,11 @@ register("stats_pvalues")(lambda spark, sf: T.stats_tests(_mf(spark, sf)))
 
 
 def _trained(spark, sf):
-    """Fast-settings training shared by the model keys of one session (fit once per sf)."""
+    """Training shared by the model keys of one session (fit once per sf)."""
     key = (spark.sparkContext.applicationId, sf)
     with _LOCK:
         if key not in _MEMO:
-            _MEMO[key] = TR.train_candidates(_split_cut(spark, sf), M.ModelSettings.fast())
+            _MEMO[key] = TR.train_candidates(_split_cut(spark, sf), M.ModelSettings())
         return _MEMO[key]
 
 
@@ -182,7 +180,7 @@ def _clusters(spark, sf):
         if key in _MEMO:
             return _MEMO[key]
         sp = _split_cut(spark, sf)
-        _MEMO[key] = TR.clustering(sp.drop("split"), sp.filter(F.col("split") == "train"), restarts=3)
+        _MEMO[key] = TR.clustering(sp.drop("split"), sp.filter(F.col("split") == "train"))
     return _MEMO[key]
 
 

@@ -71,14 +71,14 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
     test = split.filter(F.col("split") == "test")
     trainval = split.filter(F.col("split") != "test")
     scaler = M.Standardizer.fit(train)
-    weights = S.class_weights(train)
+    # each fit is weighted by the classes of its own rows; validation and test need no weights
+    weights, refit_weights = S.class_weights(train), S.class_weights(trainval)
     n_train = train.count()
     n_trainval = trainval.count()
 
-    def prep(df):
-        return scaler.transform(S.with_weights(df, weights))
-
-    train_s, val_s, test_s, trainval_s = prep(train), prep(val), prep(test), prep(trainval)
+    train_s = scaler.transform(S.with_weights(train, weights))
+    trainval_s = scaler.transform(S.with_weights(trainval, refit_weights))
+    val_s, test_s = scaler.transform(val), scaler.transform(test)
     est = M.build_estimators(settings, balanced=balanced, n_train=n_train)
     est_refit = M.build_estimators(settings, balanced=balanced, n_train=n_trainval)
     names = names or list(est)

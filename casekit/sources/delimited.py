@@ -85,6 +85,11 @@ CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": F
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """O-3: a comma CSV with a header; strings only, pandas' missing markers as null."""
     df = spark.read.options(**CSV).option("inferSchema", False).option("multiLine", True).csv(path)
+    return missing_to_null(df)
+
+
+def missing_to_null(df: DataFrame) -> DataFrame:
+    """Text columns with pandas' missing markers as null."""
     return df.select(*[_na_to_null(c).alias(c) for c in df.columns])
 
 

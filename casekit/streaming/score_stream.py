@@ -14,23 +14,41 @@ from pyspark.sql import functions as F
 from casekit import config as C
 from casekit.operators import prepare as P
 from casekit.operators import scoring as S
+from casekit.sources import delimited as DL
 
 UPLOAD_SCHEMA = "primaryid string, age string, sex string, drug_count string, reaction_count string"
 
 
+def _header_schema(spark: SparkSession, input_dir: str) -> str:
+    """Text columns named by the header of the files present."""
+    names = spark.read.options(**DL.CSV).csv(input_dir).columns
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+
+
 def scored_stream(spark: SparkSession, input_dir: str, scorer: S.Scorer = S.proxy_scorer,
-                  threshold: float = 0.5, schema: str = UPLOAD_SCHEMA, fmt: str = "csv",
+                  threshold: float = 0.5, schema: str | None = None, fmt: str = "csv",
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of scored cases from files in ``input_dir``."""
-    reader = spark.readStream.schema(schema)
+    """Streaming DataFrame of scored cases from files in ``input_dir``.
+
+    CSV columns are taken by name from the header (any order, with the optional inputs that
+    the batch path trusts); a later file whose header differs fails the stream instead of
+    being read by position. An empty folder needs ``schema`` (such as ``UPLOAD_SCHEMA``).
+    ``primaryid`` is returned if the files have it.
+    """
     if fmt == "csv":
-        reader = reader.option("header", True)
+        schema = schema or _header_schema(spark, input_dir)
+    reader = spark.readStream.schema(schema or UPLOAD_SCHEMA)
+    if fmt == "csv":
+        reader = reader.options(**DL.CSV).option("multiLine", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.format(fmt).load(input_dir)
+    if fmt == "csv":
+        raw = DL.missing_to_null(raw)
     feats = P.prepare_external(raw, C.FEATURE_COLS)
     scored = S.score_cases(feats, scorer, threshold)
-    return scored.select("primaryid", *C.FEATURE_COLS, "probability", "risk_level", "predicted_label",
+    ids = [c for c in raw.columns if c == "primaryid"]
+    return scored.select(*ids, *C.FEATURE_COLS, "probability", "risk_level", "predicted_label",
                          F.col("action.action").alias("action"), F.col("confidence.level").alias("confidence"),
                          F.col("explanation.summary").alias("explanation"))
 

@@ -87,12 +87,6 @@ def _sources(spark, with_reac=True):
     return demo, drug, outc, (reac if with_reac else None)
 
 
-def _expected_score(age, dc, udc, rc, poly, rep):
-    total = (min(max(age, 0.0), 100.0) / 100) * 25 + (min(max(dc, 0.0), 20.0) / 20) * 30 \
-        + (min(max(udc, 0.0), 20.0) / 20) * 15 + (min(max(rc, 0.0), 10.0) / 10) * 20
-    return float(np.round(total + (poly * 7 + rep * 3), 2))
-
-
 def test_case_table_edge_rows(spark):
     """Duplicate DEMO ids kept, null ids dropped, case-insensitive columns,
     fractional ages, clipping above 20 drugs / 10 reactions, UNK names raise the repeat flag."""
@@ -103,10 +97,10 @@ def test_case_table_edge_rows(spark):
     assert [r["primaryid"] for r in rows] == [1, 1, 2, 5]
     r1, r2, r5 = rows[0], rows[2], rows[3]
     assert (r1["drug_count"], r1["unique_drug_count"], r1["drug_repeat_flag"]) == (4, 1, 1)
-    assert r1["risk_score"] == _expected_score(45, 4, 1, 0, 0, 1)
+    assert r1["risk_score"] == 21.0  # 11.25 + 6 + 0.75 + 0 + 3
     assert (r2["drug_count"], r2["unique_drug_count"], r2["reaction_count"], r2["serious"]) == (25, 25, 12, 1)
     assert r2["sex"] == "F" and r2["age_group"] == "Senior" and r2["elderly"] == 1
-    assert r2["risk_score"] == _expected_score(70.5, 25, 25, 12, 1, 0)
+    assert r2["risk_score"] == 89.62  # 17.625 + 30 + 15 + 20 + 7 = 89.625, half to even
     assert r5["age_group"] == "Elderly" and r5["sex"] == "M" and r5["drug_count"] == 0
     assert r5["severity_label"] == "Non-serious"
 
@@ -205,15 +199,8 @@ def test_action_and_confidence(spark):
     rows = df.select(S.action_for("lv").alias("a"), S.confidence("p", 0.38).alias("c")).collect()
     assert [r["a"]["action"] for r in rows] == ["Immediate attention", "Review", "Monitor"]
 
-    def ref_conf(p, t):
-        d = abs(p - t)
-        cert = abs(p - 0.5) * 2
-        sc = min(1.0, 0.55 * min(d / 0.35, 1.0) + 0.45 * cert)
-        lvl = "High" if sc >= 0.70 else ("Moderate" if sc >= 0.40 else "Low")
-        return lvl, round(sc * 100, 1), round(d, 3), round(cert, 3)
-    for r, p in zip(rows, [0.9, 0.5, 0.41]):
-        c = r["c"]
-        assert (c["level"], c["score"], c["threshold_distance"], c["certainty"]) == ref_conf(p, 0.38)
+    got = [(c["level"], c["score"], c["threshold_distance"], c["certainty"]) for c in (r["c"] for r in rows)]
+    assert got == [("High", 91.0, 0.52, 0.8), ("Low", 18.9, 0.12, 0.0), ("Low", 12.8, 0.03, 0.18)]  # worked by hand
 
 
 def test_nan_probability_is_high(spark):
