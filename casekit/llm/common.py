@@ -44,6 +44,7 @@ def held(key, make):
     operator's words is free before the next operator's tasks run in the same worker."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
         give_back()
         _HELD[key] = make()
     return _HELD[key]
@@ -51,7 +52,6 @@ def held(key, make):
 
 def give_back() -> None:
     """Return freed memory of this worker to the system (allocators keep it for themselves otherwise)."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -71,6 +71,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         end = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()  # an idle worker beside a native stage then holds little more than its operator's words
 
 
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -43,7 +43,7 @@ LETTERS = 40  # a-z and 14 classes for other letters
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 CHUNK = 20_000  # words whose kernel values are held at once in training
-KEEP = 400_000  # tokens remembered by a worker
+KEEP = 200_000  # tokens remembered by a worker
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
 
