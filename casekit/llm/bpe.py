@@ -30,6 +30,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept from one slice to the next, and the longest such word (bytes); both bound memory only.
 KEEP_WORDS, KEEP_BYTES = 250_000, 48
+SLICE = 500_000  # text bytes encoded at once
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,7 +76,7 @@ class Codec:
         """Whether ``token`` stands as it is after ``before`` (-1: at the start of a word)."""
         key = (before, token)
         if (found := self.fits.get(key)) is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             if before < 0:
                 found = self.merged(self.token[token]) == [token]
@@ -151,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = c.encode(texts(part, "text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
@@ -165,7 +166,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 n, a, b = [], [], []
                 for ids in c.encode(texts(part, "text")):
                     n.append(len(ids))

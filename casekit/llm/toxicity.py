@@ -43,7 +43,8 @@ LETTERS = 40  # a-z and 14 classes for other letters
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 CHUNK = 20_000  # words whose kernel values are held at once in training
-KEEP = 200_000  # tokens remembered by a worker
+KEEP = 400_000  # tokens remembered by a worker
+SLICE = 500_000  # text bytes scored at once
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
 
@@ -300,7 +301,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         s = _scorer(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.score(texts(part, "text")))], ["doc_id", "score"])
 
     got = _needed(docs).mapInArrow(run, "doc_id long, score double")
@@ -313,7 +314,7 @@ def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     def run(batches):
         s = _scorer(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield part.filter(pa.array(s.score(texts(part, "text")) < most))
 
     return docs.mapInArrow(run, docs.schema)
