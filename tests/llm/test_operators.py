@@ -445,3 +445,26 @@ def test_license_cosine_matches_brute_force(texts):
     for t in texts.values():
         got, exp = index.scan(t), brute(t)
         assert (got[0], got[2]) == (exp[0], exp[2]) and got[1] == pytest.approx(exp[1], abs=1e-8)
+
+
+APACHE = "Licensed under the Apache License, Version 2.0."
+GNU = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\n"
+       "the Free Software Foundation, either version {} of the License, or\n(at your option) any later version.")
+
+
+@pytest.mark.parametrize("text,name", [
+    ("# SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("x\n// spdx-license-identifier: (mit or Apache-2.0) and Foo-1.0 */", "(MIT OR Apache-2.0) AND Foo-1.0"),
+    (GNU.format("General Public License", 3), "GPL-3.0"), (GNU.format("General Public License", 2), "GPL-2.0"),
+    (GNU.format("Affero General Public License", 3), "AGPL-3.0"), (GNU.format("Lesser General Public License", "2.1"), "LGPL-2.1"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-NC-SA 3.0.", "CC-BY-NC-SA-3.0"),
+    ("Licensed under CC0 1.0.", "CC0-1.0"), (" ".join(["word"] * 15) + " " + APACHE + " " + " ".join(["other"] * 15), "Apache-2.0"),
+    ("some\nprose " + APACHE.replace(" License,", "\nLicense,\n") + " and more prose", "Apache-2.0"),
+    ("Copyright 2020 X\n\n" + licenses.MORE["MIT"][2].replace(", ", ",\n"), "MIT"), ("Copyright\n" + licenses.MORE["ISC"][1].replace(", ", ",\n"), "ISC"),
+    ("Copyright\n" + licenses.MORE["BSD-2-Clause"][0].replace(". ", ".\n"), "BSD-2-Clause"),
+    ("Copyright\n" + licenses.MORE["BSD-3-Clause"][0].replace(". ", ".\n"), "BSD-3-Clause"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Die Katze kam mit dem Hund", None), ("Released under the terms that follow", None), ("The general public may use it", None)])
+def test_licenses_beside_the_first_five(text, name):
+    got = licenses.Index(licenses.ALL, licenses.NEED, licenses.BARRED).own(text)
+    assert got[0] == name
