@@ -1,8 +1,9 @@
 """Operator 6: secret scans, base patterns and a randomness test battery.
 
 Base spans come from three patterns over whole texts. The method looks at every other run of 16 or
-more token characters, infers its encoding (hex, base32, alphanumeric, base64: the smallest alphabet
-that holds it), and tests whether its characters are drawn evenly and independently from that alphabet:
+more token characters, and at every run of 16 or more between '-' and '_' inside it, infers its encoding
+(digits, hex, letters or letters and digits of one case, base32, alphanumeric, base64: the smallest
+alphabet that holds it), and tests whether its characters are drawn evenly and independently from that alphabet:
 
 * chi-squared of the character counts over cells of the alphabet (uniformity),
 * a runs test of "upper half / lower half" of the alphabet,
@@ -10,9 +11,11 @@ that holds it), and tests whether its characters are drawn evenly and independen
 
 each a p-value; Fisher's method combines the three. Evidence for a secret is two-sided: the token must
 not be rejected as random, and it must be unlikely as prose. The second part is a p-value as well: under
-the character model of ordinary words, the likelihood ratio (uniform alphabet against the model) exceeds
+the character models of ordinary words (letters alone, and letters by the one before; the likelier
+one counts), the likelihood ratio (uniform alphabet against the model) exceeds
 x with a probability of at most 1/x, so 1/ratio is a valid p-value, and it shrinks with the length of
-the token. Benjamini-Hochberg runs within bands of length over all candidates of the corpus, from counts
+the token. Plain digits are as likely in ordinary numbers, so they are never found by themselves. A part
+is reported only where its whole token isn't. Benjamini-Hochberg runs within bands of length over all candidates of the corpus, from counts
 of p-values rounded up to half powers of two: nothing but one small table per band meets in one place.
 
 Null and empty texts have no spans; repeated rows each give a row; an empty table gives an empty result;
@@ -24,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +44,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs of 24 and more
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Alphabets from the smallest to the largest.
-ALPHABETS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"),
-             ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-             ("alnum", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-             ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = (("digits", "0123456789"), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("lower", _AZ.lower()), ("upper", _AZ),
+             ("base32", _AZ + "234567"), ("base32 lower", _AZ.lower() + "234567"),
+             ("alnum lower", "0123456789" + _AZ.lower()), ("alnum upper", "0123456789" + _AZ),
+             ("alnum", "0123456789" + _AZ + _AZ.lower()), ("base64", _AZ + _AZ.lower() + "0123456789+/-_"))
+PART = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 #: Prose model: share of a character by its class when the class stays, and the cost of a change of class (nats).
 ENGLISH = dict(zip("etaoinsrhldcumfpgwybvkxjqz",
                    (12.0, 9.1, 8.1, 7.7, 7.3, 7.0, 6.3, 6.0, 5.9, 4.3, 4.0, 3.9, 2.9, 2.6, 2.3, 2.1, 2.0, 1.9, 1.7, 1.5,
                     1.1, 0.9, 0.2, 0.15, 0.1, 0.1)))
+#: Letters that often follow a letter, the most frequent first.
+FOLLOW = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    "ntlrscdmbgiyup", "eoluariys", "hoetkaiulr", "eioasuryl", "rnsdalcmtiu", "oeirafutl", "ehroiauln", "eaiotruy", "ntsocledragm", "uoae",
+    "eisnal", "eliayodsut", "eaopibmu", "dtgeosciak", "nurfmtlwspvokd", "eroalipuhst", "u", "eoiatsydnu", "teihsoaupcl", "hioeartsuy",
+    "nrstlpcemg", "eiao", "aheionr", "tpcia", "osetmaid", "eaiouzy")))
+PAIRED = 0.75  # share of letters that follow the table
 STAY, BAND, CELLS = 0.93, 8, 120
+CAND = ("start", "end", "band", "cell", "whole_band", "whole_cell")
 LEVEL, RANDOM_LEVEL = 0.001, 0.001  # false-discovery rate, and the battery's level
 
 
@@ -62,14 +76,18 @@ def _prose(c: str) -> float:
 
 
 _PROSE = {c: math.log(_prose(c)) for c in dict(ALPHABETS)["base64"]}
+_PAIR = {a + b: math.log((1 - PAIRED) * ENGLISH[b] / 100 + (PAIRED / (1 + after.index(b)) / sum(1 / (1 + i) for i in range(len(after))) if b in after else 0))
+         for a, after in FOLLOW.items() for b in ENGLISH}
+_PLACE = {alphabet: {c: i for i, c in enumerate(alphabet)} for _, alphabet in ALPHABETS}
+_CHARS = [(name, alphabet, frozenset(alphabet)) for name, alphabet in ALPHABETS]
 _STAY, _MOVE = math.log(STAY), math.log((1 - STAY) / 3)
 
 
 def encoding(token: str) -> tuple[str, str]:
     """Name and alphabet of the smallest encoding that holds the token (padding aside)."""
     chars = set(token.rstrip("="))
-    for name, alphabet in ALPHABETS:
-        if chars <= set(alphabet):
+    for name, alphabet, held_by in _CHARS:
+        if chars <= held_by:
             return name, alphabet
     return ALPHABETS[-1]
 
@@ -83,10 +101,10 @@ def _chi2_tail(x: float, k: int) -> float:
 def battery(token: str) -> tuple[float, float, float]:
     """p-values of uniformity, runs and serial correlation under "drawn evenly from its alphabet"."""
     _, alphabet = encoding(token)
-    place = {c: i for i, c in enumerate(alphabet)}
+    place = _PLACE[alphabet]
     v = np.array([place[c] for c in token.rstrip("=")], float)
     n, size = len(v), len(alphabet)
-    cells = max(2, min(16, n // 4))
+    cells = max(2, min(16, n // 4, size))
     got = np.bincount((v * cells // size).astype(int), minlength=cells)
     share = np.bincount((np.arange(size) * cells // size), minlength=cells) / size
     p_even = _chi2_tail(float(((got - n * share) ** 2 / (n * share)).sum()), cells - 1)
@@ -111,15 +129,18 @@ def fisher(ps) -> float:
 
 
 def log_ratio(token: str) -> float:
-    """Log likelihood ratio of "drawn evenly from its alphabet" against the prose model."""
+    """Log likelihood ratio of "drawn evenly from its alphabet" against the likelier prose model."""
     body = token.rstrip("=")
     even = -math.log(len(encoding(token)[1])) * len(body)
-    prose, before = 0.0, None
+    moves = alone = paired = 0.0
+    before, last = None, ""
     for c in body:
         k = _class(c)
-        prose += _PROSE[c] + (0 if before is None else _STAY if k == before else _MOVE)
-        before = k
-    return even - prose
+        moves += 0 if before is None else _STAY if k == before else _MOVE
+        alone += _PROSE[c]
+        paired += _PAIR.get(last + c.lower(), _PROSE[c])
+        before, last = k, c.lower()
+    return even - moves - max(alone, paired)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -131,17 +152,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base, random_level: float) -> list[tuple[int, int, int, int]]:
-    """(start, end, length band, cell of the p-value) of tokens that pass the battery and touch no base span."""
+def _cell(token: str, random_level: float) -> int:
+    """Cell of the p-value (p <= 2^(-cell/2)); 0 if the battery rejects the token as random."""
+    cell = min(CELLS, max(0, math.floor(2 * log_ratio(token) / math.log(2))))
+    return 0 if cell and fisher(battery(token)) < random_level else cell
+
+
+def candidates(text: str, base, random_level: float) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, length band, cell of the p-value, band and cell of the whole token) of tokens, and of their parts,
+    that touch no base span; for a whole token the last cell is -1."""
     out = []
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def free(a, b):
+        k = bisect_left(starts, b)  # base spans that start before b
+        return len(set(text[a:b])) >= 6 and not (k and ends[k - 1] > a)
+
+    def band(a, b):
+        return min((b - a) // BAND, 64)
+
     for m in TOKEN.finditer(text):
-        if len(set(m[0])) < 6 or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        ratio = log_ratio(m[0])
-        cell = min(CELLS, max(0, math.floor(2 * ratio / math.log(2))))  # p <= 2^(-cell/2)
-        if cell and fisher(battery(m[0])) < random_level:
-            cell = 0
-        out.append((m.start(), m.end(), min((m.end() - m.start()) // BAND, 64), cell))
+        a, b, whole = m.start(), m.end(), (0, -1)
+        if free(a, b):
+            whole = band(a, b), _cell(m[0], random_level)
+            out.append((a, b, *whole, 0, -1))
+        if "-" in m[0] or "_" in m[0]:
+            for p in PART.finditer(text, a, b):
+                if p.span() != m.span() and free(*p.span()):
+                    out.append((*p.span(), band(*p.span()), _cell(p[0], random_level), *whole))
     return out
 
 
@@ -155,15 +193,15 @@ def _scan(docs: DataFrame, random_level: float) -> DataFrame:
                 for t in texts(part, "text"):
                     b = base_spans(t)
                     base.append([{"start": s, "kind": k, "end": e} for s, k, e in b])
-                    cand.append([{"start": s, "end": e, "band": d, "cell": c} for s, e, d, c in candidates(t, b, random_level)])
+                    cand.append([dict(zip(CAND, x)) for x in candidates(t, b, random_level)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(base, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "kind", "end")]))),
-                     pa.array(cand, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "band", "cell")])))],
+                     pa.array(cand, pa.list_(pa.struct([(c, pa.int32()) for c in CAND])))],
                     ["doc_id", "base", "cand"])
 
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return need.mapInArrow(run, "doc_id long, base array<struct<start:int,kind:int,end:int>>, "
-                                "cand array<struct<start:int,end:int,band:int,cell:int>>")
+                                "cand array<struct<" + ",".join(f"{c}:int" for c in CAND) + ">>")
 
 
 def find(docs: DataFrame, level: float = LEVEL, random_level: float = RANDOM_LEVEL) -> DataFrame:
@@ -175,7 +213,8 @@ def find(docs: DataFrame, level: float = LEVEL, random_level: float = RANDOM_LEV
     limits = _collected(scanned, level)
     if limits:
         table = F.create_map(*(F.lit(v) for kv in limits.items() for v in kv))
-        kept = F.filter("cand", lambda x: x["cell"] >= F.coalesce(table[x["band"]], F.lit(CELLS + 1)))
+        passes = lambda x, of: x[f"{of}cell"] >= F.coalesce(table[x[f"{of}band"]], F.lit(CELLS + 1))
+        kept = F.filter("cand", lambda x: passes(x, "") & ~passes(x, "whole_"))
     else:
         kept = F.expr("filter(cand, x -> false)")
     found = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
@@ -191,7 +230,7 @@ def redact(docs: DataFrame, level: float = LEVEL, random_level: float = RANDOM_L
 
     def clean(text):
         spans = base_spans(text)
-        more = [(s, 3, e) for s, e, d, c in candidates(text, spans, random_level) if c >= limits.get(d, CELLS + 1)]
+        more = [(s, 3, e) for s, e, d, c, _, _ in candidates(text, spans, random_level) if c >= limits.get(d, CELLS + 1)]
         out, at = [], 0
         for s, _, e in sorted(spans + more):
             if s >= at:

@@ -468,3 +468,29 @@ GNU = ("This program is free software: you can redistribute it and/or modify\nit
 def test_licenses_beside_the_first_five(text, name):
     got = licenses.Index(licenses.ALL, licenses.NEED, licenses.BARRED).own(text)
     assert got[0] == name
+
+
+@pytest.mark.parametrize("name,length,least", [
+    ("hex", 32, 0.95), ("HEX", 40, 0.95), ("lower", 32, 0.8), ("lower", 64, 0.95), ("upper", 32, 0.8), ("upper", 64, 0.95), ("base32", 52, 0.95),
+    ("base32 lower", 52, 0.95), ("alnum lower", 32, 0.95), ("alnum lower", 64, 0.95), ("alnum upper", 32, 0.95), ("alnum upper", 40, 0.95),
+    ("alnum upper", 64, 0.95), ("alnum", 32, 0.95), ("alnum", 64, 0.95), ("base64", 40, 0.95), ("base64", 64, 0.95)])
+def test_recall_of_each_alphabet(name, length, least):
+    """Share of random tokens at a p-value of 10^-5 that the battery doesn't reject."""
+    rnd, alphabet = random.Random(7), dict(secrets.ALPHABETS)[name]
+    tokens = ["".join(rnd.choice(alphabet) for _ in range(length)) for _ in range(400)]
+    assert np.mean([secrets._cell(t, secrets.RANDOM_LEVEL) >= 34 for t in tokens]) >= least
+
+
+def test_parts_of_tokens_are_found_on_their_own(spark):
+    rnd = random.Random(3)
+    draw = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [f"xoxb-{draw('0123456789', 12)}-{draw('0123456789', 12)}-{draw(lower + lower[:26].upper(), 24)}" for _ in range(40)]
+    keys += [f"sk_live_{draw(lower, 32)}" for _ in range(40)]
+    plain = ["some-long-name-of-a-configuration-option", "test_recall_of_each_alphabet_in_the_table", "1234567890-2345678901-98765432101234567"]
+    d = spark.createDataFrame([(i, f"see {k} now") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(d).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    core = [i for i, k in enumerate(keys) if got[i] and re.split("[-_]", k)[-1] not in clean[i]]
+    assert len(core) >= 76 and all(got[i].count("random") == 1 for i in core)
+    assert all(got[len(keys) + i] == "" for i in range(len(plain)))
