@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casekit.llm.common import LOWER, U64, cut, held, mix, raw, slices, small, word_hashes
 from casekit.llm.components import components
@@ -345,6 +346,11 @@ def _exact_pairs(batches):
 
 def join(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` for every row of ``docs``."""
+    return _joined(docs).drop("component")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """``join`` with the ``component`` itself (null: in none); components whose least doc_id has several texts may share it."""
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = need.where("doc_id IS NOT NULL")
     rows = cut(need.mapInArrow(_profile, "doc_id long, n long, cls long, sketch binary"))
@@ -381,22 +387,56 @@ def join(docs: DataFrame) -> DataFrame:
     of_class = of_class.join(joined, of_class.cls == joined.node, "left").select(
         of_class.cls, "least", F.coalesce("component", "cls").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.join(lowest, "component").select("cls", "component_id")
+    named = of_class.join(lowest, "component").select("cls", "component_id", "component")
     return rows.select("doc_id", "n", "cls").join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("cls").alias("class_id"))
+        F.col("cls").alias("class_id"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component"))
+
+
+def _with_class(docs: DataFrame, n: str, cls: str) -> DataFrame:
+    """``docs`` with the number of shingles and the class of each row's text, worked out anew in one map."""
+    def run(batches):
+        held(None, lambda: None)  # frees what other operators keep in this worker
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(raw(part, "text"))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())],
+                    [*part.schema.names, n, cls])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(n, T.LongType()), T.StructField(cls, T.LongType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that stay: of each component the document with the smallest doc_id, and of rows that repeat
-    that doc_id one. Empty documents and rows without doc_id are in no group and all stay.
+    """Rows of ``docs`` that stay: of each component one row, of the smallest doc_id and, where that has several texts in
+    the component, of the smallest class. Empty documents and rows without doc_id are in no group and all stay.
+
+    Where a doc_id has a single class its rows go or stay by doc_id alone; only rows of a doc_id with several different
+    texts (empty ones among them) are decided by (doc_id, class).
     """
-    got = cut(join(docs))
-    gone = cut(got.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    twice = cut(got.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not twice.limit(1).count():
-        return kept
-    once = kept.join(small(twice, 1_000_000), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(small(twice, 1_000_000), "doc_id", "left_anti").select(*docs.columns).union(once)
+    got = cut(_joined(docs))
+    grouped = got.where("component IS NOT NULL")
+    several = cut(got.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("rows"),
+                                                                         F.max("n_shingles").alias("n")).where("rows > 1"))
+    mixed, twice = several.where("lo < hi").select("doc_id"), several.where("lo = hi AND n > 0").select("doc_id")
+    chosen = grouped.where("doc_id = component_id").groupBy("component").agg(F.min("class_id").alias("chosen"))
+    gone = grouped.where("doc_id <> component_id").select("doc_id", "class_id")
+    if several.limit(1).count():
+        other = grouped.where("doc_id = component_id").join(chosen, "component").where("class_id <> chosen").select("doc_id", "class_id")
+        gone = gone.union(other)
+    gone = cut(gone.distinct())
+    if not several.limit(1).count():
+        return docs.join(small(gone.select("doc_id"), 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    mixed, twice, columns = small(cut(mixed), 1_000_000), small(cut(twice), 1_000_000), docs.columns
+    plain = docs.join(mixed, "doc_id", "left_anti").join(small(cut(gone.join(mixed, "doc_id", "left_anti").select("doc_id")), 1_000_000), "doc_id", "left_anti")
+    once = plain.join(twice, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    out = plain.join(twice, "doc_id", "left_anti").select(*columns).union(once)
+    if not mixed.limit(1).count():
+        return out
+    n, cls = (next(x for x in (f"{name}{'_' * k}" for k in range(len(columns) + 1)) if x not in columns) for name in ("n_of_row", "class_of_row"))
+    rows = _with_class(docs.join(mixed, "doc_id", "left_semi").select(*columns), n, cls)
+    here = small(cut(gone.join(mixed, "doc_id", "left_semi").select("doc_id", F.col("class_id").alias(cls))), 1_000_000)
+    rows = rows.where(F.col(n) == 0).union(rows.where(F.col(n) > 0).join(here, ["doc_id", cls], "left_anti").select(*rows.columns)
+                                          .dropDuplicates(["doc_id", cls]))
+    return out.union(rows.select(*columns))

@@ -494,3 +494,20 @@ def test_parts_of_tokens_are_found_on_their_own(spark):
     core = [i for i, k in enumerate(keys) if got[i] and re.split("[-_]", k)[-1] not in clean[i]]
     assert len(core) >= 76 and all(got[i].count("random") == 1 for i in core)
     assert all(got[len(keys) + i] == "" for i in range(len(plain)))
+
+
+def test_keep_one_decides_by_text_where_ids_repeat(spark):
+    rnd = random.Random(4)
+    base = {k: [f"{k}{rnd.randrange(10**6)}" for _ in range(60)] for k in "abcdefg"}
+    t = {k: " ".join(w) for k, w in base.items()}
+    near = {k: " ".join([*w[:-1], "changed"]) for k, w in base.items()}
+    rows = [(1, t["a"], "s"), (1, t["b"], "s"), (1, None, "s"), (1, "", "s"),      # two texts without likeness, and empty ones: all stay
+            (2, near["a"], "s"), (2, t["c"], "s"), (2, t["c"], "s"),              # a copy of 1 goes, the text of its own stays once
+            (3, t["d"], "s"), (3, near["d"], "s"), (4, t["d"], "s"),              # like texts of one id: one row
+            (5, t["e"], "s"), (5, t["e"], "s"), (6, t["e"], "s"),                 # equal rows: one row
+            (7, "", "s"), (7, "", "s"), (None, t["a"], "s"), (8, t["f"], "s"), (9, near["f"], "s"), (9, t["g"], "s"), (10, near["b"], "s")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, class_of_row string")).collect()
+    got = Counter((r.doc_id, r.text) for r in kept)
+    three = [k for k in got if k[0] == 3]
+    assert len(three) == 1 and got.pop(three[0]) == 1 and three[0][1] in (t["d"], near["d"])
+    assert got == Counter([(1, t["a"]), (1, t["b"]), (1, None), (1, ""), (2, t["c"]), (5, t["e"]), (7, ""), (7, ""), (None, t["a"]), (8, t["f"]), (9, t["g"])])
