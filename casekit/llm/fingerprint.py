@@ -9,8 +9,10 @@ variates come from one table of ``LEVELS`` draws that a different hash of the te
 identity of a sample is a hash of term and t (16 bits of it are kept).
 
 The edited text of a document needs the beginning of the next document. Rows are dealt by ranges of doc_id, the
-first document of each range is also sent to the end of the range before it, and each task reads its ranges in
-order: whole texts are shuffled once.
+first document of each range is also sent to the end of the range before it, and each task reads its ranges from the
+end, so that the following text is known when a row comes and no row waits: whole texts are shuffled once. A doc_id of
+several rows sends one of them through the ranges; the text that follows is then joined to all its rows, salted by
+their number. Rows without doc_id are mapped where they are.
 
 Null texts count as empty; texts without words have the fingerprint "" (alike only among themselves). Rows that
 repeat a doc_id each give a row; the next document is then the first row (by text) of the next larger doc_id. A
@@ -33,6 +35,9 @@ SAMPLES, LEVELS = 64, 1 << 16
 SLICE = 1_000_000  # characters worked on at once
 #: A range of doc_id spans at least 2^8 ids; more, in steps of 2^4, until there are at most this many ranges.
 RANGES = 1_000_000
+SALTED = 256  # rows of one doc_id dealt together
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,43 +124,84 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row."""
     shift, firsts = ranges(docs)
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known, unknown = need.where("doc_id IS NOT NULL"), need.where("doc_id IS NULL")
+    often = cut(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                .select("doc_id", F.ceil(F.col("n") / SALTED).cast("long").alias("salts")))
+    repeated, links = bool(often.limit(1).count()), known.withColumn("stands_for", F.lit(False))
+    if repeated:
+        few = small(often, RANGES)
+        rows = known.join(few, "doc_id")
+        links = known.join(few, "doc_id", "left_anti").withColumn("stands_for", F.lit(False)).union(
+            rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.lit(True)))
     part = F.shiftright("doc_id", shift)
-    spread = need.join(small(firsts, 2 * RANGES), F.col("doc_id") == F.col("head"), "left").select(
-        "doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(part.alias("part"), F.lit(0).alias("tail"))))
-                                    .otherwise(F.array(F.struct(part.alias("part"), F.lit(0).alias("tail")),
-                                                       F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))))).alias("x"))
-    dealt = spread.select("x.part", "x.tail", "doc_id", "text").repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text")
-    return dealt.mapInArrow(_ranges_in_order, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                              "edited_fingerprint string, near_edited double, near_next double")
-
-
-def _ranges_in_order(batches):
-    """Pairs each row with the first row of the next doc_id of its range (or the tail), and fingerprints them."""
-    waiting, ready, size = [], [], 0  # waiting: rows of the current doc_id
-
-    def follow(text):
-        nonlocal waiting, size
-        for i, own in waiting:
-            ready.append((i, own, text))
-            size += len(own) + len(text)
-        waiting = []
-
-    now = None
+    own = F.struct(part.alias("part"), F.lit(0).alias("tail"))
+    spread = links.join(small(firsts, 2 * RANGES), F.col("doc_id") == F.col("head"), "left").select(
+        "doc_id", "text", "stands_for", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(
+            F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))))).alias("x"))
+    dealt = spread.select("x.part", "x.tail", "stands_for", "doc_id", "text").repartition("part").sortWithinPartitions(
+        "part", F.desc("tail"), F.desc("doc_id"))
+    out = dealt.mapInArrow(_ranges_from_the_end, f"{OUT}, following string")
+    if repeated:
+        done = cut(out)
+        out = done.where("following IS NULL")
+        following = done.where("following IS NOT NULL").select("doc_id", "following").join(few, "doc_id")
+        following = following.select("doc_id", "following", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        salted = rows.select("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.col("salts")).alias("salt"))
+        out = out.drop("following").union(salted.join(following, ["doc_id", "salt"]).select("doc_id", "text", "following").mapInArrow(_each, OUT))
+    else:
+        out = out.drop("following")
+    if unknown.limit(1).count():
+        out = out.union(unknown.select("doc_id", "text", F.lit("").alias("following")).mapInArrow(_each, OUT))
+    return out
+
+
+def _in_slices(rows):
+    """Fingerprints of (doc_id, text, following text), about ``SLICE`` characters at a time."""
+    ready, size = [], 0
+    for row in rows:
+        ready.append(row)
+        size += len(row[1]) + len(row[2])
+        if size > SLICE:
+            yield _fingerprint(ready)
+            ready, size = [], 0
+    if ready:
+        yield _fingerprint(ready)
+
+
+def _each(batches):
+    return _in_slices(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3))))
+
+
+def _ranges_from_the_end(batches):
+    """Fingerprints of rows by descending doc_id (the tail first), each followed by the row that came before it; a row
+    that stands for a repeated doc_id gives only the text that follows it."""
+    ready, stands, size = [], [], 0
+
+    def flush():
+        if ready:
+            got = _fingerprint(ready)
+            yield got.append_column("following", pa.nulls(got.num_rows, pa.string()))
+        if stands:
+            nothing = [pa.nulls(len(stands), t) for t in (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in stands], pa.int64()), *nothing, pa.array([f for _, f in stands], pa.string())],
+                                             [*COLUMNS, "following"])
+
+    now, after = None, ""
     for batch in batches:
-        for part, tail, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if waiting and part != now:
-                follow("")
-            now = part
-            if waiting and (tail or waiting[-1][0] != doc):
-                follow(text)
+        for part, tail, stands_for, doc, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if part != now:
+                now, after = part, ""
             if not tail:
-                waiting.append((doc, text))
+                if stands_for:
+                    stands.append((doc, after))
+                else:
+                    ready.append((doc, text, after))
+                size += len(text) + len(after)
+            after = text
             if size > SLICE:
-                yield _fingerprint(ready)
-                ready, size = [], 0
-    follow("")
-    if ready:
-        yield _fingerprint(ready)
+                yield from flush()
+                ready, stands, size = [], [], 0
+    yield from flush()
 
 
 def _fingerprint(rows) -> pa.RecordBatch:
@@ -171,4 +217,4 @@ def _fingerprint(rows) -> pa.RecordBatch:
          pa.array([hashlib.sha256(t).hexdigest() for t in new]), pa.array([show(i) for i in a]), pa.array([show(i) for i in b]),
          pa.array([likeness(sig[i], sig[j], words[i], words[j]) for i, j in zip(a, b)]),
          pa.array([likeness(sig[i], sig[j], words[i], words[j]) for i, j in zip(a, c)])],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        COLUMNS)

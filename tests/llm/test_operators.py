@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -511,3 +512,22 @@ def test_keep_one_decides_by_text_where_ids_repeat(spark):
     three = [k for k in got if k[0] == 3]
     assert len(three) == 1 and got.pop(three[0]) == 1 and three[0][1] in (t["d"], near["d"])
     assert got == Counter([(1, t["a"]), (1, t["b"]), (1, None), (1, ""), (2, t["c"]), (5, t["e"]), (7, ""), (7, ""), (None, t["a"]), (8, t["f"]), (9, t["g"])])
+
+
+def test_fingerprints_of_repeated_ids_and_null_ids(spark, monkeypatch):
+    """Rows of one id, or of none, go out in batches of a few texts; each is followed by the least text of the next id."""
+    rnd = random.Random(6)
+    draw = lambda: " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randint(1, 40)))
+    rows = [(i, draw()) for i in [*range(0, 3000, 7), *[14] * 700, *[2996] * 3, *[0] * 3, *[None] * 300]] + [(21, None), (None, None)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts, ids = defaultdict(list), sorted({i for i, _ in rows if i is not None})
+    for i, t in rows:
+        texts[i].append(t or "")
+    following = {i: min(texts[j]) for i, j in zip(ids, ids[1:] + ids[:1])} | {None: ""}
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(
+        (i, len(t), sha(t[:len(t) - len(t) // 2] + following[i][:len(t) // 2])) for i, of in texts.items() for t in of)
+    most = []
+    monkeypatch.setattr(fingerprint, "SLICE", 2000)
+    monkeypatch.setattr(fingerprint, "_fingerprint", lambda r, real=fingerprint._fingerprint: most.append(len(r)) or real(r))
+    same = pa.RecordBatch.from_pylist([{"doc_id": None, "text": "some words", "following": ""}] * 5000)
+    assert sum(b.num_rows for b in fingerprint._each([same])) == 5000 and max(most) <= 201
