@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import bpe, clusters, fingerprint, licenses, mixing, ngram_join, quality, quotes, revisits, secrets, toxicity
+from casekit.llm import alignment, bpe, clusters, fingerprint, licenses, mixing, ngram_join, quality, quotes, revisits, secrets, topk, toxicity
 from casekit.llm.common import table
 
 
@@ -102,11 +102,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files_from_documents(spark, sf_dir))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_quote_threads, op3_poisson_mix, op4_bpe_round_trip, op5_warc_revisits, op6_secret_scan, op7_toxicity,
-    op8_weighted_fingerprints, op9_ngram_join, op10_license_scan, op13_bisector_clusters)}
-ORACLE: dict[str, str] = {"op13_bisector_clusters": clusters.oracle()}
+    op8_weighted_fingerprints, op9_ngram_join, op10_license_scan, op11_exact_topk,
+    op12_token_alignment, op13_bisector_clusters)}
+ORACLE: dict[str, str] = {"op11_exact_topk": topk.oracle(), "op13_bisector_clusters": clusters.oracle()}
