@@ -2,8 +2,9 @@
 
 The report sources derived from the test tables are written by Spark as
 ``$``-delimited Latin-1 files (one folder of part files per source, each
-with its header line), then read back through the sentinel reader; the case
+with its header line), then read back; the case
 table built from the files must equal the one built from the tables.
+Narratives with line ends inside quotes make the same trip.
 Uploads go through a comma CSV the same way. Files live under the
 session's checkpoint folder (shared storage on a cluster).
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.operators import prepare as P
@@ -61,6 +63,37 @@ def q_case_table_from_files(spark, sf):
 register("case_table_from_files", O.with_ctes("SELECT * FROM cases"))(q_case_table_from_files)
 
 
+def write_quoted_records(spark: SparkSession, sf_dir: str) -> str:
+    """Narratives (the documents) as report records whose quoted text holds line ends, separators and quotes; by id some
+    have a field too many, some end early, and some go on after a closing quote."""
+    key = (spark.sparkContext.applicationId, sf_dir, "quoted")
+    with _LOCK:
+        if key not in _DONE:
+            quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+            docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+            kind = F.pmod("doc_id", F.lit(11))
+            text = F.concat(F.lit('say "$" or\n'), F.col("text"))
+            line = F.when(kind == 5, F.concat_ws("$", "doc_id", quoted(F.col("source")), quoted(text), F.lit("one more"))).when(
+                kind == 6, F.col("doc_id").cast("string")).when(
+                kind == 7, F.concat_ws("$", "doc_id", F.concat(quoted(F.col("source")), F.lit("x")), F.lit("lost"))).otherwise(
+                F.concat_ws("$", "doc_id", "source", quoted(text)))
+            path = _scratch(spark, f"quoted-{abs(hash(sf_dir))}")
+            docs.select(line.alias("value")).write.mode("overwrite").text(path)
+            _DONE[key] = path
+        return _DONE[key]
+
+
+def q_quoted_records(spark, sf):
+    return DL.read_delimited(spark, write_quoted_records(spark, sf), encoding="UTF-8", header=["doc_id", "source", "text"])
+
+
+_NA = ", ".join(f"'{v}'" for v in DL.PANDAS_NA_VALUES)
+register("quoted_records", f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 11 <> 6 AND source NOT IN ({_NA}) THEN source END AS source,
+       CASE WHEN doc_id % 11 <> 6 THEN 'say "$" or' || chr(10) || coalesce(text, '') END AS text
+FROM documents WHERE doc_id % 11 NOT IN (5, 7)""")(q_quoted_records)
+
+
 def write_upload_csv(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "upload")
     with _LOCK:

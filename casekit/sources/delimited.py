@@ -2,11 +2,8 @@
 
 Quarterly report files are ``$``-delimited, Latin-1, with a header line.
 Rows with *more* fields than the header are skipped and rows with fewer
-are padded with nulls. Spark's CSV modes cannot express that rule (a
-dropped short row, or a silently truncated long row), so each line is
-read as one string and parsed with ``from_csv`` after appending an end
-sentinel: the sentinel survives in one of the first N+1 fields exactly
-when the line has at most N fields.
+are padded with nulls; quoted fields may hold separators and line ends
+(see ``records``).
 """
 
 from __future__ import annotations
@@ -14,19 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casekit.sources import records
+
 # fixed values: strings pandas reads as missing by default
 PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-SENTINEL = "\u0001"
-LINE_SEP = "\u0002"  # a separator that never occurs: the CSV reader then yields whole lines
-
-
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    return (spark.read.option("sep", LINE_SEP).option("quote", "").option("escape", "")
-            .option("encoding", encoding).option("header", False)
-            .schema("value string").csv(path))
-
 
 def _na_to_null(c: str):
     return F.when(F.col(c).isin(*PANDAS_NA_VALUES), F.lit(None).cast("string")).otherwise(F.col(c))
@@ -36,41 +26,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "$", encoding: str
                    header: list[str] | None = None) -> DataFrame:
     """All columns as strings (ids and numbers are cast by the operators).
 
-    ``header`` defaults to the first line of the first file (one line read
-    on the driver, as any schema discovery does).
+    ``header`` defaults to the first record of the first file (one line read
+    on the driver, as any schema discovery does); records equal to the header
+    are headers of further files.
     """
-    lines = _lines(spark, path, encoding).filter(F.col("value").isNotNull() & (F.length("value") > 0))
     if header is None:
-        first = lines.first()
+        first = records.lines(spark, path, encoding).where(F.trim("value") != "").select("value").first()
         if first is None:
             raise ValueError(f"empty input: {path}")
-        header_line = first["value"]
-        header = [h.strip().strip('"') for h in header_line.split(sep)]
-    else:
-        header_line = sep.join(header)
-    n = len(header)
-    names = [f"c{i}" for i in range(n)] + ["_end"]
-    schema = ", ".join(f"`{c}` string" for c in names)
-    parsed = (lines.filter(F.col("value") != header_line)
-              .select(F.from_csv(F.concat(F.col("value"), F.lit(sep + SENTINEL)), F.lit(schema),
-                                 {"sep": sep, "nullValue": "\u0003", "emptyValue": ""}).alias("r"))
-              .select("r.*"))
-    # keep the line when the sentinel landed in one of the N+1 fields (<= N real fields)
-    hit = [F.col(c) == SENTINEL for c in names]
-    keep = hit[0]
-    for h in hit[1:]:
-        keep = keep | F.coalesce(h, F.lit(False))
-    parsed = parsed.filter(F.coalesce(keep, F.lit(False)))
-    # fields at or after the sentinel are padding: null
-    out = []
-    for i, c in enumerate(names[:-1]):
-        seen = hit[0]
-        for h in hit[1:i + 1]:
-            seen = seen | F.coalesce(h, F.lit(False))
-        out.append(F.when(F.coalesce(seen, F.lit(False)), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c))
-    parsed = parsed.select(*out)
-    parsed = parsed.select(*[_na_to_null(c).alias(header[i]) for i, c in enumerate(names[:-1])])
-    return parsed
+        header = records.parse([first["value"]], sep)[0]
+    n, names = len(header), [h.strip() for h in header]
+    fields = F.col("fields")
+    rows = records.read_fields(spark, path, sep, encoding)
+    rows = rows.where((F.size(fields) <= n) & (fields != F.array(*[F.lit(h) for h in header])))
+    rows = rows.select(*[F.get(fields, F.lit(i)).alias(f"c{i}") for i in range(n)])
+    return rows.select(*[_na_to_null(f"c{i}").alias(h) for i, h in enumerate(names)])
 
 
 def load_sources(spark: SparkSession, directory: str, files: dict[str, str], **kw) -> dict[str, DataFrame]:
