@@ -19,32 +19,36 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from casekit.llm.bpe import byte_letters
-from casekit.llm.common import cut, held, slices, stored, texts
+from casekit.llm.bpe import PATTERN, byte_letters
+from casekit.llm.common import INVERSE, ODD, cut, held, mix, powers, slices, stored, texts
 
 KEEP_WINDOWS = 150_000  # alignments remembered by a worker; bounds memory only
-SLICE = 500_000  # text bytes tokenised at once
-BROADCAST_PAIRS = 1_000_000  # rows of counts (about 50 MB in memory)
+SLICE = 2_000_000  # text bytes tokenised at once
+BROADCAST_PAIRS = 2_000_000  # rows of counts (about 100 MB in memory)
 SALTS = 64
+LONG_GROUP = 64  # links of a group up to which each is written out before counting
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
 class TokenizerA:
-    """A byte-level tokenizer file: ids and the bytes of each id."""
+    """A byte-level tokenizer file: ids and the bytes of each id.
+
+    If the merges are numbered like the tokens that they make, tokens are merged by rank alone. That gives the same ids as
+    long as every token's own bytes encode to it (two neighbours that spell a token are then always its listed merge; the
+    tests check it for the file used).
+    """
 
     def __init__(self, path: str):
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
-        self.encoder.no_truncation()
-        self.encoder.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -53,9 +57,21 @@ class TokenizerA:
         self.bytes = [b""] * (1 + max([*entries.values(), *special.values()]))
         for name, i in entries.items():
             self.bytes[i] = name.encode() if name in special else bytes(letters[c] for c in name)
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        self.ranked = all(entries[m] == 256 + i for i, m in enumerate(merges))
+        if self.ranked:
+            ranks = {self.bytes[i]: i for i in range(256 + len(merges))}
+            self.encoder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            self.encoder = Tokenizer.from_file(path)
+            self.encoder.encode_special_tokens = True
+            self.encoder.no_truncation()
+            self.encoder.no_padding()
 
-    def encode(self, docs: list[str]) -> list[list[int]]:
-        return [self.encoder.encode(" " + t, add_special_tokens=False).ids for t in docs]  # one text at a time: no threads
+    def encode(self, docs: list[str]) -> list[np.ndarray]:
+        if self.ranked:
+            return [self.encoder.encode_to_numpy(" " + t, disallowed_special=()) for t in docs]
+        return [np.array(self.encoder.encode(" " + t, add_special_tokens=False).ids, np.int64) for t in docs]
 
 
 class TokenizerB:
@@ -72,146 +88,177 @@ class TokenizerB:
         return self.encoder.encode(docs, num_threads=1)
 
 
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """Groups of one window: cut wherever a token of ``a`` and one of ``b`` end at the same byte."""
-    out, i, j, at, bt, left, right = [], 0, 0, 0, 0, [], []
-    while i < len(a) or j < len(b):
-        if at <= bt and i < len(a):
-            at += len(a_bytes[a[i]])
-            left.append(a[i])
-            i += 1
-        else:
-            bt += len(b_bytes[b[j]])
-            right.append(b[j])
-            j += 1
-        if at == bt:
-            out.append((left, right))
-            left, right = [], []
-    return out
+class Side:
+    """The tokens of some texts, one behind the other."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, space: np.ndarray):
+        self.ids, self.end = ids, np.cumsum(sizes[ids])
+        self.before_space = np.append(space[ids][1:], True)  # the next token (or text) starts with a space
+
+    def marks(self, tokens=slice(None)) -> np.ndarray:
+        """Whether one of the tokens ends at a byte."""
+        out = np.zeros(self.end[-1] + 1, bool)
+        out[self.end[tokens]] = True
+        return out
+
+    def spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First token and end of each span that ends at a marked byte."""
+        ends = np.flatnonzero(places[self.end]) + 1
+        return np.append(0, ends[:-1]), ends
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all elements of the spans, one span behind the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of their times."""
+    if not len(key):
+        return key, times
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[start], np.add.reduceat(times[order], start)
 
 
 class Windows:
-    """Alignments of windows, remembered by their id tuples."""
+    """Alignments of windows, remembered by their id tuples: groups as text, number of groups, linked pairs."""
 
     def __init__(self, a: TokenizerA, b: TokenizerB):
-        self.a, self.b = a, b
-        self.a_size, self.b_size = (np.array([len(x) for x in t.bytes], np.int64) for t in (a, b))
-        self.a_space, self.b_space = (np.array([x[:1] == b" " for x in t.bytes]) for t in (a, b))
+        self.tokenizers = a, b
+        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (a, b)]
+        self.space = [np.array([x[:1] == b" " for x in t.bytes]) for t in (a, b)]
+        self.salt = [mix(np.arange(len(t.bytes), dtype=np.uint64) + np.uint64((i + 1) << 40)) for i, t in enumerate((a, b))]
+        # an id with the mark that follows it: "," within a side of a group, "|" between the sides, ";" between groups
+        self.shown = pa.array([f"{i}{m}" for t, marks in ((a, ",|"), (b, ",;")) for m in marks for i in range(len(t.bytes))])
+        self.wide = len(a.bytes) * len(b.bytes)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.shown: list[str] = []
-        self.groups: list[int] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-
-    def learn(self, a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        """The number of the window with these ids."""
-        if (n := self.number.get((a, b))) is not None:
-            return n
-        got = aligned(list(a), list(b), self.a.bytes, self.b.bytes)
-        self.shown.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in got))
-        self.groups.append(len(got))
-        keys, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in got:  # distinct ids of each side, so a long group costs no more than its distinct pairs
-            (u, m), (v, n) = (np.unique(np.array(z, np.int64), return_counts=True) for z in (x, y))
-            keys.append(((u << 32)[:, None] | v).ravel())
-            times.append((m[:, None] * n).ravel())
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        self.pairs.append(key)
-        self.times.append(np.bincount(back, np.concatenate(times), minlength=len(key)).astype(np.int64))
-        self.number[a, b] = n = len(self.shown) - 1
-        return n
-
-    def align(self, docs: list[str]) -> list[list]:
+        self.number: dict[bytes, int] = {}
+        self.text: list[bytes] = []
+        self.groups, self.first, self.count, self.pairs, self.times = (np.zeros(0, np.int64) for _ in range(5))
+
+    def sides(self, ids: list[np.ndarray]) -> list[Side]:
+        return [Side(*x) for x in zip(ids, self.sizes, self.space)]
+
+    def align(self, docs: list[str]) -> list[pa.Array]:
         """Columns of ``ALIGNED`` after doc_id: one value for each text."""
-        a, b = self.a.encode(docs), self.b.encode(docs)
-        for d, text in enumerate(docs):
-            whole = b" " + text.encode()
-            if not text or any(b"".join(map(t.bytes.__getitem__, ids)) != whole for t, ids in ((self.a, a[d]), (self.b, b[d]))):
-                a[d], b[d] = [], []
+        (a, b), n = (t.encode(docs) for t in self.tokenizers), len(docs)
+        spell = self.tokenizers[1].bytes.__getitem__
+        for d, text in enumerate(docs):  # A keeps every byte
+            if not text or b"".join(map(spell, b[d])) != b" " + text.encode():
+                a[d], b[d] = a[d][:0], []
         n_a, n_b = (np.array([len(x) for x in t], np.int64) for t in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in t for i in x), np.int64) for t in (a, b))
-        if not len(ids_a):
-            zero = [0] * len(docs)
-            return [zero, zero, zero, zero, [""] * len(docs), [[]] * len(docs), [[]] * len(docs)]
-        end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])  # over all texts, one behind the other
-        space_a, space_b = (np.append(s[i][1:], True) for s, i in ((self.a_space, ids_a), (self.b_space, ids_b)))
-        anchor_a, anchor_b = np.zeros(end_a[-1] + 1, bool), np.zeros(end_a[-1] + 1, bool)
-        anchor_a[end_a[space_a]], anchor_b[end_b[space_b]] = True, True
-        anchor = anchor_a & anchor_b
-        cut_a, cut_b = np.flatnonzero(anchor[end_a]) + 1, np.flatnonzero(anchor[end_b]) + 1
-        first_a, first_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
+        ids = [np.concatenate(a).astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))]
+        if n_a.any():
+            sides = self.sides(ids)
+            anchors = np.logical_and(*(s.marks(s.before_space) for s in sides))
+            windows = [s.spans(anchors) for s in sides]
+            number, doc = self._numbers(ids, windows), np.repeat(np.arange(n), n_a)[windows[0][0]]
+        else:
+            number = doc = np.zeros(0, np.int64)
+        text, edges = list(map(self.text.__getitem__, number.tolist())), np.searchsorted(doc, np.arange(n + 1)).tolist()
+        digests = [hashlib.sha256(b";".join(text[s:e])).hexdigest() if e > s else "" for s, e in zip(edges, edges[1:])]
+        groups = np.bincount(doc, self.groups[number], minlength=n).astype(np.int64)
+        count = self.count[number]
+        at = ragged(self.first[number], count)
+        key, times = summed(np.repeat(doc, count) * self.wide + self.pairs[at], self.times[at])
+        links, ends = np.zeros(n, np.int64), pa.array(np.searchsorted(key, np.arange(n + 1) * self.wide), pa.int32())
+        np.add.at(links, key // self.wide, times)
+        return [pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(links), pa.array(digests, pa.string()),
+                pa.ListArray.from_arrays(ends, pa.array(key % self.wide)), pa.ListArray.from_arrays(ends, pa.array(times))]
+
+    def _numbers(self, ids: list[np.ndarray], windows: list) -> np.ndarray:
+        """The number of each window. Equal windows are found by hash (and compared), so a tuple of ids is looked up once."""
+        h = np.zeros(len(windows[0][0]), np.uint64)
+        for side, salt, (first, end) in zip(ids, self.salt, windows):
+            total = np.append(np.uint64(0), np.cumsum(salt[side] * powers(ODD, len(side))))
+            h = mix(h + (total[end] - total[first]) * powers(INVERSE, len(side) + 1)[first])
+        order = np.argsort(h)
+        new = np.append(True, h[order][1:] != h[order][:-1])
+        model = np.empty(len(h), np.int64)
+        model[order] = order[new][np.cumsum(new) - 1]
+        same = np.ones(len(h), bool)
+        for side, (first, end) in zip(ids, windows):
+            size = end - first
+            same &= size == size[model]
+            n = np.where(same, size, 0)
+            differ = side[ragged(first, n)] != side[ragged(first[model], n)]
+            same[np.repeat(np.arange(len(h)), n)[differ]] = False
+        model[~same] = np.flatnonzero(~same)
+        some, back = np.unique(model, return_inverse=True)
         if len(self.number) > KEEP_WINDOWS:
             self.forget()
-        number = self._numbers(ids_a, ids_b, first_a, cut_a, first_b, cut_b)
-        doc = np.repeat(np.arange(len(docs)), n_a)[first_a]  # each text's last token is an anchor, as the next starts with a space
-
-        shown, ends = list(map(self.shown.__getitem__, number.tolist())), np.searchsorted(doc, np.arange(len(docs) + 1))
-        digests = [hashlib.sha256(";".join(shown[s:e]).encode()).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:])]
-        groups = np.bincount(doc, np.array(self.groups)[number], minlength=len(docs)).astype(np.int64)
-
-        used, place = np.unique(number, return_inverse=True)
-        key, m = np.unique(doc * len(used) + place, return_counts=True)  # windows of a document, and how often
-        d, w = key // len(used), used[key % len(used)]
-        sizes = np.array([len(self.pairs[i]) for i in w], np.int64)
-        pair = np.concatenate([self.pairs[i] for i in w])
-        times = np.concatenate([self.times[i] for i in w]) * np.repeat(m, sizes)
-        d = np.repeat(d, sizes)
-        order = np.lexsort((pair, d))
-        d, pair, times = d[order], pair[order], times[order]
-        start = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (pair[1:] != pair[:-1])))
-        times, d, pair = np.add.reduceat(times, start), d[start], pair[start]
-        links = np.zeros(len(docs), np.int64)
-        np.add.at(links, d, times)
-        at = pa.array(np.searchsorted(d, np.arange(len(docs) + 1)), pa.int32())
-        return [n_a, n_b, groups, links, digests, pa.ListArray.from_arrays(at, pa.array(pair)), pa.ListArray.from_arrays(at, pa.array(times))]
-
-    def _numbers(self, ids_a, ids_b, first_a, cut_a, first_b, cut_b) -> np.ndarray:
-        """The number of each window; id tuples are looked up once for each distinct one of short windows."""
-        width = 3
-        size_a, size_b = cut_a - first_a, cut_b - first_b
-        short = np.flatnonzero((size_a <= width) & (size_b <= width))
-        number = np.empty(len(cut_a), np.int64)
-        words = []
-        for ids, first, size in ((ids_a, first_a, size_a), (ids_b, first_b, size_b)):
-            at = first[short, None] + np.arange(width)
-            word = np.where(np.arange(width) < size[short, None], ids[np.minimum(at, len(ids) - 1)] + 1, 0)
-            words.append((word << (21 * np.arange(width))).sum(1))  # exact: ids are below 2^21
-        order = np.lexsort(words)
-        x, y = words[0][order], words[1][order]
-        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(order) else np.zeros(0, bool)
-        tuples = [self.learn(tuple(ids_a[first_a[i]:cut_a[i]].tolist()), tuple(ids_b[first_b[i]:cut_b[i]].tolist()))
-                  for i in short[order[new]].tolist()]
-        number[short[order]] = np.array(tuples, np.int64)[np.cumsum(new) - 1] if len(order) else 0
-        for i in np.flatnonzero((size_a > width) | (size_b > width)).tolist():
-            number[i] = self.learn(tuple(ids_a[first_a[i]:cut_a[i]].tolist()), tuple(ids_b[first_b[i]:cut_b[i]].tolist()))
-        return number
+        data = [side.astype(np.int32).tobytes() for side in ids]
+        spans = [(4 * v[some]).tolist() for span in windows for v in span]
+        keys = [data[0][f:e] + b"|" + data[1][g:h] for f, e, g, h in zip(*spans)]
+        found = list(map(self.number.get, keys))
+        unknown = [i for i, v in enumerate(found) if v is None]
+        if unknown:
+            start, at = len(self.text), some[unknown]
+            self._learn([side[ragged(f[at], (e - f)[at])] for side, (f, e) in zip(ids, windows)], [np.cumsum((e - f)[at]) for f, e in windows])
+            for k, i in enumerate(unknown):
+                found[i] = self.number[keys[i]] = start + k
+        return np.array(found, np.int64)[back]
+
+    def _learn(self, ids: list[np.ndarray], ends: list[np.ndarray]) -> None:
+        """Align windows, one behind the other (``ends``: where each one ends), and add them to the table."""
+        sides, n = self.sides(ids), len(ends[0])
+        shared = np.logical_and(*(s.marks() for s in sides))
+        (first_a, end_a), (first_b, end_b) = (s.spans(shared) for s in sides)
+        window = np.searchsorted(ends[0], end_a)  # of each group
+        size_a, size_b = end_a - first_a, end_b - first_b
+        # the text of all groups: tokens in the order of groups and sides, each with the mark that follows it
+        n_a, n_b = (len(t.bytes) for t in self.tokenizers)
+        shown = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        last = np.zeros(len(ids[0]), bool), np.zeros(len(ids[1]), bool)
+        last[0][end_a - 1], last[1][end_b - 1] = True, True
+        shown[np.arange(len(ids[0])) + np.repeat(first_b, size_a)] = ids[0] + n_a * last[0]
+        shown[np.arange(len(ids[1])) + np.repeat(end_a, size_b)] = 2 * n_a + ids[1] + n_b * last[1]
+        text = self.shown.take(pa.array(shown))
+        offsets, data = np.frombuffer(text.buffers()[1], np.int32), text.buffers()[2].to_pybytes()
+        cuts = offsets[np.append(0, ends[0] + ends[1])].tolist()
+        self.text += [data[s:e - 1] for s, e in zip(cuts, cuts[1:])]
+        # pairs: each link of short groups; distinct ids of each side of long ones, so that they cost no more than their distinct pairs
+        few = size_a * size_b <= LONG_GROUP
+        m = (size_a * size_b)[few]
+        at, k = np.repeat(np.flatnonzero(few), m), ragged(np.zeros(len(m), np.int64), m)
+        key = window[at] * self.wide + ids[0][first_a[at] + k // size_b[at]] * n_b + ids[1][first_b[at] + k % size_b[at]]
+        keys, times = [key], [np.ones(len(key), np.int64)]
+        for g in np.flatnonzero(~few).tolist():
+            (u, x), (v, y) = (np.unique(i[f[g]:e[g]], return_counts=True) for i, f, e in zip(ids, (first_a, first_b), (end_a, end_b)))
+            keys.append((window[g] * self.wide + (u * n_b)[:, None] + v).ravel())
+            times.append((x[:, None] * y).ravel())
+        key, times = summed(np.concatenate(keys), np.concatenate(times))
+        place = np.searchsorted(key, np.arange(n + 1) * self.wide)
+        old = len(self.pairs)
+        for name, more in (("groups", np.bincount(window, minlength=n)), ("first", old + place[:-1]), ("count", np.diff(place)),
+                           ("pairs", key % self.wide), ("times", times)):
+            setattr(self, name, np.append(getattr(self, name), more))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``ALIGNED`` for every row of ``docs``: ``pairs`` holds the distinct linked id pairs (A id * 2^32 + B id), ``times`` the
-    number of links of each."""
+    """``ALIGNED`` for every row of ``docs``: ``pairs`` holds the distinct linked id pairs (A id * number of B ids + B id),
+    ``times`` the number of links of each."""
     def run(batches):
         w = held(("align", path_a, path_b), lambda: Windows(TokenizerA(path_a), TokenizerB(path_b)))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
+        names = [f.split()[0] for f in ALIGNED.split(", ")]
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                got = w.align(texts(part, "text"))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(got, kinds))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *w.align(texts(part, "text"))], names)
 
     needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return needed.mapInArrow(run, ALIGNED)
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame, n_b: int) -> DataFrame:
     """``pair, n, best``: in how many documents a pair is linked, and whether no pair of its A id is linked in more."""
     counts = cut(rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
-    a = F.shiftright("pair", 32).alias("a")
+    a = F.floor(F.col("pair") / n_b).alias("a")
     most = counts.groupBy(a).agg(F.max("n").alias("most"))
-    return counts.join(most, F.shiftright("pair", 32) == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+    return counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def score(rows: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -232,6 +279,7 @@ def score(rows: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAST_P
 def links(docs: DataFrame, path_a: str, path_b: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` for every row of ``docs``."""
     rows = stored(align(docs, path_a, path_b).withColumn("row", F.monotonically_increasing_id()), "alignment")
-    scored = score(rows, cut(pair_counts(rows)), broadcast_pairs)
+    n_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
+    scored = score(rows, cut(pair_counts(rows, n_b)), broadcast_pairs)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(scored, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

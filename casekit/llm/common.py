@@ -105,15 +105,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Odd multiplier of the word hash and its powers' inverse (mod 2^64).
-_ODD = 0x9E3779B97F4A7C15
-_INV = pow(_ODD, -1, 1 << 64)
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z only
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, U64(base))
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -127,8 +127,8 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     acc = np.empty(len(data) + 1, U64)
     acc[0] = 0
-    np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), out=acc[1:])
-    sums = (acc[ends] - acc[starts]) * _powers(_INV, len(data) + 1)[starts]
+    np.cumsum(_BYTE[data] * powers(ODD, len(data)), out=acc[1:])
+    sums = (acc[ends] - acc[starts]) * powers(INVERSE, len(data) + 1)[starts]
     hashes = mix(sums + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
     first = np.cumsum([1] + [len(d) + 1 for d in docs])
     at = np.searchsorted(starts, first)

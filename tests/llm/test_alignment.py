@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from casekit.llm import alignment
+from casekit.llm import alignment, bpe
 from casekit.llm import queries as Q
 from casekit.llm.common import table
 
@@ -80,12 +81,26 @@ def test_query_matches_brute_force(spark):
     assert rows_of(Q.op12_token_alignment(spark, SF)) == brute(rows)
 
 
-def test_windows_forgotten_in_between_change_nothing():
+def test_windows_forgotten_in_between_change_nothing(monkeypatch):
     w = alignment.Windows(alignment.TokenizerA(PATH_A), alignment.TokenizerB(PATH_B))
     docs = [t for _, t in ODD if t]
-    first = [list(c) if not hasattr(c, "to_pylist") else c.to_pylist() for c in w.align(docs)]
-    w.forget()
-    one = [w.align([t]) for t in docs]
-    for k in range(7):
-        each = [c[k].to_pylist()[0] if hasattr(c[k], "to_pylist") else c[k][0] for c in one]
-        assert list(map(list if k > 4 else lambda v: v, each)) == first[k]
+    whole = [c.to_pylist() for c in w.align(docs)]
+    monkeypatch.setattr(alignment, "KEEP_WINDOWS", -1)
+    monkeypatch.setattr(alignment, "LONG_GROUP", 1)
+    one = [[c.to_pylist()[0] for c in w.align([t])] for t in docs]
+    assert whole == [list(c) for c in zip(*one)]
+
+
+def test_merging_by_rank_gives_the_library_ids():
+    """Every token's bytes encode to it, so ranks decide as the merges do; and the ids agree on many texts."""
+    lib = Tokenizer.from_file(PATH_A)
+    lib.encode_special_tokens = True
+    a = alignment.TokenizerA(PATH_A)
+    assert a.ranked
+    codec = bpe.Codec(PATH_A)
+    assert all(codec.merged(t) == [i] for t, i in codec.ids.items() if i not in codec.special.values())
+    rng = random.Random(5)
+    chars = [chr(c) for c in (*range(32, 1000), *range(0x4E00, 0x4E80), *range(0x1F600, 0x1F640), 10, 9, 13, 0xA0, 0x2028)]
+    docs = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(400)] + ["".join(rng.choice("etaoins hr") for _ in range(300)) for _ in range(300)]
+    docs += [chr(c) * 3 for c in range(1, 3000)] + ["<|endoftext|>", "a  b   c", "it's 'll", ""]
+    assert [x.tolist() for x in a.encode(docs)] == [lib.encode(" " + t, add_special_tokens=False).ids for t in docs]
