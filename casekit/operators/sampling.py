@@ -1,18 +1,20 @@
 """Model input preparation: null drop, class guard, stratified sample and split (O-38..O-40).
 
 Row order never decides membership: every row gets a seeded hash
-``md5(id ':' seed)`` and membership is decided by its exact rank within
-its class (two-level ranking), so results are reproducible on any
-partitioning and on task retries.
+``md5(id ':' seed)`` (then a hash of the whole row), and a class's first rows
+in hash order are taken. Where a quota ends is found by counting: rows by
+class and the next four hex digits of the hash, 65,536 cells a class, then the
+one cell that holds the end, until few rows are left to look at. Rows are then
+compared with the hash found, so whole rows are neither sorted nor shuffled,
+and results are reproducible on any partitioning and on task retries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casekit import config as C
-from casekit.operators import ranking as R
 
 MODEL_COLUMNS = C.FEATURE_COLS + ["age_group", "serious"]
 
@@ -38,23 +40,84 @@ def row_hash(key: str = "primaryid", seed: int = C.RANDOM_STATE, salt: str = "")
     return F.md5(F.concat(*parts))
 
 
-def _class_rank(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """Adds ``_before`` (rows of the class before it) and ``_n_c``; the order is the seeded hash of
-    the id, then a hash of the whole row.
+#: Hex digits of a counting round, and rows of a cell from which its hashes are counted whole.
+DIGITS, LAST_ROWS = 4, 100_000
 
-    Equal rows collapse to one with its count before the ranking and unfold to consecutive
-    places after it, so repeated ids and repeated rows share no place.
-    """
+
+def _hashes(df: DataFrame, key: str, seed: int) -> tuple[Column, Column]:
+    """Hash of the id (32 hex digits), and of the whole row (needed only among rows that share the first)."""
     whole = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    h = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-         .withColumn("_h", F.concat(row_hash(key, seed), F.md5(whole))))
-    ranks = R.rank_distinct(h.select(label, "_h", "_copies"), "_h", keys=[label], weight_cols=["_copies"]).select(
-        label, "_h", F.col("_copies_before").alias("_first"))
-    sizes = h.groupBy(label).agg(F.sum("_copies").alias("_n_c"))  # one row per class
-    return (h.join(ranks, [label, "_h"]).join(sizes, label)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
-            .withColumn("_before", F.col("_first") + F.col("_copy"))
-            .drop("_h", "_copies", "_first", "_copy"))
+    return F.coalesce(row_hash(key, seed), F.lit("")), F.md5(whole)
+
+
+def class_sizes(df: DataFrame, label: str) -> DataFrame:
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_c"))  # one row per class
+
+
+def quota_ends(df: DataFrame, label: str, key: str, seed: int, quotas: list[tuple]) -> dict[tuple, tuple[str, int]]:
+    """For each (class, quota): the hash at which the quota ends, and how many rows of exactly this hash it still takes.
+    Quotas of a whole class or more have no end."""
+    spark, (first, second) = df.sparkSession, _hashes(df, key, seed)
+    kind, ends = df.schema[label].dataType.simpleString(), {}
+    todo = {q: ("", 0, None) for q in quotas}  # prefix, rows before it, rows of the cell
+    while todo:
+        width = len(next(iter(todo.values()))[0])
+        last = width and (width >= 64 or all(n <= LAST_ROWS for *_, n in todo.values()))
+        asked = spark.createDataFrame([(c, q, p, n) for (c, q), (p, n, _) in todo.items()], f"_c {kind}, _q long, _p string, _base long")
+        whole = F.concat(first, second)
+        prefix = F.substring(first if width <= 32 else whole, 1, width) if width else F.lit("")
+        cell = whole if last else F.substring(first if width < 32 else whole, 1, width + DIGITS)
+        rows = df.select(F.col(label).alias("_c"), prefix.alias("_p"), cell.alias("_cell"))
+        if width:
+            rows = rows.join(F.broadcast(asked.select("_c", "_p").distinct()), ["_c", "_p"], "left_semi")  # a few rows
+        counts = rows.groupBy("_c", "_p", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("_c", "_p").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        at = F.col("_base") + F.col("_before")
+        hit = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(asked), ["_c", "_p"])
+               .where((at <= F.col("_q")) & (F.col("_q") < at + F.col("_n"))).select("_c", "_q", "_cell", at.alias("_at"), "_n").collect())
+        if last:
+            ends |= {(r["_c"], r["_q"]): (r["_cell"], r["_q"] - r["_at"]) for r in hit}
+            break
+        todo = {(r["_c"], r["_q"]): (r["_cell"], r["_at"], r["_n"]) for r in hit}
+    return ends
+
+
+def _take_first(df: DataFrame, label: str, key: str, seed: int, sizes: list, names: list[str]) -> DataFrame:
+    """Adds ``_part``: the first of ``names`` whose quota (``sizes``: rows of class, quota by name) takes the row, else null."""
+    first, second = _hashes(df, key, seed)
+    quotas = sorted({(r[label], r[n]) for r in sizes for n in names})
+    ends = quota_ends(df, label, key, seed, quotas)
+    rows, split = df.select("*", first.alias("_h1")), F.lit(None).cast("string")
+    ties = []
+    for r in sizes:
+        part = F.lit(None).cast("string")
+        for n in reversed(names):
+            if r[n] >= r["_n_c"]:
+                part = F.lit(n)
+            elif (r[label], r[n]) in ends:
+                h, more = ends[r[label], r[n]]
+                taken = (F.col("_h1") < h[:32]) | ((F.col("_h1") == h[:32]) & (second < h[32:]))
+                part = F.when(taken, n).otherwise(part)
+                if more:
+                    ties.append((r[label], h))
+        split = F.when(F.col(label) == F.lit(r[label]), part).otherwise(split)
+    if not ties:
+        return rows.withColumn("_part", split).drop("_h1")
+    tied = F.lit(False)
+    for c, h in ties:
+        tied = tied | ((F.col(label) == F.lit(c)) & (F.col("_h1") == h[:32]) & (second == h[32:]))
+    # equal rows in which a quota ends: one row with its count, unfolded to numbered copies
+    copies = (rows.where(tied).groupBy(*df.columns, "_h1").agg(F.count(F.lit(1)).alias("_copies"))
+              .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1))))
+    part = split
+    for r in sizes:
+        for n in reversed(names):
+            h, more = ends.get((r[label], r[n]), ("", 0))
+            if more:
+                here = (F.col(label) == F.lit(r[label])) & (F.col("_h1") == h[:32]) & (second == h[32:])
+                part = F.when(here & (F.col("_i") < more), n).otherwise(part)
+    return rows.where(~tied).withColumn("_part", split).drop("_h1").unionByName(
+        copies.withColumn("_part", part).drop("_h1", "_copies", "_i"))
 
 
 # ---------------------------------------------------------------- O-39
@@ -68,12 +131,14 @@ def stratified_sample(df: DataFrame, max_rows: int | None = C.MAX_TRAIN_ROWS, la
     """
     if max_rows is None:
         return df
-    r = _class_rank(df, label, key, seed)
-    n = df.select(F.count(F.lit(1))).scalar()
+    sizes = class_sizes(df, label)
+    n = sizes.agg(F.sum("_n_c")).scalar()
     quota = F.least(F.col("_n_c"), F.greatest(F.lit(1).cast("bigint"),
                     F.floor(F.lit(float(max_rows)) * (F.col("_n_c") / n)).cast("bigint")))
-    keep = (n <= F.lit(max_rows)) | (F.col("_before") < quota)
-    return r.filter(keep).drop("_before", "_n_c")
+    rows = sizes.select(label, "_n_c", quota.alias("kept")).collect()
+    if sum(r["_n_c"] for r in rows) <= max_rows:
+        return df
+    return _take_first(df, label, key, seed, rows, ["kept"]).where("_part IS NOT NULL").drop("_part")
 
 
 # ---------------------------------------------------------------- O-40
@@ -85,12 +150,11 @@ def split_assign(df: DataFrame, label: str = "serious", key: str = "primaryid",
     (halves up); the class's first ``test`` hash ranks are test, the next
     ``temp - test`` validation, the rest train.
     """
-    r = _class_rank(df, label, key, seed)
     temp = F.round(F.lit(float(test_size)) * F.col("_n_c"), 0).cast("bigint")
     test = F.round(temp.cast("double") * F.lit(float(validation_split)), 0).cast("bigint")
-    split = (F.when(F.col("_before") < test, F.lit("test"))
-             .when(F.col("_before") < temp, F.lit("validation")).otherwise(F.lit("train")))
-    return r.withColumn("split", split).drop("_before", "_n_c")
+    sizes = class_sizes(df, label).select(label, "_n_c", test.alias("test"), temp.alias("validation")).collect()
+    rows = _take_first(df, label, key, seed, sizes, ["test", "validation"])
+    return rows.withColumn("split", F.coalesce("_part", F.lit("train"))).drop("_part")
 
 
 # ---------------------------------------------------------------- O-45
