@@ -1,6 +1,7 @@
-"""Model fitting on Spark ML (O-41, O-43, O-44, O-48, O-55..O-61).
+"""Model fitting (O-41, O-43, O-44, O-48, O-55..O-61).
 
-Fits are distributed Spark ML estimators; the driver only holds fitted
+Fits are distributed: Spark ML estimators, the network of ``network`` and the
+forest of ``forest``; the driver only holds fitted
 parameters (9 means/stds, tree ensembles, network weights, centroids).
 Scaling is the reference's rule (population std, zero variance -> 1),
 applied as column arithmetic before ``VectorAssembler``.
@@ -12,8 +13,7 @@ import math
 import random
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.operators import ranking as R
-from casekit.operators.sampling import row_hash
+from casekit.operators.forest import ForestClassifier, ForestModel
+from casekit.operators.network import NetworkClassifier, NetworkModel
+from casekit.session import ensure_checkpoint_dir
 
 
 # ---------------------------------------------------------------- O-41
@@ -66,13 +68,11 @@ class ModelSettings:
     lr_max_iter: int = 1200
     dt_max_depth: int = 8
     rf_trees: int = 120
-    rf_max_depth: int = 16
     seed: int = C.RANDOM_STATE
 
     @classmethod
     def fast(cls) -> "ModelSettings":
-        return cls(mlp_layers=(9, 16, 8, 2), mlp_max_iter=30, lr_max_iter=100, dt_max_depth=8, rf_trees=20,
-                   rf_max_depth=8)
+        return cls(mlp_layers=(9, 16, 8, 2), mlp_max_iter=30, lr_max_iter=100, dt_max_depth=8, rf_trees=20)
 
 
 def build_estimators(settings: ModelSettings, balanced: bool = True, n_train: int | None = None,
@@ -82,22 +82,26 @@ def build_estimators(settings: ModelSettings, balanced: bool = True, n_train: in
     w = {"weightCol": weight_col} if balanced else {}
     reg = 1.0 / n_train if n_train else 0.0  # C = 1 on the mean loss scale
     return {
-        "ANN (MLPClassifier)": MultilayerPerceptronClassifier(
-            layers=list(settings.mlp_layers), maxIter=settings.mlp_max_iter, seed=settings.seed,
-            labelCol=label, featuresCol=features),
+        "ANN (MLPClassifier)": NetworkClassifier(
+            hidden=tuple(settings.mlp_layers[1:-1]), max_iter=settings.mlp_max_iter, seed=settings.seed,
+            label=label, features=features),
         "Logistic Regression": LogisticRegression(
             maxIter=settings.lr_max_iter, regParam=reg, standardization=False, labelCol=label,
             featuresCol=features, **w),
         "Decision Tree": DecisionTreeClassifier(
             maxDepth=settings.dt_max_depth, seed=settings.seed, labelCol=label, featuresCol=features, **w),
-        "Random Forest": RandomForestClassifier(
-            numTrees=settings.rf_trees, maxDepth=settings.rf_max_depth, seed=settings.seed, labelCol=label,
-            featuresCol=features, **w),
+        "Random Forest": ForestClassifier(
+            trees=settings.rf_trees, seed=settings.seed, label=label, features=features,
+            weight_col=weight_col if balanced else None),
     }
 
 
 def positive_probability(model, df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``p`` = P(class 1) from a fitted classifier."""
+    if isinstance(model, ForestModel):
+        return model.score(df, keep)
+    if isinstance(model, NetworkModel):
+        return df.select(*keep, model.positive().alias("p"))
     out = model.transform(df)
     return out.select(*keep, vector_to_array(F.col("probability"))[1].alias("p"))
 
@@ -106,7 +110,7 @@ def positive_probability(model, df: DataFrame, keep: list[str]) -> DataFrame:
 def tree_importance(model, name: str, cols: list[str] | None = None) -> DataFrame:
     """Native (impurity) importance of a fitted tree model, as a 9-row table."""
     cols = cols or C.FEATURE_COLS
-    imp = model.featureImportances.toArray().tolist()
+    imp = (model.importances if isinstance(model, ForestModel) else model.featureImportances.toArray()).tolist()
     rows = [(c, float(v), f"{name} native importance") for c, v in zip(cols, imp)]
     return model_session(model).createDataFrame(rows, "feature string, importance double, source string")
 
@@ -117,9 +121,12 @@ def model_session(_model):
 
 
 # ---------------------------------------------------------------- O-57
+BLOCK_ROWS = 1024
+
+
 def _shuffles(n: int, features: list[str], repeats: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(feature, repeat, a, b) of each variant: place ``x`` receives from ``(a * x + b) mod n``, a permutation
-    as ``a`` has no factor in common with ``n``. ``a`` stays below 2^20, so ``a * x`` fits a long up to 8e12 rows."""
+    """(feature, repeat, a, b) of each variant: block ``x`` receives from ``(a * x + b) mod n``, a permutation
+    as ``a`` has no factor in common with ``n``. ``a`` stays below 2^20."""
     rng, out = random.Random(seed), []
     for feature in features:
         for rep in range(repeats):
@@ -130,43 +137,70 @@ def _shuffles(n: int, features: list[str], repeats: int, seed: int) -> list[tupl
     return out
 
 
+def _rotations(n: int, features: list[str], repeats: int, seed: int) -> dict[tuple[str, int], int]:
+    """How far each variant turns the rows of a block: 1 to ``n - 1``."""
+    rng = random.Random(f"{seed}:turns")
+    return {(f, r): rng.randrange(1, max(2, n)) for f in features for r in range(repeats)}
+
+
+def permuted(test: DataFrame, cols: list[str], keep: list[str], repeats: int, seed: int) -> DataFrame:
+    """Every row of ``test`` once as it is (feature ``__baseline__``) and once for each feature and repeat, with this feature
+    from another row: a permutation of all rows.
+
+    Rows get distinct places in the order of a seeded hash of the whole row (equal rows collapse before the ranking and
+    unfold to consecutive places after it), and ``BLOCK_ROWS`` places make a block, one row of a small table. A variant
+    permutes whole blocks (the last, shorter one stays) and turns the values inside each, so a block sends the values of one
+    feature to one block: eight bytes a row and variant are shuffled, not copies of the rows. The rows of all variants are
+    unfolded where their block lies.
+    """
+    used = list(dict.fromkeys([*keep, *cols]))
+    h = (test.groupBy(*used).agg(F.count(F.lit(1)).alias("_copies"))
+         .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*used))))))
+    ranks = R.rank_distinct(h.select("_h", "_copies"), "_h", weight_cols=["_copies"]).select(
+        "_h", F.col("_copies_before").alias("_first"))
+    placed = (h.join(ranks, "_h")
+              .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+              .select((F.col("_first") + F.col("_copy")).alias("_pos"), *keep, *[F.col(c).cast("double").alias(c) for c in cols if c not in keep]))
+    size, names = BLOCK_ROWS, list(dict.fromkeys([*keep, *cols]))
+    ensure_checkpoint_dir(test.sparkSession)
+    blocks = (placed.groupBy(F.floor(F.col("_pos") / size).alias("block"))
+              .agg(F.array_sort(F.collect_list(F.struct("_pos", *names))).alias("rows")).checkpoint())  # BLOCK_ROWS a group
+    n = blocks.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0))).first()[0]
+    full, turns = n // size, _rotations(min(n, size), cols, repeats, seed)
+    values = lambda f: F.transform("rows", lambda x: x[f].cast("double"))
+    variants = []
+    for f, r, a, b in _shuffles(max(1, full), cols, repeats, seed):
+        back = pow(a, -1, full) if full > 1 else 0  # block t gets from block (a t + b) mod full
+        to = F.when(F.col("block") >= full, F.col("block")).otherwise(
+            F.pmod((F.col("block") - b) * F.lit(back), F.lit(max(1, full)))).cast("bigint")
+        own, m = values(f), F.size("rows")
+        turn = F.pmod(F.lit(turns[f, r]), m)
+        variants.append(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), to.alias("block"),
+                                 F.concat(F.slice(own, turn + 1, m), F.slice(own, F.lit(1), turn)).alias("got")))
+    donors = blocks.select(F.inline(F.array(*variants)))
+
+    def unfolded(rows: DataFrame, feature, value) -> DataFrame:
+        fields = lambda x, v: F.struct(*[x[c].alias(c) for c in keep], *[
+            (F.when(F.col("feature") == c, v).otherwise(x[c].cast("double")) if v is not None else x[c].cast("double")).alias(c) for c in cols if c not in keep])
+        array = F.zip_with("rows", value, fields) if value else F.transform("rows", lambda x: fields(x, None))
+        return rows.select("feature", "rep", F.inline(array))
+
+    changed = unfolded(donors.join(blocks, "block"), "feature", "got")
+    plain = unfolded(blocks.select("rows", F.lit("__baseline__").alias("feature"), F.lit(-1).alias("rep")), None, None)
+    return changed.unionByName(plain).select(*keep, "feature", "rep", *[c for c in cols if c not in keep])
+
+
 def permutation_importance(model, name: str, test: DataFrame, scaler: Standardizer, key: str = "primaryid",
                            label: str = "serious", repeats: int = C.PERMUTATION_REPEATS,
                            seed: int = C.RANDOM_STATE, threshold: float = 0.5) -> DataFrame:
     """Drop in F1 (at the classifier's own 0.5 cut) when one feature is shuffled, over all test rows.
 
-    Rows get distinct places once, in the order of a seeded hash of the whole row (equal rows
-    collapse before the ranking and unfold to consecutive places after it). Each feature x
-    repeat variant then maps places by its own affine permutation, so one equi-join on the
-    place brings every donated value; the variants are scored in one ``transform`` and F1 is
-    one ``groupBy``.
+    All variants are scored in one ``transform`` and F1 is one ``groupBy``.
     Returns (feature, importance = mean drop, importance_std = population std, source).
     """
-    cols = scaler.cols
-    used = list(dict.fromkeys([key, label, *cols]))
-    h = (test.groupBy(*used).agg(F.count(F.lit(1)).alias("_copies"))
-         .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*used))))))
-    ranks = R.rank_distinct(h.select("_h", "_copies"), "_h", weight_cols=["_copies"]).select(
-        "_h", F.col("_copies_before").alias("_first"))
-    base = (h.join(ranks, "_h")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
-            .withColumn("_pos", F.col("_first") + F.col("_copy")).select(*used, "_pos"))
-    n = test.count()
-    if n == 0:
+    if not test.head(1):
         return test.sparkSession.createDataFrame([], "feature string, importance double, importance_std double, source string")
-    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.lit(a).cast("bigint").alias("a"),
-                                            F.lit(b).cast("bigint").alias("b")) for f, r, a, b in _shuffles(n, cols, repeats, seed)]))
-    v = base.select("*", variants.alias("_v")).select(
-        "*", "_v.feature", "_v.rep", F.pmod(F.col("_v.a") * F.col("_pos") + F.col("_v.b"), F.lit(n)).alias("_from")).drop("_v", "_pos")
-    donors = base.select(F.col("_pos").alias("_from"), F.map_from_arrays(
-        F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols])).alias("_vals"))
-    v = v.join(donors, "_from").withColumn("_new", F.col("_vals")[F.col("feature")])
-    v = v.select(key, label, "feature", "rep",
-                 *[F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c).cast("double")).alias(c)
-                   for c in cols])
-    baseline = base.select(key, label, F.lit("__baseline__").alias("feature"), F.lit(-1).alias("rep"),
-                           *[F.col(c).cast("double").alias(c) for c in cols])
-    allv = v.unionByName(baseline)
+    allv = permuted(test, scaler.cols, [key, label], repeats, seed)
     scored = positive_probability(model, scaler.transform(allv), [key, label, "feature", "rep"])
     pred = (F.col("p") > threshold).cast("int")
     f1 = scored.groupBy("feature", "rep").agg(

@@ -76,8 +76,9 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
     n_train = train.count()
     n_trainval = trainval.count()
 
-    train_s = scaler.transform(S.with_weights(train, weights))
-    trainval_s = scaler.transform(S.with_weights(trainval, refit_weights))
+    # read by every pass of four fits; released below
+    train_s = scaler.transform(S.with_weights(train, weights)).persist(StorageLevel.MEMORY_AND_DISK)
+    trainval_s = scaler.transform(S.with_weights(trainval, refit_weights)).persist(StorageLevel.MEMORY_AND_DISK)
     val_s, test_s = scaler.transform(val), scaler.transform(test)
     est = M.build_estimators(settings, balanced=balanced, n_train=n_train)
     est_refit = M.build_estimators(settings, balanced=balanced, n_train=n_trainval)
@@ -110,6 +111,8 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
     for s in scores[1:]:
         test_scores = test_scores.unionByName(s)
     test_scores = _lineage_cut(test_scores)
+    train_s.unpersist()
+    trainval_s.unpersist()
     sweep_all = sweeps[0]
     for s in sweeps[1:]:
         sweep_all = sweep_all.unionByName(s)

@@ -71,6 +71,27 @@ def test_permutation_importance_uses_all_rows_of_repeated_ids(spark, monkeypatch
     assert out[C.FEATURE_COLS[0]] > 0.2 and all(abs(v) < 1e-12 for f, v in out.items() if f != C.FEATURE_COLS[0])
 
 
+@pytest.mark.parametrize("n", [1, 5, 8, 50])
+def test_block_permutations_equal_brute_force(spark, monkeypatch, n):
+    """Each variant: block t gets from block (a t + b) mod the full ones, turned; the last block from itself."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 8)
+    df = spark.range(n).select(F.col("id").alias("primaryid"), (F.col("id") % 2).cast("int").alias("serious"), (F.col("id") * 1.0).alias("x"), (F.col("id") * 10.0).alias("y"))
+    order = [r.primaryid for r in df.orderBy(F.md5(F.concat(F.lit("7:"), F.to_json(F.struct("primaryid", "serious", "x", "y"))))).collect()]
+    got = {}
+    for r in M.permuted(df, ["x", "y"], ["primaryid", "serious"], 3, 7).collect():
+        got.setdefault((r.feature, r.rep), {})[r.primaryid] = (r.serious, r.x, r.y)
+    full, turns = n // 8, M._rotations(min(n, 8), ["x", "y"], 3, 7)
+    assert got.pop(("__baseline__", -1)) == {i: (i % 2, i * 1.0, i * 10.0) for i in range(n)}
+    shuffles = M._shuffles(max(1, full), ["x", "y"], 3, 7)
+    assert len(got) == len(shuffles) == 6
+    for f, r, a, b in shuffles:
+        for place, i in enumerate(order):
+            t, at = divmod(place, 8)
+            source, size = (t, n - full * 8) if t == full else ((a * t + b) % full, 8)
+            j = order[source * 8 + (at + turns[f, r]) % size]
+            assert got[f, r][i] == (i % 2, (j if f == "x" else i) * 1.0, (j if f == "y" else i) * 10.0)
+
+
 def test_kde_and_histogram_of_constant_and_nan_columns(spark):
     one = spark.createDataFrame([(2.0,)] * 5, "x double")
     assert K.kde(one, "x").count() == 0 and K.kde(one.limit(0), "x").count() == 0
