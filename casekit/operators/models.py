@@ -14,7 +14,6 @@ import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casekit import config as C
+from casekit.operators import lloyd
 from casekit.operators import ranking as R
 from casekit.operators.forest import ForestClassifier, ForestModel
 from casekit.operators.network import NetworkClassifier, NetworkModel
@@ -243,18 +243,9 @@ def pca_project(model, df_scaled: DataFrame, keep: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- O-59 / O-60 / O-61
 def kmeans_best(df_scaled: DataFrame, k: int = C.N_CLUSTERS, restarts: int = 10, seed: int = C.RANDOM_STATE,
-                features: str = "features", parallelism: int = 4):
-    """Best of ``restarts`` k-means fits (lowest training cost; ties -> lowest seed).
-
-    Restarts are independent and run concurrently (each is a chain of small jobs)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(i: int):
-        m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(df_scaled)
-        return m.summary.trainingCost, i, m
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
-        fits = list(pool.map(fit, range(restarts)))
-    return min(fits, key=lambda t: (t[0], t[1]))[2]
+                features: str = "features") -> lloyd.KMeansModel:
+    """Best of ``restarts`` k-means fits (lowest training cost; ties -> lowest number), all moved in the same passes."""
+    return lloyd.fit(df_scaled, k, restarts, seed, features)
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
@@ -265,16 +256,13 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
 
 
 def silhouette(clustered: DataFrame, features: str = "features") -> DataFrame:
-    """Silhouette of the clustering in squared-Euclidean distance (Spark's
-    O(n k) formula; the exact Euclidean form needs all point pairs)."""
+    """Silhouette by both distances: Euclidean (exact, or within the bounds given, see ``lloyd``), and squared-Euclidean,
+    which is another quantity that takes one pass over any number of rows."""
     n_clusters = clustered.select(F.count_distinct("cluster")).first()[0]
-    if n_clusters < 2:
-        value = 0.0
-    else:
-        value = ClusteringEvaluator(featuresCol=features, predictionCol="cluster",
-                                    distanceMeasure="squaredEuclidean").evaluate(clustered)
-    return model_session(None).createDataFrame([("squaredEuclidean", float(value))],
-                                               "distance string, silhouette double")
+    square = 0.0 if n_clusters < 2 else ClusteringEvaluator(
+        featuresCol=features, predictionCol="cluster", distanceMeasure="squaredEuclidean").evaluate(clustered)
+    rows = [("euclidean", *lloyd.silhouette(clustered, features)), ("squaredEuclidean", *[float(square)] * 3)]
+    return model_session(None).createDataFrame(rows, "distance string, silhouette double, at_least double, at_most double")
 
 
 def rank_by(df: DataFrame, col: str, desc: bool = True) -> DataFrame:
