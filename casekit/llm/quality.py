@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest | No
     """Grow the forest on at most ``sample`` labelled documents (crc32(doc_id) mod 5 = 0 stays held out)."""
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .where("doc_id IS NOT NULL AND quality IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 != 0")
-              .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+              .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = picked.collect()  # bounded by ``sample``
     if len({r.quality for r in rows}) < 2:
         return None

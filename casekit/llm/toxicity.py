@@ -15,7 +15,8 @@ worker (bounded memory), and whole texts are read. Words over 32 letters are cut
 
 Training: at most ``SAMPLE`` labelled documents whose crc32(doc_id) mod 5 is not 0. Null and empty texts have no
 sentence and get the score of a text without any insult; repeated rows each give a row; an empty table gives an
-empty result; other columns are never read. Without labels of both classes every score is the share of toxic
+empty result; other columns are never read. Of several labels of a doc_id the least counts, of several texts the
+least is learned from. Without labels of both classes every score is the share of toxic
 labels (0 without labels).
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain, groupby
@@ -43,6 +45,8 @@ LETTERS = 40  # a-z and 14 classes for other letters
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 CHUNK = 20_000  # words whose kernel values are held at once in training
+ROWS = 8_192  # sentences whose features are multiplied at once in training
+APART = 0.2  # least difference of the shares rejected among toxic and clean labelled rows of a model that may reject rows
 KEEP = 400_000  # tokens remembered by a worker
 SLICE = 500_000  # text bytes scored at once
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
@@ -128,6 +132,7 @@ class Model:
     offset: float = 0.0
     logit: np.ndarray = field(default_factory=lambda: np.zeros(4))
     share: float | None = None
+    apart: bool = False  # whether it tells the labelled classes apart
 
 
 class Scorer:
@@ -177,18 +182,25 @@ class Scorer:
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Linear squared-hinge machine by Newton steps on the active rows; the last column of ``x`` is 1."""
-    w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], ridge)
+    """Linear squared-hinge machine by Newton steps on the active rows; the last column of ``x`` is 1. Rows of weight 0 take
+    no part. Rows are read ``ROWS`` at a time, so that no copy of all of them is made."""
+    w, n = np.zeros(x.shape[1]), x.shape[1]
+    pull = np.full(n, ridge)
     pull[-1] = 1e-6
-    active = None
-    for _ in range(steps):
-        now = y * (x @ w) < 1
-        if active is not None and (now == active).all():
+    active = np.zeros(len(y), bool)
+    for step in range(steps):
+        before, left, right = active.copy(), np.diag(pull).astype(float), np.zeros(n)
+        for at in range(0, len(y), ROWS):
+            part = slice(at, at + ROWS)
+            rows = x[part]
+            active[part] = (y[part] * (rows @ w.astype(np.float32)) < 1) & (weight[part] > 0)
+            rows = rows[active[part]]
+            scale = weight[part][active[part]].astype(np.float32)
+            left += (rows * scale[:, None]).T @ rows
+            right += rows.T @ (scale * y[part][active[part]].astype(np.float32))
+        if step and (before == active).all():
             break
-        active = now
-        xa, wa = x[active], weight[active].astype(np.float32)
-        w = np.linalg.solve((xa * wa[:, None]).T.astype(np.float32) @ xa + np.diag(pull), (xa * (wa * y[active])[:, None]).sum(axis=0))
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -248,17 +260,18 @@ def train(docs: list[str], toxic: np.ndarray, odds: float | None = None) -> Mode
             part = use[k:k + 100_000]  # in order of sentences
             first = np.flatnonzero(np.r_[True, np.diff(sentence_a[part]) > 0])
             x[sentence_a[part][first], :-1] += np.add.reduceat(near[word_a[part] - at], first, axis=0)
-    x[:, :-1] = x[:, :-1] @ root.astype(np.float32)
+    for at in range(0, len(x), ROWS):
+        x[at:at + ROWS, :-1] = x[at:at + ROWS, :-1] @ root.astype(np.float32)
     x[:, -1] = 1
     owner_a = np.array(owner, int)
     y = np.where(toxic[owner_a] == 1, 1.0, -1.0)
 
     def fitted(use, sign):
-        balance = np.where(sign[use] > 0, 0.5 / max((sign[use] > 0).sum(), 1), 0.5 / max((sign[use] < 0).sum(), 1))
-        return machine(x[use], sign[use], balance * use.sum())
+        balance = np.where(sign > 0, 0.5 / max((sign[use] > 0).sum(), 1), 0.5 / max((sign[use] < 0).sum(), 1))
+        return machine(x, sign, balance * use.sum() * use)
 
     w = fitted(np.ones(len(y), bool), y)
-    margin = x @ w
+    margin = np.concatenate([x[at:at + ROWS] @ w.astype(np.float32) for at in range(0, len(x), ROWS)] or [np.zeros(0)])
     stands_out = margin > np.quantile(margin[y < 0], 0.995)
     use = (y < 0) | stands_out
     if (use & (y > 0)).any():
@@ -269,6 +282,8 @@ def train(docs: list[str], toxic: np.ndarray, odds: float | None = None) -> Mode
     model.logit = logistic(shown, toxic.astype(float))
     if odds:  # the sample is balanced, the labelled rows are not
         model.logit[0] += np.log(odds * n0 / n1)
+    rejected = shown @ model.logit >= 0
+    model.apart = bool(rejected[toxic == 1].mean() - rejected[toxic == 0].mean() >= APART)
     return model
 
 
@@ -276,15 +291,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled documents of each class (chosen by a hash of doc_id)."""
     rows = []
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
-        "doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 != 0").dropDuplicates(["doc_id"])
+        "doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(cast(doc_id AS string)) % 5 != 0").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     total = {r.toxic: r["count"] for r in good.groupBy("toxic").count().collect()}
     for y in (1, 0):
         rows += good.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     if not rows:
         return Model(share=0.0)
     known = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic int")  # bounded by 2 * sample
-    got = _needed(docs).join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas()
-    got = got.sort_values(["doc_id", "text"], kind="stable")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    got = _needed(docs).join(F.broadcast(known), "doc_id").select("doc_id", text, "toxic").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
+    got = got.sort_values("doc_id", kind="stable")
     toxic = got.toxic.to_numpy(int)
     if len(set(toxic)) < 2:
         return Model(share=float(toxic.mean()) if len(toxic) else 0.0)
@@ -310,7 +326,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose score stays under ``most``, all columns as they are (one scan, no shuffle)."""
+    """Rows of ``docs`` whose score stays under ``most``, all columns as they are (one scan, no shuffle). A model that does
+    not tell the labelled classes apart (or saw one class only) rejects nothing; a warning says so."""
+    if not model.apart:
+        warnings.warn("The toxicity model does not tell the labelled classes apart: all rows are kept", stacklevel=2)
+        return docs
+
     def run(batches):
         s = _scorer(model)
         for batch in batches:
