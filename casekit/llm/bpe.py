@@ -31,8 +31,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same matches, found faster: what is letters, numbers or signs needs no way back.
 POSSESSIVE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
-#: Words kept from one slice to the next, and the longest such word (bytes); both bound memory only.
-KEEP_WORDS, KEEP_BYTES = 250_000, 48
+#: Words kept from one slice to the next (twice as many at most), and the longest such word (bytes); both bound memory only.
+KEEP_WORDS, KEEP_BYTES = 200_000, 48
 KEEP_PAIRS, KEEP_STEPS = 250_000, 400_000  # judged pairs of tokens, steps from ending to ending
 SLICE = 500_000  # text bytes encoded at once
 
@@ -70,6 +70,7 @@ class Codec:
         names = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({names})") if names else None
         self.known: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
         self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -180,11 +181,14 @@ class Codec:
     def encoded(self, docs: list[str]) -> list[list[tuple]]:
         """What is kept of each word, for the words of whole texts."""
         cut = [self.pieces(t) for t in docs]
-        kept, known = self.kept, self.known
-        new = set(chain.from_iterable(cut)).difference(known)
-        if len(known) + len(new) > KEEP_WORDS:
-            known.clear()
-            new = set(chain.from_iterable(cut))
+        kept, words = self.kept, set(chain.from_iterable(cut))
+        if len(self.known) > KEEP_WORDS:  # words that come again are taken over, others go with the next turn
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = words.difference(known)
+        if again := new.intersection(old):
+            known.update((w, old[w]) for w in again)
+            new -= again
         walked = []
         for w in sorted(new):  # in the order of their bytes too
             b = w.encode()
