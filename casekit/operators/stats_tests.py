@@ -3,18 +3,17 @@
 Each test reduces the table to sufficient statistics in one aggregation
 (counts, sums, sums of squares, a 2x2 crosstab, per-group moments, rank
 tables over distinct values). The test statistic is column arithmetic on
-that summary; the p-value is evaluated on the one summary row per test
-inside a ``mapInPandas`` task (closed-form tail probabilities).
+that summary, and so is the p-value (tail probabilities as folds of fixed
+length, see ``functions/tails``).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casekit import config as C
+from casekit.functions import tails
 from casekit.operators import ranking as R
 
 TESTS = [
@@ -130,37 +129,17 @@ def stats_statistics(ml: DataFrame) -> DataFrame:
     return out
 
 
-def _p_values(batches):
-    import pandas as pd
-
-    from casekit.functions import distributions as Dist
-    for pdf in batches:
-        ps = []
-        for kind, st, d1, d2 in zip(pdf["kind"], pdf["statistic"], pdf["df1"], pdf["df2"]):
-            st = float("nan") if st is None or pd.isna(st) else float(st)
-            if kind == "t":
-                ps.append(Dist.t_two_sided(st, float(d1)))
-            elif kind == "chi2":
-                ps.append(Dist.chi2_sf(st, float(d1)) if not pd.isna(d1) and d1 > 0 else 1.0)
-            elif kind == "f":
-                ps.append(Dist.f_sf(st, float(d1), float(d2)) if not pd.isna(d1) else float("nan"))
-            else:  # correlation coefficient -> t with n - 2 dof
-                if math.isnan(st) or pd.isna(d1) or d1 <= 0:
-                    ps.append(float("nan"))
-                elif abs(st) >= 1.0:
-                    ps.append(0.0)
-                else:
-                    ps.append(Dist.t_two_sided(st * math.sqrt(float(d1) / (1.0 - st * st)), float(d1)))
-        out = pdf[["ord", "test", "statistic"]].copy()
-        out["p_value"] = ps
-        out["significant_0_05"] = [bool(p < 0.05) if not math.isnan(p) else False for p in ps]
-        yield out
-
-
 def stats_tests(ml: DataFrame) -> DataFrame:
-    """(ord, test, statistic, p_value, significant_0_05)."""
-    return stats_statistics(ml).coalesce(1).mapInPandas(
-        _p_values, "ord int, test string, statistic double, p_value double, significant_0_05 boolean")
+    """(ord, test, statistic, p_value, significant_0_05); the p-value is NaN where the test is undefined."""
+    st, d1, d2 = F.col("statistic"), F.col("df1"), F.col("df2")
+    # a correlation coefficient is judged by t with n - 2 degrees of freedom
+    inner = st * F.sqrt(d1 / (1.0 - st * st))
+    r = F.when(F.isnan(st) | st.isNull() | d1.isNull() | (d1 <= 0), None).when(F.abs(st) >= 1.0, 0.0).otherwise(tails.t_two_sided(inner, d1))
+    p = (F.when(F.col("kind") == "t", tails.t_two_sided(st, d1))
+         .when(F.col("kind") == "chi2", F.when(d1 > 0, tails.chi2_tail(st, d1)).otherwise(1.0))
+         .when(F.col("kind") == "f", tails.f_tail(st, d1, d2)).otherwise(r))
+    out = stats_statistics(ml).select("ord", "test", "statistic", F.coalesce(p, F.lit(float("nan"))).alias("p_value"))
+    return out.withColumn("significant_0_05", F.when(F.isnan("p_value"), False).otherwise(F.col("p_value") < 0.05))
 
 
 # ---------------------------------------------------------------- O-42

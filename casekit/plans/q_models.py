@@ -146,7 +146,41 @@ FROM (SELECT rank() OVER (ORDER BY drug_count) + (count(*) OVER (PARTITION BY dr
              rank() OVER (ORDER BY serious) + (count(*) OVER (PARTITION BY serious) - 1) / 2.0 AS ry FROM mf) r"""
 register("stats_tests", O.with_ctes(_STATS_SQL, MODEL_CTES))(
     lambda spark, sf: r6(T.stats_statistics(_mf(spark, sf)).select("ord", "test", "statistic"), ["statistic"]))
-register("stats_pvalues")(lambda spark, sf: T.stats_tests(_mf(spark, sf)))
+# p-values by integrating the densities (Simpson's rule), apart from the fractions and series of the operator
+_PVALUE_CTES = {
+    "raw": f"""
+SELECT 1 AS ord, 't-test (age: serious vs non-serious)' AS test, 't' AS kind, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS st,
+       (v1 / n1 + v0 / n0) * (v1 / n1 + v0 / n0) / (v1 / n1 * v1 / n1 / (n1 - 1) + v0 / n0 * v0 / n0 / (n0 - 1)) AS d1, NULL AS d2
+FROM (SELECT CAST(count(*) FILTER (WHERE serious = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE serious = 0) AS DOUBLE) AS n0,
+             avg(age) FILTER (WHERE serious = 1) AS m1, avg(age) FILTER (WHERE serious = 0) AS m0,
+             var_samp(age) FILTER (WHERE serious = 1) AS v1, var_samp(age) FILTER (WHERE serious = 0) AS v0 FROM mf) w
+UNION ALL SELECT 2, 'chi-square (sex vs serious)', 'chi2', stat, CAST(dof AS DOUBLE), NULL FROM ({_chi2_sql('sex_code')}) c1
+UNION ALL SELECT 3, 'chi-square (polypharmacy vs serious)', 'chi2', stat, CAST(dof AS DOUBLE), NULL FROM ({_chi2_sql('polypharmacy')}) c2
+UNION ALL SELECT 4, 'ANOVA (drug_count across age groups)', 'f', ((B - S * S / N) / (k - 1)) / ((SS - B) / (N - k)), CAST(k - 1 AS DOUBLE), CAST(N - k AS DOUBLE)
+FROM (SELECT count(*) AS k, sum(n) AS N, sum(s) AS S, sum(ss) AS SS, sum(s * s / n) AS B FROM (
+        SELECT age_group, count(*) AS n, sum(CAST(drug_count AS DOUBLE)) AS s,
+               sum(CAST(drug_count AS DOUBLE) * CAST(drug_count AS DOUBLE)) AS ss
+        FROM mf GROUP BY age_group HAVING count(*) > 1) g) a
+UNION ALL SELECT 5, 'Pearson (drug_count vs serious)', 'r', corr(CAST(drug_count AS DOUBLE), CAST(serious AS DOUBLE)), CAST(count(*) - 2 AS DOUBLE), NULL FROM mf
+UNION ALL SELECT 6, 'Spearman (drug_count vs serious)', 'r', corr(rx, ry), CAST(count(*) - 2 AS DOUBLE), NULL
+FROM (SELECT rank() OVER (ORDER BY drug_count) + (count(*) OVER (PARTITION BY drug_count) - 1) / 2.0 AS rx,
+             rank() OVER (ORDER BY serious) + (count(*) OVER (PARTITION BY serious) - 1) / 2.0 AS ry FROM mf) r""",
+    "lim": """
+SELECT ord, test, kind, st, d1, d2,
+       CASE kind WHEN 't' THEN abs(st) WHEN 'r' THEN abs(st) * sqrt(d1 / (1 - st * st)) WHEN 'chi2' THEN sqrt(st) ELSE st END AS u FROM raw""",
+    "dens": """
+SELECT ord, i, CASE
+    WHEN kind IN ('t', 'r') THEN 2 * exp(lgamma((d1 + 1) / 2) - lgamma(d1 / 2) - ln(d1 * pi()) / 2 - (d1 + 1) / 2 * ln(1 + x * x / d1))
+    WHEN kind = 'chi2' THEN CASE WHEN x = 0 AND d1 > 1 THEN 0 ELSE exp(ln(2) + (d1 - 1) * ln(greatest(x, 1e-300)) - x * x / 2 - d1 / 2 * ln(2) - lgamma(d1 / 2)) END
+    WHEN x = 0 THEN 0
+    ELSE exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2) + d1 / 2 * ln(d1 / d2) + (d1 / 2 - 1) * ln(x) - (d1 + d2) / 2 * ln(1 + d1 * x / d2)) END AS f
+FROM (SELECT lim.*, i, u * i / 20000 AS x FROM lim, range(0, 20001) AS t(i)) z""",
+    "area": "SELECT ord, sum(f * CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / 60000 AS a FROM dens GROUP BY ord",
+}
+register("stats_pvalues", O.with_ctes(f"""
+SELECT ord, test, {RE('st', 6)} AS statistic, {RE('greatest(1 - a * u, 0)', 6)} AS p_value, greatest(1 - a * u, 0) < 0.05 AS significant_0_05
+FROM lim JOIN area USING (ord)""", {**MODEL_CTES, **_PVALUE_CTES}))(
+    lambda spark, sf: r6(T.stats_tests(_mf(spark, sf)), ["statistic", "p_value"]))
 
 
 # ---------------------------------------------------------------- model fits (rows-only checks)

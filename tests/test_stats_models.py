@@ -5,9 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from casekit import config as C
 from casekit.functions import distributions as Dist
+from casekit.functions import tails
 from casekit.operators import models as M
 from casekit.operators import ranking as R
 from casekit.operators import sampling as S
@@ -157,3 +159,17 @@ def test_mutual_information_plugin(ml, pdf):
         py = pdf["serious"].value_counts() / n
         mi = sum(p * math.log(p / (px[x] * py[y])) for (x, y), p in joint.items())
         assert abs(got[f] - mi) < 1e-12
+
+
+def test_tail_columns_equal_the_scalar_functions(spark):
+    """Folds of fixed length against loops to convergence, from tiny to very large samples."""
+    t = [(x, d, Dist.t_two_sided(x, d)) for x in (0.0, 0.3, 1.0, 2.5, 8.0, -1.7) for d in (1.0, 2.5, 30.0, 1e4, 1e7)]
+    f = [(x, a, b, Dist.f_sf(x, a, b)) for x in (0.0, 0.4, 1.0, 3.5, 40.0) for a in (1.0, 6.0, 40.0) for b in (3.0, 200.0, 1e5)]
+    c = [(x, d, Dist.chi2_sf(x, d)) for x in (0.0, 0.2, 1.0, 5.0, 60.0) for d in (1.0, 2.0, 7.0, 100.0)]
+    for rows, names, got in ((t, "x a p", lambda: tails.t_two_sided(F.col("x"), F.col("a"))), (f, "x a b p", lambda: tails.f_tail(F.col("x"), F.col("a"), F.col("b"))),
+                             (c, "x a p", lambda: tails.chi2_tail(F.col("x"), F.col("a")))):
+        df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names.split()))
+        for r in df.select("p", got().alias("q")).collect():
+            assert abs(r.p - r.q) < 1e-9, r
+    odd = spark.createDataFrame([(None, 3.0), (float("nan"), 3.0), (1.0, 0.0), (float("inf"), 3.0)], "x double, a double")
+    assert [r[0] for r in odd.select(tails.t_two_sided(F.col("x"), F.col("a"))).collect()] == [None, None, None, 0.0]
