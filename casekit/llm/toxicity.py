@@ -49,17 +49,20 @@ ROWS = 8_192  # sentences whose features are multiplied at once in training
 APART = 0.2  # least difference of the shares rejected among toxic and clean labelled rows of a model that may reject rows
 KEEP = 400_000  # tokens remembered by a worker
 SLICE = 500_000  # text bytes scored at once
+SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
 
 def letters(token: str) -> list[bytes]:
     """Words of a token as letter codes 1-40 (0: another character, a gap); long ones in overlapping pieces."""
-    start, end = 0, len(token)
-    while start < end and not token[start].isalnum():
-        start += 1
-    while end > start and not token[end - 1].isalnum():
-        end -= 1
-    word = token[start:end]
+    word = token.strip(SIGNS)
+    if word and not (word[0].isalnum() and word[-1].isalnum()):
+        start, end = 0, len(word)
+        while start < end and not word[start].isalnum():
+            start += 1
+        while end > start and not word[end - 1].isalnum():
+            end -= 1
+        word = word[start:end]
     if word.isascii() and word.isalpha() and len(word) <= WIDTH:
         return [word.encode().translate(_CODES)] if len(word) >= 3 else []
     if any(c.isalpha() for c in word):
@@ -105,22 +108,23 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     """Kernel of each word to each landmark."""
-    out = np.zeros((len(words), len(marks)), np.float32)
+    out, n = np.zeros((len(words), len(marks)), np.float32), len(marks)
     mark, code, value = features(marks)
-    known, row = np.unique(code, return_inverse=True)
-    matrix = np.zeros((len(known), len(marks)), np.float32)
-    matrix[row, mark] = value
+    order = np.argsort(code, kind="stable")
+    mark, code, value = mark[order], code[order], value[order]
+    known, start, many = np.unique(code, return_index=True, return_counts=True)
     place = np.full((LETTERS + 1)**3, -1, np.int64)
     place[known] = np.arange(len(known))
     order = np.argsort(np.array([len(w) for w in words], int), kind="stable")  # words of like length share a matrix
     for at in range(0, len(words), 1000):
         part = order[at:at + 1000]
-        word, code, value = features([words[i] for i in part])
+        word, code, weight = features([words[i] for i in part])
         hit = place[code]
-        word, value, hit = word[hit >= 0], value[hit >= 0], hit[hit >= 0]
-        if len(word):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            out[part[word[first]]] = np.add.reduceat(matrix[hit] * value[:, None].astype(np.float32), first, axis=0)
+        word, weight, hit = word[hit >= 0], weight[hit >= 0], hit[hit >= 0]
+        times = many[hit]  # a subsequence stands in few landmarks: only those are multiplied
+        each = np.repeat(start[hit] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = np.repeat(word * n, times) + mark[each]
+        out[part] = np.bincount(cell, np.repeat(weight, times) * value[each], len(part) * n).reshape(len(part), n)
     return np.clip(out, 0, 1, out=out)**POWER
 
 
