@@ -9,7 +9,7 @@ their own, so neighbours come from anywhere.
 The rates are one row per source; they are joined by broadcast if they are few, else by a shuffle that may split hot
 sources. Without ``weights`` every source has the same weight; with them, sources not named have weight 0, and
 weights are scaled to sum 1. Null is a source of its own. Null and empty texts have no characters but are drawn like
-others of their source; a source without any characters has rate 0. Rows that repeat a doc_id draw the same count;
+others of their source; rows with many copies are unfolded in several steps; a source without any characters has rate 0. Rows that repeat a doc_id draw the same count;
 rows without doc_id draw by their text. An empty table gives an empty result. All columns of the input are kept;
 one that clashes with an output column (``copy_no``, ``n_copies``, ``shuffle_key``) is replaced by it.
 """
@@ -24,6 +24,7 @@ from casekit.llm.common import cut, small
 STEP, SEED = 500.0, "mix-1"
 OUT = ("copy_no", "n_copies", "shuffle_key")
 FEW = 10_000
+MANY = 256  # copies of one row that one task makes
 
 
 def rates(docs: DataFrame, weights: dict | None = None) -> DataFrame:
@@ -61,6 +62,25 @@ def _uniform(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def unfolded(counted: DataFrame, most: float) -> DataFrame:
+    """Copies with ``copy_no`` from 1 to ``n_copies`` (at most ``most``). Rows with more than ``MANY`` copies are unfolded in
+    steps of ``MANY``, dealt out anew after each, so that no task makes all copies of a row."""
+    last = lambda df: df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    if most <= MANY:
+        return last(counted)
+    heavy = counted.where(F.col("n_copies") > MANY).select("*", F.lit(0).alias("mix_low"), F.col("n_copies").alias("mix_n"))
+    size, parts = MANY, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: few bytes become many
+    while size * MANY < most:
+        size *= MANY
+    while size >= MANY:
+        part = F.explode(F.sequence(F.lit(0), F.ceil(F.col("mix_n") / size).cast("int") - 1))
+        heavy = heavy.withColumn("mix_part", part).withColumns({
+            "mix_low": F.col("mix_low") + F.col("mix_part") * size, "mix_n": F.least(F.lit(size), F.col("mix_n") - F.col("mix_part") * size)}).drop("mix_part")
+        heavy, size = heavy.repartition(parts, "mix_key", "mix_low"), size // MANY
+    heavy = heavy.withColumn("copy_no", F.explode(F.sequence(F.col("mix_low") + 1, F.col("mix_low") + F.col("mix_n")))).drop("mix_low", "mix_n")
+    return last(counted.where(F.col("n_copies") <= MANY)).unionByName(heavy)
+
+
 def replicate(docs: DataFrame, weights: dict | None = None, seed: str = SEED) -> DataFrame:
     """Copies of the documents with ``copy_no`` (from 1), ``n_copies`` and ``shuffle_key``, in order of the latter."""
     table = small(cut(with_steps(rates(docs, weights))), FEW)
@@ -72,8 +92,9 @@ def replicate(docs: DataFrame, weights: dict | None = None, seed: str = SEED) ->
     told = told.join(table, F.col("of_source").eqNullSafe(F.col("mix_source")))
     count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, i: n + F.size(
         F.filter("cdf", lambda c: c <= _uniform(F.lit(seed), i.cast("string"), F.col("mix_key")))))
-    copies = told.withColumn("n_copies", count).where("n_copies > 0").drop(*inner[:-1], "of_source").withColumn(
-        "copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    counted = told.withColumn("n_copies", count).where("n_copies > 0").drop(*inner[:-1], "of_source")
+    top = table.agg(F.coalesce(F.max("rate"), F.lit(0.0))).first()[0]
+    copies = unfolded(counted, top + 12 * top**0.5 + 40 * (top // STEP + 1))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("at"), F.col("copy_no").cast("string"),
                                                                F.col("mix_key")).cast("binary")))
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("doc.*", *OUT)
