@@ -4,9 +4,10 @@ Terms of a text are its pairs of neighbouring words (A-Z lower-cased; a text of
 by their counts. For each of ``SAMPLES`` samples every term has its own r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1),
 fixed by a hash of the term; with t = floor(ln w / r + b) the sample is the (term, t) with the least
 ln c - r (t - b) - r. Two texts take the same sample with a probability equal to their generalised Jaccard
-similarity (sum of minima over sum of maxima of the weights), so the share of equal samples estimates it. The
-variates come from one table of ``LEVELS`` draws that a different hash of the term indexes for each sample; the
-identity of a sample is a hash of term and t (16 bits of it are kept).
+similarity (sum of minima over sum of maxima of the weights), so the share of equal samples estimates it. A hash of
+term and sample gives the variates: r and b from a table of ``LEVELS`` draws, c continuously (a quantile level and the
+place within it), so texts of any length are sampled alike; the identity of a sample is a hash of term and t (16 bits
+of it are kept).
 
 The edited text of a document needs the beginning of the next document. Rows are dealt by ranges of doc_id, the
 first document of each range is also sent to the end of the range before it, and each task reads its ranges from the
@@ -40,21 +41,39 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _draws() -> tuple[np.ndarray, ...]:
+    """By level: quantiles of ln c and the way to the next one; by draw: r and b."""
     rng = np.random.Generator(np.random.PCG64(20_240_607))
-    return rng.gamma(2.0, 1.0, LEVELS), np.log(rng.gamma(2.0, 1.0, LEVELS)), rng.random(LEVELS)
+    edges = np.empty(LEVELS + 1)  # c with 1 - (1 + c) exp(-c) = level / LEVELS, by halving
+    low, high, want = np.zeros(LEVELS + 1), np.full(LEVELS + 1, 60.0), np.arange(LEVELS + 1) / LEVELS
+    for _ in range(80):
+        mid = (low + high) / 2
+        over = -np.expm1(-mid) - mid * np.exp(-mid) > want
+        low, high = np.where(over, low, mid), np.where(over, mid, high)
+    edges = np.log(np.maximum(low, 1e-300))
+    r, b = rng.gamma(2.0, 1.0, LEVELS), rng.random(LEVELS)
+    return edges[:-1].astype(np.float32), np.diff(edges).astype(np.float32), r.astype(np.float32), b.astype(np.float32)
+
+
+_LOG_C, _STEP, _R, _B = _draws()
+_ONCE = _R * _B - _R + np.float32(64)  # weight 1: t = 0; all keys are positive, so that their bits are in order
+_TURN = mix(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
+_LOW = U64(0xFFFFFFFF)
 
 
-def _sortable(x: np.ndarray) -> np.ndarray:
-    """Order of float32 values as the upper half of a 64-bit integer."""
-    bits = x.astype(np.float32).view(np.uint32)
-    return np.where(bits >> 31 == 1, ~bits, bits | np.uint32(1 << 31)).astype(U64) << U64(32)
+def _log_c(y: np.ndarray) -> np.ndarray:
+    """ln c of 64-bit hashes: the upper 16 bits choose the level, the lower 32 bits the place within it."""
+    level = (y >> U64(48)).astype(np.intp)
+    place = (y & _LOW).astype(np.float32) * np.float32(2.0 ** -32)
+    out = _LOG_C[level] + place * _STEP[level]
+    least = np.flatnonzero(level == 0)  # the tail: 1 - (1 + c) exp(-c) is c^2 / 2 here
+    out[least] = 0.5 * np.log(2 * (place[least].astype(float) + 2.0 ** -33) / LEVELS)
+    return out
 
 
-_R, _LOG_C, _B = _draws()
-_ONCE = _sortable(_LOG_C + _R * _B - _R)  # weight 1: t = 0
-_TURN = mix(np.arange(1, SAMPLES + 1, dtype=U64)) | U64(1)
-_LOW = U64(0xFFFFFFFF)
+def _key(value: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """Order of positive float32 values, then a hash, as 64-bit integers."""
+    return value.view(np.uint32).astype(U64) << U64(32) | ident
 
 
 def weighted_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,14 +103,18 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     first = (np.cumsum(sizes) - sizes)[full]
     ident = mix(terms) & _LOW
     more = np.flatnonzero(counts > 1)
-    log_w, again = np.log(counts[more]), terms[more]
+    log_w, again = np.log(counts[more]).astype(np.float32), terms[more]
     for k in range(SAMPLES):
-        at = (terms * _TURN[k]) >> U64(48)
-        key = _ONCE[at] | ident
+        y = terms * _TURN[k]
+        y ^= y >> U64(29)
+        y *= U64(0xBF58476D1CE4E5B9)
+        draw = (y >> U64(32)).astype(np.uint16)
+        log_c = _log_c(y)
+        key = _key(log_c + _ONCE[draw], ident)
         if len(more):
-            r, c, b = _R[at[more]], _LOG_C[at[more]], _B[at[more]]
+            r, b = _R[draw[more]], _B[draw[more]]
             t = np.floor(log_w / r + b)
-            key[more] = _sortable(c - r * (t - b) - r) | (mix(again + t.astype(U64) * U64(0xA0761D6478BD642F)) & _LOW)
+            key[more] = _key(log_c[more] - r * (t - b) - r + np.float32(64), mix(again + t.astype(U64) * U64(0xA0761D6478BD642F)) & _LOW)
         out[full, k] = (np.minimum.reduceat(key, first) & U64(0xFFFF)).astype(np.uint16)
     return out
 
