@@ -24,15 +24,15 @@ def test_likeness_of_long_texts(n):
 
 def test_heavy_terms_in_long_texts_weigh_by_their_counts():
     err = []
-    for seed in range(5):
+    for seed in range(12):
         rng = random.Random(seed)
         rare = [f"w{rng.randrange(1 << 40)}" for _ in range(4000)]
-        a = rare + ["x y"] * 1500
-        b = rare[:3000] + ["x y"] * 700 + [f"v{rng.randrange(1 << 40)}" for _ in range(500)]
+        a = rare + [f"x{seed} y{seed}"] * 1500
+        b = rare[:3000] + [f"x{seed} y{seed}"] * 700 + [f"v{rng.randrange(1 << 40)}" for _ in range(500)]
         u, v = (Counter(zip(w, w[1:])) for w in (" ".join(a).split(), " ".join(b).split()))
         s = fingerprint.signatures([" ".join(a).encode(), " ".join(b).encode()])
         err.append((s[0] == s[1]).mean() - sum((u & v).values()) / sum((u | v).values()))
-    assert abs(np.mean(err)) < 0.06
+    assert abs(np.mean(err)) < 0.05
 
 
 def test_draws_follow_their_distribution():
