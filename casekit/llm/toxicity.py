@@ -46,6 +46,7 @@ LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 CHUNK = 20_000  # words whose kernel values are held at once in training
 ROWS = 8_192  # sentences whose features are multiplied at once in training
+LEAST = 10  # labelled documents of each class without which a model may not reject rows
 APART = 0.2  # least difference of the shares rejected among toxic and clean labelled rows of a model that may reject rows
 KEEP = 400_000  # tokens remembered by a worker
 SLICE = 500_000  # text bytes scored at once
@@ -287,7 +288,7 @@ def train(docs: list[str], toxic: np.ndarray, odds: float | None = None) -> Mode
     if odds:  # the sample is balanced, the labelled rows are not
         model.logit[0] += np.log(odds * n0 / n1)
     rejected = shown @ model.logit >= 0
-    model.apart = bool(rejected[toxic == 1].mean() - rejected[toxic == 0].mean() >= APART)
+    model.apart = min(n0, n1) >= LEAST and bool(rejected[toxic == 1].mean() - rejected[toxic == 0].mean() >= APART)
     return model
 
 
@@ -331,9 +332,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose score stays under ``most``, all columns as they are (one scan, no shuffle). A model that does
-    not tell the labelled classes apart (or saw one class only) rejects nothing; a warning says so."""
+    not tell the labelled classes apart, or saw fewer than ``LEAST`` documents of one, rejects nothing; a warning says so."""
     if not model.apart:
-        warnings.warn("The toxicity model does not tell the labelled classes apart: all rows are kept", stacklevel=2)
+        warnings.warn("The toxicity model cannot tell the labelled classes apart: all rows are kept", stacklevel=2)
         return docs
 
     def run(batches):
