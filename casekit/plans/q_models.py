@@ -16,6 +16,7 @@ from casekit import config as C
 from casekit.functions import columns as X
 from casekit.operators import evaluate as E
 from casekit.operators import models as M
+from casekit.operators import neighbours as NB
 from casekit.operators import sampling as S
 from casekit.operators import scoring as SC
 from casekit.operators import stats_tests as T
@@ -110,6 +111,9 @@ GROUP BY j.feature""", {**MODEL_CTES, "lf": _MI_LF}))(
     lambda spark, sf: r6(T.mutual_information(_train(spark, sf)), ["score"]))
 
 
+register("mutual_information_knn")(lambda spark, sf: NB.mutual_information_knn(_train(spark, sf)))
+
+
 # ---------------------------------------------------------------- O-62 .. O-67 (statistics)
 def _chi2_sql(row: str) -> str:
     return f"""

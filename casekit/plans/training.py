@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from casekit import config as C
 from casekit.operators import evaluate as E
 from casekit.operators import models as M
+from casekit.operators import neighbours as NB
 from casekit.operators import sampling as S
 from casekit.operators import stats_tests as T
 from casekit.session import ensure_checkpoint_dir
@@ -196,6 +197,7 @@ def run_training(cases: DataFrame, settings: M.ModelSettings | None = None, max_
     result.extras["pr_curve"] = E.pr_curve(result.test_scores)
     train = split.filter(F.col("split") == "train")
     result.extras["feature_scores"] = T.mutual_information(train)
+    result.extras["feature_scores_knn"] = NB.mutual_information_knn(train)
     ml = split.drop("split")
     if clusters:
         result.extras.update(clustering(ml, train))
