@@ -98,3 +98,23 @@ def replicate(docs: DataFrame, weights: dict | None = None, seed: str = SEED) ->
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("at"), F.col("copy_no").cast("string"),
                                                                F.col("mix_key")).cast("binary")))
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("doc.*", *OUT)
+
+
+def oracle(seed: str = SEED) -> str:
+    """The same rows in SQL over the table ``documents``, every source with the same weight."""
+    hexed = "list_sum(list_transform(range(1, 14), lambda i: (strpos('0123456789abcdef', substr(h, i, 1)) - 1) * power(16, 13 - i)))"
+    return f"""WITH size AS (SELECT source, sum(coalesce(length(text), 0)) AS chars FROM documents GROUP BY source),
+total AS (SELECT CAST(sum(chars) AS DOUBLE) AS all_chars, CAST(count(*) AS DOUBLE) AS n FROM size),
+rate AS (SELECT source, CASE WHEN chars > 0 THEN 1 / n * all_chars / chars ELSE 0 END AS rate FROM size, total),
+steps AS (SELECT source, rate, greatest(ceil(rate / {STEP}), 1) AS draws, rate / greatest(ceil(rate / {STEP}), 1) AS one FROM rate),
+cdf AS (SELECT source, list(c ORDER BY j) AS cdf, any_value(draws) AS draws FROM (
+  SELECT source, draws, j, sum(exp(-one + CASE WHEN j = 0 THEN 0 ELSE j * ln(one) END - lgamma(j + 1))) OVER (PARTITION BY source ORDER BY j) AS c
+  FROM steps, range(0, 1000) AS t(j) WHERE one > 0 AND j <= ceil(one + 12 * sqrt(one) + 40)) z GROUP BY source),
+keyed AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS k, row_number() OVER () AS r FROM documents),
+drawn AS (SELECT r, sum(len(list_filter(cdf, lambda c: c <= u))) AS n FROM (
+  SELECT r, cdf, {hexed} / power(2, 52) AS u FROM (
+    SELECT r, cdf, md5(concat_ws(':', '{seed}', CAST(i AS VARCHAR), k)) AS h
+    FROM keyed JOIN cdf ON keyed.source IS NOT DISTINCT FROM cdf.source, range(1, 100) AS t(i) WHERE i <= draws) y) x GROUP BY r)
+SELECT keyed.* EXCLUDE (k, r), CAST(copy_no AS INTEGER) AS copy_no, CAST(n AS INTEGER) AS n_copies,
+  md5(concat_ws(':', '{seed}', 'at', CAST(copy_no AS VARCHAR), k)) AS shuffle_key
+FROM keyed JOIN drawn USING (r), range(1, 100000) AS t(copy_no) WHERE copy_no <= n"""

@@ -118,4 +118,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_quality_rules, op2_quote_threads, op3_poisson_mix, op4_bpe_round_trip, op5_warc_revisits, op6_secret_scan, op7_toxicity,
     op8_weighted_fingerprints, op9_ngram_join, op10_license_scan, op11_exact_topk,
     op12_token_alignment, op13_bisector_clusters)}
-ORACLE: dict[str, str] = {"op11_exact_topk": topk.oracle(), "op13_bisector_clusters": clusters.oracle()}
+ORACLE: dict[str, str] = {"op3_poisson_mix": mixing.oracle(), "op11_exact_topk": topk.oracle(), "op13_bisector_clusters": clusters.oracle()}
