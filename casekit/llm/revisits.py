@@ -9,8 +9,9 @@ headers, of which those that a 304 answer may update are replaced by the revisit
 
 The as-of join runs on ids, URLs and times alone, in two steps: within (URL, day), and from the days before through
 one row per (URL, day), so a hot URL is spread over its days; payloads are fetched afterwards by record_id. Null or
-malformed URLs and null dates resolve to nothing ("no_original"); repeated rows each give a row; an empty table
-gives an empty result.
+malformed URLs and null dates resolve to nothing ("no_original"); repeated rows each give a row; of several responses
+with one record_id, URL and time the one with the least hash of its payload counts; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def canonical(url: F.Column) -> F.Column:
 
 
 def as_of(revisits: DataFrame, responses: DataFrame) -> DataFrame:
-    """``row_id`` of each revisit with ``original_id`` and ``original_key``: latest earlier response of its URL.
+    """``row_id, url, at`` of each revisit with ``hit`` (time and id): the latest earlier response of its URL.
 
     Both sides: ``url, at, id`` (revisits: ``row_id`` too); ``url`` and ``at`` not null.
     """
@@ -52,8 +53,9 @@ def as_of(revisits: DataFrame, responses: DataFrame) -> DataFrame:
     days = last.select("url", "period", "last").unionByName(asked.select("url", "period", F.lit(None).cast("struct<at:long,id:string>").alias("last")))
     before = Window.partitionBy("url").orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("carry", F.last("last", ignorenulls=True).over(before)).where("last IS NULL").select("url", "period", "carry")
-    got = seen.where("near IS NOT NULL").select("row_id", F.col("near.id").alias("original_id"))
-    far = seen.where("near IS NULL").join(days.dropDuplicates(["url", "period"]), ["url", "period"], "left").select("row_id", F.col("carry.id").alias("original_id"))
+    got = seen.where("near IS NOT NULL").select("row_id", "url", "at", F.col("near").alias("hit"))
+    days = days.groupBy("url", "period").agg(F.max("carry").alias("carry"))
+    far = seen.where("near IS NULL").join(days, ["url", "period"], "left").select("row_id", "url", "at", F.col("carry").alias("hit"))
     return got.unionByName(far)
 
 
@@ -66,11 +68,13 @@ def resolve(records: DataFrame) -> DataFrame:
     full = need.where("warc_type = 'response' AND http_status = 200 AND record_id IS NOT NULL")
     ids = revisit.where("url IS NOT NULL AND at IS NOT NULL").select("url", "at", F.col("record_id").alias("row_id")).where("row_id IS NOT NULL").distinct()
     found = as_of(ids, full.where("url IS NOT NULL AND at IS NOT NULL").select("url", "at", F.col("record_id").alias("id")))
-    found = found.groupBy("row_id").agg(F.max("original_id").alias("original_id"))
-    kept = full.dropDuplicates(["record_id"])
-    o = kept.select(F.col("record_id").alias("o_id"), F.col("etag").alias("o_etag"), F.col("last_modified").alias("o_last"),
-                    F.col("headers").alias("o_headers"), F.col("payload").alias("o_payload"))
-    got = revisit.join(found, revisit.record_id == found.row_id, "left").join(o, F.col("original_id") == F.col("o_id"), "left")
+    found = found.where("hit IS NOT NULL").select("row_id", F.col("url").alias("of_url"), F.col("at").alias("of_at"), F.col("hit.id").alias("hit_id"), F.col("hit.at").alias("hit_at"))
+    one = F.min(F.struct(F.md5(F.coalesce("payload", F.lit("")).cast("binary")).alias("hash"), "etag", "last_modified", "headers", "payload"))
+    kept = full.where("url IS NOT NULL AND at IS NOT NULL").groupBy("record_id", "url", "at").agg(one.alias("r"))
+    o = kept.select(F.col("record_id").alias("o_id"), F.col("url").alias("o_url"), F.col("at").alias("o_at"), F.col("r.etag").alias("o_etag"),
+                    F.col("r.last_modified").alias("o_last"), F.col("r.headers").alias("o_headers"), F.col("r.payload").alias("o_payload"))
+    got = revisit.join(found, (F.col("record_id") == F.col("row_id")) & (F.col("url") == F.col("of_url")) & (F.col("at") == F.col("of_at")), "left")
+    got = got.join(o, (F.col("hit_id") == F.col("o_id")) & (F.col("url") == F.col("o_url")) & (F.col("hit_at") == F.col("o_at")), "left")
     tag = lambda c: F.regexp_replace(F.trim(c), "^W/", "")
     verdict = (F.when(F.col("o_id").isNull(), "no_original")
                .when(F.col("etag").isNotNull(), F.when(tag("etag") == tag("o_etag"), "resolved").otherwise("validator_mismatch"))
