@@ -9,7 +9,9 @@ its words. Neighbouring lines are also compared as one, so that a wrapped notice
 words as the template has, regardless of line ends (a notice inside prose, a whole license file). A template counts only
 where all words that tell its license from others stand (``NEED``) and none of a near relative's (``BARRED``); version
 and BSD clauses are then read from the words that follow. An SPDX tag names its license itself, also one without a
-template (cosine 1; ``-only`` and ``-or-later`` are left off, operators stay). A file's own license is that of its best
+template (cosine 1; ``-only`` and ``-or-later`` are left off, operators stay; several different tags are joined by AND). A
+sentence that offers a choice ("dual licensed under") names all licenses it mentions, joined by OR. A notice that says "not
+licensed under" grants nothing. A file's own license is that of its best
 tag, line or run at ``LEAST`` or more (ties: the earlier line).
 
 A license file (LICENSE, LICENCE, COPYING or NOTICE, with any ending) grants its license to its directory. A file
@@ -111,6 +113,12 @@ _VERSION = re.compile(r"(?:\bv|\bver|\bversion|gplv)[ .]*(\d(?:\.\d)?)\b|(?:\b|[
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.I)
 SPDX_IDS = {n.lower(): n for n in [*ALL, "0BSD", "Zlib", "EPL-2.0", "GPL-1.0", "GPL-2.0", "LGPL-2.0", "LGPL-2.1", "MIT-0", "MPL-1.1", "Apache-1.1", "CC-BY-3.0"]}
 LEAST = 0.6
+#: Words that offer a choice of licenses, that refuse one, and by which licenses are named in a sentence.
+DUAL = re.compile(r"\b(?:dual|dually|multi|double)[- ]?licensed\b|\b(?:licensed|available) under (?:either|both)\b")
+NOT_GRANTED = re.compile(r"\b(?:not|no longer|never|isn't|aren't)\s+(?:\w+\s+){0,2}?(?:licensed|released|distributed|available|provided|covered)\s+(?:under|by)\b")
+MENTIONS = {r"\bmit\b": "MIT", r"\bapache\b": "Apache-2.0", r"\bisc\b": "ISC", r"\bbsd\b": "BSD-3-Clause", r"\b(?:mozilla|mpl)\b": "MPL-2.0",
+            r"\b(?:agpl|gnu affero)\b": "AGPL-3.0", r"\b(?:lgpl|gnu lesser)\b": "LGPL-3.0", r"\b(?:gpl|gplv\d|gnu general|gnu gpl)\b": "GPL-3.0",
+            r"\bcc0\b": "CC0-1.0", r"\bunlicense\b": "Unlicense"}
 WORD = re.compile(r"[a-z0-9]+")
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$"
 
@@ -243,17 +251,25 @@ class Index:
     def own(self, text: str) -> tuple[str | None, float, int]:
         """Own license of a whole text by tags, lines and runs of words, its cosine and line (from 1; 0: none)."""
         low, got = text.lower(), []
-        for m in SPDX.finditer(text):
-            if name := spdx(m[1]):
-                got.append((-1.0, text.count("\n", 0, m.start()) + 1, name))
+        tags = [(name, m.start()) for m in SPDX.finditer(text) if (name := spdx(m[1]))]
+        if tags:  # parts of a file under several licenses: all of them hold
+            names = list(dict.fromkeys(name for name, _ in tags))
+            several = [f"({n})" if " OR " in n else n for n in names] if len(names) > 1 else names
+            got.append((-1.0, text.count("\n", 0, tags[0][1]) + 1, " AND ".join(several)))
+        for m in DUAL.finditer(low):
+            if not refused(low, m.start()) and len(names := mentions(low, m.end())) > 1:
+                got.append((-1.0, text.count("\n", 0, m.start()) + 1, " OR ".join(names)))
                 break
         if self.anchor.search(low):  # every template needs one of these words
             name, c, line = self.scan(text)
             if name:
                 start = sum(len(x) + 1 for x in low.split("\n", line - 1)[:line - 1])
-                got.append((-c, line, told(name, low, start)))
+                if refused(low, start):
+                    c = 0.0
+                else:
+                    got.append((-c, line, told(name, low, start)))
             c, start, name = self.runs(low, c)
-            if name:
+            if name and not refused(low, start):
                 got.append((-c, low.count("\n", 0, start) + 1, told(name, low, start)))
         if not got:
             return None, 0.0, 0
@@ -261,6 +277,20 @@ class Index:
         return name, -c, line
 
 
+def refused(low: str, start: int) -> bool:
+    """Whether the notice that begins at ``start`` says that the license is not granted."""
+    begin = low.rfind("\n", 0, start) + 1
+    return any(begin + m.end() >= start - 5 and begin + m.start() <= start + 40 for m in NOT_GRANTED.finditer(low[begin:start + 120]))
+
+
+def mentions(low: str, start: int) -> list[str]:
+    """Licenses named in the sentence that goes on at ``start``, in order."""
+    rest = low[start:start + 300]
+    rest = rest[:m.start()] if (m := re.search(r"\.(?:\s|$)", rest)) else rest
+    found = sorted((m.start(), name) for pattern, name in MENTIONS.items() for m in re.finditer(pattern, rest))
+    return list(dict.fromkeys(told(name, low, start + at) for at, name in found))
+
+
 def told(name: str, low: str, start: int) -> str:
     """The license with the version, or the clauses, that the words from ``start`` on tell."""
     if name.startswith("BSD-"):
