@@ -17,6 +17,13 @@ AGE_LABELS = ["Child", "Teen", "Young Adult", "Adult", "Older Adult", "Senior",
 
 POLYPHARMACY_THRESHOLD = 5
 ELDERLY_THRESHOLD = 65
+ADULT_THRESHOLD = 40         # profile: Adult from here, Young below
+
+# explanation rules: feature, least value that triggers it, weight (in this order on ties)
+RULES = [("drug_count", 5, 0.6), ("unique_drug_count", 5, 0.6), ("reaction_count", 3, 0.6), ("polypharmacy", 1, 1.0), ("elderly", 1, 1.0),
+         ("drug_repeat_flag", 1, 0.6), ("risk_score", 50, 1.0), ("age", 65, 0.6)]
+# feature intensity: (value - start) / span, within 0 and 1
+INTENSITY = {"age": (40.0, 50.0), "drug_count": (0.0, 15.0), "unique_drug_count": (0.0, 12.0), "reaction_count": (0.0, 10.0), "risk_score": (0.0, 80.0)}
 
 MAX_TRAIN_ROWS = 70000
 TEST_SIZE = 0.3

@@ -59,7 +59,7 @@ def patient_profile(age: str | Column = "age", drug_count: str | Column = "drug_
     a, d = X.col_(age), X.col_(drug_count)
     poly = d >= C.POLYPHARMACY_THRESHOLD
     return F.struct(
-        F.when(a >= C.ELDERLY_THRESHOLD, F.lit("Elderly")).when(a >= 40, F.lit("Adult"))
+        F.when(a >= C.ELDERLY_THRESHOLD, F.lit("Elderly")).when(a >= C.ADULT_THRESHOLD, F.lit("Adult"))
          .otherwise(F.lit("Young")).alias("age_group"),
         F.when(poly, F.lit("Yes")).otherwise(F.lit("No")).alias("polypharmacy"),
         F.when(poly, F.lit("High")).otherwise(F.lit("Normal")).alias("drug_burden"))
@@ -108,25 +108,17 @@ def decision_text(risk: str | Column, label: str | Column, prob: str | Column,
 
 
 # ---------------------------------------------------------------- O-76 .. O-78
-RULES = [  # (feature, trigger, rule weight); fixed order = tie order
-    ("drug_count", lambda v: v >= C.POLYPHARMACY_THRESHOLD, 0.6),
-    ("unique_drug_count", lambda v: v >= C.POLYPHARMACY_THRESHOLD, 0.6),
-    ("reaction_count", lambda v: v >= 3, 0.6),
-    ("polypharmacy", lambda v: v.cast("int") == 1, 1.0),
-    ("elderly", lambda v: v.cast("int") == 1, 1.0),
-    ("drug_repeat_flag", lambda v: v.cast("int") == 1, 0.6),
-    ("risk_score", lambda v: v >= 50, 1.0),
-    ("age", lambda v: v >= C.ELDERLY_THRESHOLD, 0.6),
-]
+FLAGS = ("polypharmacy", "elderly", "drug_repeat_flag")
+#: (feature, trigger, rule weight)
+RULES = [(f, (lambda v, at=at: v.cast("int") == at) if f in FLAGS else (lambda v, at=at: v >= at), w) for f, at, w in C.RULES]
 
 
 def feature_intensity(feature: str, v: Column) -> Column:
     v = v.cast("double")
-    scaled = {"age": (v - 40.0) / 50.0, "drug_count": v / 15.0, "unique_drug_count": v / 12.0,
-              "reaction_count": v / 10.0, "risk_score": v / 80.0}
-    if feature in scaled:
-        return X.clip(scaled[feature], 0.0, 1.0)
-    if feature in ("polypharmacy", "elderly", "drug_repeat_flag"):
+    if feature in C.INTENSITY:
+        start, span = C.INTENSITY[feature]
+        return X.clip((v - start) / span if start else v / span, 0.0, 1.0)
+    if feature in FLAGS:
         return F.when(v.cast("int") == 1, F.lit(1.0)).otherwise(F.lit(0.0))
     return X.clip(v, 0.0, 1.0)
 
