@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casekit import config as C
 from casekit.functions import text as T
 from casekit.operators import ranking as R
+from casekit.session import ensure_checkpoint_dir
 
 
 def grid_array(grid: list[float] | None = None) -> Column:
@@ -79,9 +80,16 @@ def _cumulative(scored: DataFrame, descending: bool) -> DataFrame:
     return r
 
 
-def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
+def score_ranks(scored: DataFrame) -> DataFrame:
+    """Distinct scores of each model from the highest down with running totals, checkpointed: one global sort that the
+    curves, the AUC and the metrics of the same scores can share (their ``ranks``)."""
+    ensure_checkpoint_dir(scored.sparkSession)
+    return _cumulative(scored, descending=True).checkpoint()
+
+
+def roc_curve(scored: DataFrame, drop_intermediate: bool = True, ranks: DataFrame | None = None) -> DataFrame:
     """(model, fpr, tpr, threshold): starts at (0, 0, +inf), collinear points dropped."""
-    r = _cumulative(scored, descending=True)
+    r = _cumulative(scored, descending=True) if ranks is None else ranks
     pts = r.select("model", "idx", F.col("p").alias("threshold"),
                    (F.col("y_before") + F.col("y")).alias("tps"),
                    (F.col("before") + F.col("cnt") - F.col("y_before") - F.col("y")).alias("fps"))
@@ -107,9 +115,9 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
                        F.try_divide(F.col("tps").cast("double"), F.col("P")).alias("tpr"), "threshold")
 
 
-def pr_curve(scored: DataFrame, final_threshold: float = 1.0) -> DataFrame:
+def pr_curve(scored: DataFrame, final_threshold: float = 1.0, ranks: DataFrame | None = None) -> DataFrame:
     """(model, precision, recall, threshold) for every distinct score, plus the final (1, 0) point."""
-    r = _cumulative(scored, descending=True)
+    r = _cumulative(scored, descending=True) if ranks is None else ranks
     pts = r.select("model", F.col("p").alias("threshold"), (F.col("y_before") + F.col("y")).alias("tps"),
                    (F.col("before") + F.col("cnt")).alias("ps"))
     P = F.broadcast(scored.groupBy("model").agg(F.sum(F.col("y").cast("long")).alias("P")))
@@ -123,22 +131,20 @@ def pr_curve(scored: DataFrame, final_threshold: float = 1.0) -> DataFrame:
 
 
 # ---------------------------------------------------------------- O-51
-def roc_auc(scored: DataFrame) -> DataFrame:
+def roc_auc(scored: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Per model AUC = P(score_pos > score_neg) + 0.5 P(tie): the area under
     the full ROC step curve; null when one class is absent."""
-    r = _cumulative(scored, descending=False)
-    neg_below = F.col("before") - F.col("y_before")
-    neg_here = F.col("cnt") - F.col("y")
+    r = _cumulative(scored, descending=True) if ranks is None else ranks
+    neg_above, neg_here = F.col("before") - F.col("y_before"), F.col("cnt") - F.col("y")
     return r.groupBy("model").agg(
-        F.sum(F.col("y").cast("double") * (neg_below.cast("double") + F.lit(0.5) * neg_here.cast("double")))
-         .alias("_num"),
-        F.sum("y").alias("_P"), F.sum(F.col("cnt") - F.col("y")).alias("_N")).select(
-        "model", F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-                        F.col("_num") / (F.col("_P") * F.col("_N")).cast("double")).alias("roc_auc"))
+        F.sum(F.col("y").cast("double") * (neg_above.cast("double") + F.lit(0.5) * neg_here.cast("double"))).alias("_lost"),
+        F.sum("y").alias("_P"), F.sum(neg_here).alias("_N")).select(
+        "model", F.when((F.col("_P") > 0) & (F.col("_N") > 0), ((F.col("_P") * F.col("_N")).cast("double") - F.col("_lost"))
+                        / (F.col("_P") * F.col("_N")).cast("double")).alias("roc_auc"))
 
 
 # ---------------------------------------------------------------- O-52
-def model_metrics(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
+def model_metrics(scored: DataFrame, thresholds: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1, AUC, threshold, Brier per model, ranked by F1."""
     j = scored.join(F.broadcast(thresholds.select("model", "threshold")), "model")
     pred = (F.col("p") >= F.col("threshold")).cast("int")
@@ -151,7 +157,7 @@ def model_metrics(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
         F.sum((pred == y).cast("long")).alias("correct"),
         F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier_score"))
     precision, recall, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    m = m.join(roc_auc(scored), "model", "left").select(
+    m = m.join(roc_auc(scored, ranks), "model", "left").select(
         "model", (F.col("correct") / F.col("n")).alias("accuracy"), precision.alias("precision"),
         recall.alias("recall"), f1.alias("f1"), "roc_auc", "threshold", "brier_score")
     # <= one row per model: a bounded window

@@ -203,7 +203,7 @@ register("train_models")(lambda spark, sf: _trained(spark, sf).eval_df)
 register("refit_test_scores")(lambda spark, sf: _trained(spark, sf).test_scores)
 register("validation_sweep")(lambda spark, sf: _trained(spark, sf).extras["validation_sweep"])
 register("tuned_thresholds")(lambda spark, sf: _trained(spark, sf).thresholds)
-register("model_roc_curve")(lambda spark, sf: E.roc_curve(_trained(spark, sf).test_scores))
+register("model_roc_curve")(lambda spark, sf: E.roc_curve(_trained(spark, sf).test_scores, ranks=_trained(spark, sf).extras["score_ranks"]))
 register("model_calibration")(lambda spark, sf: E.calibration_curve(
     _trained(spark, sf).test_scores.filter(F.col("model") == _trained(spark, sf).best_model_name)))
 register("imbalance_comparison")(lambda spark, sf: TR.imbalance_comparison(_trained(spark, sf)))

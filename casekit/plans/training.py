@@ -117,7 +117,8 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
     sweep_all = sweeps[0]
     for s in sweeps[1:]:
         sweep_all = sweep_all.unionByName(s)
-    eval_df = E.model_metrics(test_scores, thr_df).withColumn(
+    ranks = E.score_ranks(test_scores)
+    eval_df = E.model_metrics(test_scores, thr_df, ranks).withColumn(
         "class_weight", F.when(F.lit(balanced) & (F.col("model") != "ANN (MLPClassifier)"), F.lit("balanced"))
         .otherwise(F.lit("none")))
     top = eval_df.orderBy("rank").first()
@@ -125,7 +126,7 @@ def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None,
                             eval_df=eval_df, threshold_analysis=E.threshold_sweep(test_scores), models=fitted,
                             best_model_name=top["model"], best_threshold=float(top["threshold"]))
     result.extras.update({"weights": weights, "test_scaled": test_s, "trainval_scaled": trainval_s,
-                          "settings": settings, "validation_sweep": sweep_all})
+                          "settings": settings, "validation_sweep": sweep_all, "score_ranks": ranks})
     return result
 
 
@@ -141,19 +142,20 @@ def imbalance_comparison(result: TrainingResult) -> DataFrame:
 
     with ThreadPoolExecutor(max_workers=max(1, len(names))) as pool:
         bases = dict(pool.map(unweighted, names))
-    frames = []
-    for name in names:
-        sc = M.positive_probability(bases[name], test_s, ["primaryid", "serious"]).select(
-            F.lit(name).alias("model"), "primaryid", F.col("serious").alias("y"), "p")
-        for setting, scored in (("unweighted", sc),
-                                ("class_weight=balanced", result.test_scores.filter(F.col("model") == name))):
-            t = result.thresholds.filter(F.col("model") == name)
-            m = E.model_metrics(scored, t).select("model", "threshold", "precision", "recall", "f1", "roc_auc")
-            frames.append(m.withColumn("setting", F.lit(setting)))
+    # all models and settings as one table, so that their scores are ranked by one sort
+    both = [(n, "unweighted") for n in names] + [(n, "class_weight=balanced") for n in names]
+    frames = [M.positive_probability(bases[n], test_s, ["primaryid", "serious"]).select(
+        F.lit(f"{n}|unweighted").alias("model"), "primaryid", F.col("serious").alias("y"), "p") for n in names]
+    frames.append(result.test_scores.where(F.col("model").isin(names)).withColumn("model", F.concat("model", F.lit("|class_weight=balanced"))).select(
+        "model", "primaryid", "y", "p"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.select("model", "setting", "threshold", "precision", "recall", "f1", "roc_auc")
+    cuts = {r["model"]: r["threshold"] for r in result.thresholds.collect()}
+    t = result.split.sparkSession.createDataFrame([(f"{n}|{s}", cuts[n]) for n, s in both], "model string, threshold double")
+    m = E.model_metrics(_lineage_cut(out), t)
+    name = F.split("model", "\\|")
+    return m.select(name[0].alias("model"), name[1].alias("setting"), "threshold", "precision", "recall", "f1", "roc_auc")
 
 
 def importance_tables(result: TrainingResult, permutation: bool = True) -> dict:
@@ -193,8 +195,9 @@ def run_training(cases: DataFrame, settings: M.ModelSettings | None = None, max_
     result.extras.update(importance_tables(result, permutation))
     best = result.test_scores.filter(F.col("model") == result.best_model_name)
     result.extras["calibration"] = E.calibration_curve(best)
-    result.extras["roc_curve"] = E.roc_curve(result.test_scores)
-    result.extras["pr_curve"] = E.pr_curve(result.test_scores)
+    ranks = result.extras["score_ranks"]
+    result.extras["roc_curve"] = E.roc_curve(result.test_scores, ranks=ranks)
+    result.extras["pr_curve"] = E.pr_curve(result.test_scores, ranks=ranks)
     train = split.filter(F.col("split") == "train")
     result.extras["feature_scores"] = T.mutual_information(train)
     result.extras["feature_scores_knn"] = NB.mutual_information_knn(train)
