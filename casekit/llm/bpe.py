@@ -32,9 +32,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same matches, found faster: what is letters, numbers or signs needs no way back.
 POSSESSIVE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Words kept from one slice to the next (twice as many at most), and the longest such word (bytes); both bound memory only.
-KEEP_WORDS, KEEP_BYTES = 100_000, 48
-KEEP_PAIRS, KEEP_STEPS = 250_000, 250_000  # judged pairs of tokens, steps from ending to ending
-SLICE = 500_000  # text bytes encoded at once
+KEEP_WORDS, KEEP_BYTES = 40_000, 48
+KEEP_PAIRS, KEEP_STEPS = 200_000, 250_000  # judged pairs of tokens, steps from ending to ending
+SLICE = 250_000  # text bytes encoded at once
 
 
 def byte_letters() -> dict[str, int]:

@@ -48,8 +48,8 @@ CHUNK = 20_000  # words whose kernel values are held at once in training
 ROWS = 8_192  # sentences whose features are multiplied at once in training
 LEAST = 10  # labelled documents of each class without which a model may not reject rows
 APART = 0.2  # least difference of the shares rejected among toxic and clean labelled rows of a model that may reject rows
-KEEP = 250_000  # tokens remembered by a worker
-SLICE = 500_000  # text bytes scored at once
+KEEP = 100_000  # tokens remembered by a worker
+SLICE = 250_000  # text bytes scored at once
 SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 
