@@ -48,7 +48,7 @@ CHUNK = 20_000  # words whose kernel values are held at once in training
 ROWS = 8_192  # sentences whose features are multiplied at once in training
 LEAST = 10  # labelled documents of each class without which a model may not reject rows
 APART = 0.2  # least difference of the shares rejected among toxic and clean labelled rows of a model that may reject rows
-KEEP = 100_000  # tokens remembered by a worker
+KEEP, ALONE = 100_000, 400_000  # tokens remembered by a worker as a stage beside others, and by one that scores alone
 SLICE = 250_000  # text bytes scored at once
 SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _CODES = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
@@ -141,7 +141,8 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, keep: int = KEEP):
+        self.keep = keep
         self.m, self.number, self.gain, self.ends, self.value = model, {}, np.zeros(0), np.zeros(0, bool), {}
 
     def learn(self, new: list[str]) -> None:
@@ -156,7 +157,7 @@ class Scorer:
     def evidence(self, docs: list[str]) -> np.ndarray:
         """For each text: 1, highest sentence margin, log of positive sentences, their share."""
         cut = [tokens(t) for t in docs]
-        if len(self.number) > KEEP:
+        if len(self.number) > self.keep:
             self.number, self.gain, self.ends, self.value = {}, np.zeros(0), np.zeros(0, bool), {}
         new = list(set(chain.from_iterable(cut)) - self.number.keys())
         if new:
@@ -312,15 +313,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(got.text.to_list(), toxic, total[1] / total[0])
 
 
-def _scorer(model: Model) -> Scorer:
+def _scorer(model: Model, keep: int = KEEP) -> Scorer:
     """One scorer for each model and worker process, so that its words outlive a task."""
-    return held(("toxicity", tuple(model.marks), model.weights.tobytes(), model.offset, model.logit.tobytes(), model.share), lambda: Scorer(model))
+    return held(("toxicity", tuple(model.marks), model.weights.tobytes(), model.offset, model.logit.tobytes(), model.share, keep), lambda: Scorer(model, keep))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
     def run(batches):
-        s = _scorer(model)
+        s = _scorer(model, ALONE)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.score(texts(part, "text")))], ["doc_id", "score"])
