@@ -35,6 +35,7 @@ POSSESSIVE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(
 KEEP_WORDS, KEEP_BYTES = 40_000, 48
 KEEP_PAIRS, KEEP_STEPS = 200_000, 250_000  # judged pairs of tokens, steps from ending to ending
 SLICE = 250_000  # text bytes encoded at once
+ALONE, ALONE_SLICE = 200_000, 500_000  # the same for a worker that does nothing else
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,8 +48,8 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """``kept`` makes what is remembered of a word from its ids."""
 
-    def __init__(self, path: str, kept=tuple):
-        self.kept = kept
+    def __init__(self, path: str, kept=tuple, keep: int | None = None):
+        self.kept, self.keep = kept, keep
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -182,7 +183,7 @@ class Codec:
         """What is kept of each word, for the words of whole texts."""
         cut = [self.pieces(t) for t in docs]
         kept, words = self.kept, set(chain.from_iterable(cut))
-        if len(self.known) > KEEP_WORDS:  # words that come again are taken over, others go with the next turn
+        if len(self.known) > (self.keep or KEEP_WORDS):  # words that come again are taken over, others go with the next turn
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         new = words.difference(known)
@@ -217,8 +218,8 @@ class Codec:
 class DigestCodec(Codec):
     """Remembers of each word the number of its ids, the ids as text, and the bytes that they decode to."""
 
-    def __init__(self, path: str):
-        super().__init__(path, self.told)
+    def __init__(self, path: str, keep: int | None = None):
+        super().__init__(path, self.told, keep)
 
     def told(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
         return len(ids), ",".join(map(self.shown.__getitem__, ids)), b"".join(map(self.token.__getitem__, ids))
@@ -245,12 +246,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return _needed(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, alone: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs``."""
     def run(batches):
-        c = held(("bpe digests", path), lambda: DigestCodec(path))
+        c = held(("bpe digests", path, alone), lambda: DigestCodec(path, ALONE if alone else None))
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", ALONE_SLICE if alone else SLICE):
                 n, a, b = zip(*c.digests(texts(part, "text")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
                                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

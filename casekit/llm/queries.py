@@ -37,7 +37,7 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), alone=True)
 
 
 def records_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
