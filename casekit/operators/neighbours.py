@@ -84,7 +84,8 @@ def mutual_information_knn(df: DataFrame, features: list[str] | None = None, lab
         "feature", "x", F.col("one").alias("here"), F.col("one_before").alias("below")).checkpoint()
     side = lambda name, at: ranks.select("feature", F.col("x").alias(at), F.col("here").alias(f"here_{name}"), F.col("below").alias(f"below_{name}"))
     whole = pts.withColumns({"lo": lo, "hi": hi})
-    met = whole.join(side("lo", "lo"), ["feature", "lo"]).join(side("hi", "hi"), ["feature", "hi"])
+    # both sides have a row for each point and feature: sorted joins, whatever sizes are expected of the checkpoints
+    met = whole.join(side("lo", "lo").hint("merge"), ["feature", "lo"]).join(side("hi", "hi").hint("merge"), ["feature", "hi"])
     m = F.when(F.col("r") > 0, F.col("below_hi") - F.col("below_lo") - F.col("here_lo")).otherwise(F.col("here_lo"))
     psi = lambda c: digamma(c.cast("double"))
     n = F.count(F.lit(1)).cast("double")

@@ -53,3 +53,16 @@ def test_repeated_ids_and_equal_points(spark):
     assert N.mutual_information_knn(df, ["a"]).first().score < 0.3
     x = spark.range(1, 40).select(N.digamma(F.col("id").cast("double")).alias("p"), F.col("id")).collect()
     assert all(abs(r.p - psi(r.id)) < 1e-10 for r in x)
+
+
+def test_no_rank_table_is_broadcast(spark, monkeypatch):
+    """The ranks have a row for each point: however small their checkpoint is thought to be, the driver must not collect them."""
+    sent = []
+    real = N.F.broadcast
+    monkeypatch.setattr(N.F, "broadcast", lambda df: sent.append(df.columns) or real(df))
+    df = spark.range(60).select(F.col("id").alias("primaryid"), (F.col("id") % 2).cast("int").alias("serious"), (F.col("id") % 7).cast("double").alias("a"))
+    out = N.mutual_information_knn(df, ["a"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert all("x" not in columns for columns in sent)
