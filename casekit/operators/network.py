@@ -1,12 +1,13 @@
 """Feed-forward network with the reference's solver (O-44, O-48): ReLU, Adam, early stopping on held-out rows.
 
-Rows are dealt by a hash of their id into slices of one batch each; a step sums the gradient of one slice over its
-partitions (added in a second stage where there are many) and the driver applies Adam to the 7,000 weights. The number of
-slices is fixed for large tables (``STEPS`` a pass), so the jobs of a pass do not grow with the data, only their tasks do;
-the rate follows the square root of the batch. Each pass reads the slices in an order of its own, ends with the accuracy on
-the held-out tenth, and the weights of the best pass are kept.
-
-Batch sums are added in row order within a partition and in partition order, so a run repeats itself on the same partitions.
+Rows are dealt by a hash of their id into slices of one batch each, and equal rows of a slice become one row with its
+count, which weighs its gradient. A step sums the gradient of one slice over its partitions; tasks add these sums where there
+are more than ``DRIVER_SUMS``, so that a step sends the driver no more on a larger table, and the driver applies Adam to the
+7,000 weights. The number of slices is fixed for large tables (``STEPS`` a pass), so the jobs of a pass do not grow with the
+data, only their tasks do; the rate follows the square root of the batch. Each pass reads the slices in an order of its own,
+ends with the accuracy on the held-out tenth, and the weights of the best pass are kept.
+
+A slice is partitioned by its values and sorted, so a run repeats itself on any partitions.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from casekit import config as C
 
 STEPS = 8  # slices of a large table
 LEAST_BATCH = 200
-PART_ROWS = 20_000  # rows of a slice that one task takes at least
-FAN_IN = 32  # partial sums that the driver adds itself
+PART_ROWS = 20_000  # distinct rows of a slice that one task takes at least
+FAN_IN = 32  # partial sums that one task adds, of many
+DRIVER_SUMS = 4  # partial sums that the driver adds itself
 
 
 # ---------------------------------------------------------------- the network
@@ -62,12 +64,13 @@ class Network:
         e = np.exp(-np.abs(z))
         return np.where(z >= 0, 1, e) / (1 + e)
 
-    def loss_and_gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of the log losses of the rows, and its gradient as one vector (weights then biases, layer by layer)."""
-        a = self.layers(x)
+    def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """Sum of the log losses of the rows (each ``counts`` times, once without), and its gradient as one vector (weights
+        then biases, layer by layer)."""
+        counts, a = np.ones(len(y)) if counts is None else counts, self.layers(x)
         z = a[-1][:, 0]
-        loss = float(np.sum(np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))))
-        delta, parts = (self.probability_of(z) - y)[:, None], []
+        loss = float(np.sum(counts * (np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z))))))
+        delta, parts = (counts * (self.probability_of(z) - y))[:, None], []
         for i in range(len(self.weights) - 1, -1, -1):
             parts += [delta.sum(0), (a[i].T @ delta).ravel()]
             if i:
@@ -106,13 +109,13 @@ class Adam:
 
 
 # ---------------------------------------------------------------- training
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return x, batch.column(1).to_numpy().astype(float)
+    return x, *(c.to_numpy().astype(float) for c in batch.columns[1:])
 
 
 def _summed(rows: DataFrame, partial, size: int, parts: int) -> np.ndarray:
-    """Sum of ``partial(x, y)`` (a vector of ``size``) over the batches of all ``parts`` partitions."""
+    """Sum of ``partial`` (a vector of ``size``, from the columns of a batch) over the batches of all ``parts`` partitions."""
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
@@ -121,12 +124,14 @@ def _summed(rows: DataFrame, partial, size: int, parts: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v) for v in table["sums"].to_pylist())
+        total = sum(np.frombuffer(v) for v in sorted(table["sums"].to_pylist()))  # rows arrive in any order
         return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
 
     sums = rows.mapInArrow(run, "sums binary")
     if parts > FAN_IN:
         sums = sums.groupBy(F.spark_partition_id() % FAN_IN).applyInArrow(add, "sums binary")
+    if parts > DRIVER_SUMS:
+        sums = sums.groupBy().applyInArrow(add, "sums binary")  # at most FAN_IN rows
     return sum((np.frombuffer(r.sums) for r in sums.collect()), np.zeros(size))
 
 
@@ -164,25 +169,28 @@ class NetworkClassifier:
     def fit(self, df: DataFrame) -> NetworkModel:
         place = F.pmod(F.xxhash64(F.col(self.key).cast("string"), F.lit(self.seed)), F.lit(1 << 30))
         rows = df.select(vector_to_array(F.col(self.features)).alias("x"), F.col(self.label).cast("int").alias("y"), place.alias("place"))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         held_out = F.col("place") % 10 == 0
         n, n_held, dim = rows.agg(F.count(F.when(~held_out, 1)), F.count(F.when(held_out, 1)), F.max(F.size("x"))).first()
         if not n:
-            rows.unpersist()
             raise ValueError("no rows to fit the network on")
         steps = max(1, min(self.steps, n // LEAST_BATCH))
-        tasks = lambda m: max(1, min(-(-m // PART_ROWS), 4096))
-        slices = [self._kept(rows.where(~held_out & (F.floor(F.col("place") / 10) % steps == i)), tasks(n // steps)) for i in range(steps)]
-        held = self._kept(rows.where(held_out), tasks(n_held))
+        own = F.when(held_out, F.lit(-1)).otherwise(F.floor(F.col("place") / 10) % steps).cast("int")
+        dealt = rows.groupBy(own.alias("slice"), "x", "y").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = {r.slice: (r.rows, max(1, min(-(-r.distinct // PART_ROWS), 4096))) for r in dealt.groupBy("slice").agg(  # a row for each slice
+            F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()}
+        kept = {i: self._kept(dealt.where(F.col("slice") == i), sizes.get(i, (0, 1))[1]) for i in range(-1, steps)}
         try:
-            return self._train([(s, s.count(), tasks(n // steps)) for s in slices], held, n_held, tasks(n_held), dim)
+            for s in kept.values():
+                s.count()  # stored before the dealt rows go
+            dealt.unpersist()
+            return self._train([(kept[i], *sizes.get(i, (0, 1))) for i in range(steps)], kept[-1], n_held, sizes.get(-1, (0, 1))[1], dim)
         finally:
-            for s in (*slices, held, rows):
+            for s in (*kept.values(), dealt):
                 s.unpersist()
 
     @staticmethod
     def _kept(df: DataFrame, tasks: int) -> DataFrame:
-        return df.select("x", "y").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        return df.select("x", "y", "n").repartition(tasks, "x", "y").sortWithinPartitions("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
 
     def _train(self, slices: list, held: DataFrame, n_held: int, held_parts: int, dim: int) -> NetworkModel:
         net = Network.start([dim, *self.hidden, 1], self.seed)
@@ -196,11 +204,11 @@ class NetworkClassifier:
                 rows, n, parts = slices[i]
                 if n:
                     now = net.copy()
-                    got = _summed(rows, lambda x, y: np.append(*reversed(now.loss_and_gradient(x, y))), size + 1, parts)  # noqa: B023
+                    got = _summed(rows, lambda x, y, c: np.append(*reversed(now.loss_and_gradient(x, y, c))), size + 1, parts)  # noqa: B023
                     loss += got[-1]
                     adam.step(got[:-1], n)
             now = net.copy()
-            right = _summed(held, lambda x, y: np.array([np.sum((now.probability(x) > 0.5) == (y > 0.5))], float), 1, held_parts)[0] if n_held else -loss  # noqa: B023
+            right = _summed(held, lambda x, y, c: np.array([np.sum(c * ((now.probability(x) > 0.5) == (y > 0.5)))]), 1, held_parts)[0] if n_held else -loss  # noqa: B023
             score = right / max(1, n_held)
             passes.append((loss / max(1, batch * len(slices)), score))
             waits = waits + 1 if score < best + self.tol else 0

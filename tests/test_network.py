@@ -91,3 +91,23 @@ def test_stops_after_passes_without_gain_and_learns(spark):
 def test_many_partitions_are_added_in_two_stages(spark):
     df = spark.range(4000).repartition(50).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), (F.col("id") % 2).cast("int").alias("y"))
     assert N._summed(df, lambda x, y: np.array([x.sum(), y.sum()]), 2, 50).tolist() == [3999 * 2000 + 4000, 2000]
+
+
+def test_equal_rows_are_one_row_with_its_count_and_one_sum_leaves_a_step(spark, monkeypatch):
+    """Every row three times: the gradient work sees each once, and the driver gets one vector from many partitions."""
+    net, rng = N.Network.start([2, 4, 1], 1), np.random.default_rng(5)
+    x, y, c = rng.standard_normal((30, 2)), rng.integers(0, 2, 30), rng.integers(1, 5, 30)
+    one, many = net.loss_and_gradient(x, y, c), net.loss_and_gradient(np.repeat(x, c, 0), np.repeat(y, c))
+    assert abs(one[0] - many[0]) < 1e-9 and np.allclose(one[1], many[1])
+    got, real = [], N._summed
+    monkeypatch.setattr(N, "_summed", lambda rows, partial, size, parts: got.append((rows.count(), rows.agg(F.sum("n")).first()[0], parts)) or real(rows, partial, size, parts))
+    monkeypatch.setattr(N, "PART_ROWS", 20)
+    df = frame(spark, np.tile(np.round(rng.standard_normal((700, 2)), 1), (3, 1)), np.arange(2100) % 7 // 4)
+    distinct = df.select("f0", "f1", "serious").distinct().count()
+    N.NetworkClassifier(hidden=(4,), max_iter=1, steps=2).fit(df)
+    assert sum(n for _, n, _ in got) == 2100 and max(parts for *_, parts in got) > N.DRIVER_SUMS
+    assert all(r <= min(distinct, n) for r, n, _ in got) and sum(r for r, *_ in got) < 2100
+    rows = spark.range(400).repartition(8).select(F.array(F.col("id").cast("double")).alias("x"), F.lit(1).alias("y"))
+    seen, frombuffer = [], np.frombuffer
+    monkeypatch.setattr(N.np, "frombuffer", lambda v, *a: seen.append(1) or frombuffer(v, *a))
+    assert real(rows, lambda x, y: np.array([x.sum()]), 1, 8).tolist() == [399 * 200] and len(seen) == 1
