@@ -33,7 +33,9 @@ LOCAL_ROWS = 200_000
 GROUP_BYTES = 64_000_000
 WAVE_ROWS = 2_000_000_000  # bag rows shuffled at once
 CELLS = 256
-BROADCAST_BYTES = 128_000_000  # of a model that is sent to the rows
+BROADCAST_BYTES = 64_000_000  # of a model that is sent to the rows
+PIECE_BYTES = 32_000_000  # of the subtrees of a larger model that a scoring task holds
+SCORE_ROWS = 500_000  # vectors that it holds
 ONE = 1 << 40  # unit of a probability in sums, so that sums do not depend on their order
 SUBTREE = "tree int, root int, feature binary, cut binary, left binary, p binary, gains array<double>"
 
@@ -255,50 +257,44 @@ class ForestModel:
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` columns plus ``p``: the mean leaf probability of all trees. A model of up to ``BROADCAST_BYTES`` goes to
-        the rows; the distinct vectors meet the subtrees of a larger one by (tree, root), about ``LOCAL_ROWS`` at once."""
+        the rows; a larger one is cut into pieces of about ``PIECE_BYTES``, and ``SCORE_ROWS`` distinct vectors at once meet each
+        piece, so a vector is sent once for each piece and not for each tree."""
         if self.size <= BROADCAST_BYTES:
             return df.select(*keep, self.positive().alias("p"))
-        tops, dim = self.tops, len(self.importances)
+        tops = self.tops
         rows = df.select(*keep, vector_to_array(F.col(self.features), "float32").alias("_x"))
-        vectors = rows.select(F.col("_x").alias("x")).distinct()
-        parts = max(1, -(-vectors.count() // LOCAL_ROWS))
-
-        def route(batches):
-            for batch in batches:
-                x = _vectors(batch)
-                packed = _packed(x)
-                for t, top in enumerate(tops):
-                    at = top.route(x)
-                    done = np.array(top.leaf)[at]
-                    p = np.where(done, np.rint(np.array(top.p)[at] * ONE), 0).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(np.where(done, -1, at).astype(np.int32)), packed, pa.array(p)],
-                                                     ["tree", "root", "x", "p"])
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"x": pa.array([], pa.binary()), "p": pa.array([], pa.int64())})
-            keys = pa.concat_arrays(left["x"].chunks)
-            x = np.frombuffer(b"".join(keys.to_pylist()), np.float32).reshape(-1, dim)
-            s = {c: v[0] for c, v in right.to_pydict().items()}
-            leaf = walk(x, np.frombuffer(s["feature"], np.int8), np.frombuffer(s["cut"], np.float32), np.frombuffer(s["left"], np.int32))
-            return pa.table({"x": keys, "p": pa.array(np.rint(np.frombuffer(s["p"])[leaf] * ONE).astype(np.int64))})
-
-        placed = vectors.mapInArrow(route, "tree int, root int, x binary, p long")
-        trees = self.subtrees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        part = F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int")
-        met = placed.where("root >= 0").withColumn("part", part).groupBy("tree", "root", "part").cogroup(
-            trees.groupBy("tree", "root", "part")).applyInArrow(meet, "x binary, p long")
-        if any(any(t.leaf) for t in tops):
-            met = met.union(placed.where("root < 0").select("x", "p"))
-        mean = met.groupBy("x").agg((F.sum("p") / F.lit(float(ONE)) / F.lit(len(tops))).alias("p"))
-
-        def unpack(batches):
-            for batch in batches:
-                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32)
-                at = pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(x)), batch.column(1)], ["_x", "p"])
-
-        scores = mean.mapInArrow(unpack, "_x array<float>, p double")
+        ensure_checkpoint_dir(df.sparkSession)
+        vectors = rows.select(F.col("_x").alias("x")).distinct().checkpoint()
+        parts, pieces = max(1, -(-vectors.count() // SCORE_ROWS)), max(1, -(-self.size // PIECE_BYTES))
+
+        def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return pa.table({"x": pa.array([], pa.list_(pa.float32())), "p": pa.array([], pa.int64())})
+            first, column = key[0].as_py() == 0, pa.concat_arrays(left["x"].chunks)
+            x, total = column.flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1), np.zeros(left.num_rows, np.int64)
+            held: dict[int, dict] = {t: {} for t in range(len(tops))} if first else {}
+            for s in right.select(["tree", "root", "feature", "cut", "left", "p"]).to_pylist():
+                held.setdefault(s["tree"], {})[s["root"]] = s
+            for t, roots in held.items():
+                top = tops[t]
+                at = top.route(x)
+                for node in np.unique(at).tolist():
+                    rows = np.flatnonzero(at == node)
+                    if top.leaf[node]:
+                        total[rows] += round(top.p[node] * ONE) if first else 0  # counted by one piece
+                    elif node in roots:
+                        s = roots[node]
+                        leaf = walk(x[rows], np.frombuffer(s["feature"], np.int8), np.frombuffer(s["cut"], np.float32), np.frombuffer(s["left"], np.int32))
+                        total[rows] += np.rint(np.frombuffer(s["p"])[leaf] * ONE).astype(np.int64)
+            at = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+            return pa.table({"x": pa.ListArray.from_arrays(at, pa.array(x.ravel())), "p": pa.array(total)})
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+        placed = vectors.select(every(pieces).alias("piece"), F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part"), "x")
+        trees = self.subtrees.drop("gains").select(
+            "*", F.pmod(F.xxhash64("tree", "root"), F.lit(pieces)).cast("int").alias("piece"), every(parts).alias("part"))
+        met = placed.groupBy("piece", "part").cogroup(trees.groupBy("piece", "part")).applyInArrow(meet, "x array<float>, p long")
+        scores = met.groupBy(F.col("x").alias("_x")).agg((F.sum("p") / F.lit(float(ONE)) / F.lit(len(tops))).alias("p"))
         return rows.join(scores, "_x").select(*keep, "p")
 
 

@@ -201,7 +201,7 @@ def permutation_importance(model, name: str, test: DataFrame, scaler: Standardiz
     if not test.head(1):
         return test.sparkSession.createDataFrame([], "feature string, importance double, importance_std double, source string")
     allv = permuted(test, scaler.cols, [key, label], repeats, seed)
-    scored = positive_probability(model, scaler.transform(allv), [key, label, "feature", "rep"])
+    scored = positive_probability(model, scaler.transform(allv), [label, "feature", "rep"])
     pred = (F.col("p") > threshold).cast("int")
     f1 = scored.groupBy("feature", "rep").agg(
         F.sum(((pred == 1) & (F.col(label) == 1)).cast("long")).alias("tp"),

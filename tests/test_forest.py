@@ -97,3 +97,18 @@ def test_same_forest_on_any_partitioning_and_one_class(spark):
     assert a == b
     one = T.ForestClassifier(trees=2).fit(frame(spark, x, np.ones(len(y))))
     assert {r.p for r in M.positive_probability(one, df, []).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("piece", [1 << 40, 4000])  # one piece, many pieces (some may be empty)
+def test_a_large_model_meets_a_vector_once_for_each_piece(spark, monkeypatch, piece):
+    """Scores by pieces equal the broadcast ones, and nothing is dealt by tree: no step unfolds a vector for every tree."""
+    x, y = data(300)
+    df = frame(spark, x, y).repartition(3)
+    model = T.ForestClassifier(trees=12, local_rows=40).fit(df)
+    sent = {r.primaryid: r.p for r in M.positive_probability(model, df, ["primaryid"]).collect()}
+    monkeypatch.setattr(T, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(T, "PIECE_BYTES", piece, raising=False)
+    monkeypatch.setattr(T, "SCORE_ROWS", 100, raising=False)
+    met = M.positive_probability(model, df, ["primaryid"])
+    assert {r.primaryid: r.p for r in met.collect()} == sent
+    assert "MapInArrow" not in met._jdf.queryExecution().toString()
