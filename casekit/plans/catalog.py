@@ -30,9 +30,18 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-def build_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_cases(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """The case table computed from the source tables (the flagship plan)."""
-    return P.case_table_from_sources(FX.sources(spark, sf_dir))
+    return P.case_table_from_sources(FX.sources(spark, sf_dir), tasks)
+
+
+TASK_CASES = 30_000  # reports that one task of a large materialised table joins
+
+
+def case_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks that join a large table; ``None`` (Spark chooses) where its own number is not exceeded."""
+    n = -(-FX.demo_source(spark, sf_dir).count() // TASK_CASES)
+    return n if n >= int(spark.conf.get("spark.sql.shuffle.partitions", "200")) else None
 
 
 _MATERIALIZED: dict = {}
@@ -70,7 +79,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{base}/casekit-cases/{key[0]}-{key[2]}"
             # rows sorted by age inside each file: Parquet min/max statistics then let
             # age-range cohort filters skip row groups (a local sort, no shuffle)
-            build_cases(spark, sf_dir).sortWithinPartitions("age").write.mode("overwrite").parquet(path)
+            build_cases(spark, sf_dir, case_tasks(spark, sf_dir)).sortWithinPartitions("age").write.mode("overwrite").parquet(path)
             _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

@@ -135,3 +135,17 @@ def test_own_cut_of_a_classifier_is_exclusive(spark):
     half = lambda d: d.withColumn("probability", F.lit(0.5))
     assert S.score_cases(feats, half, 0.5).first()["predicted_label"] == "Serious"
     assert S.score_cases(feats, half, 0.4, label_threshold=0.5).first()["predicted_label"] == "Non-serious"
+
+
+def test_rows_a_task_joins_do_not_grow_with_the_case_table(spark, tmp_path, monkeypatch):
+    from casekit.plans import catalog as CT
+    ids = spark.range(500).select((F.col("id") % 450).alias("o_orderkey"), (F.col("id") % 60).alias("o_custkey"))
+    ids.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1500).select((F.col("id") % 480).alias("l_orderkey"), (F.col("id") % 40).alias("l_partkey"), (F.col("id") % 5).cast("int").alias("l_linenumber"),
+                             (F.col("id") % 50).cast("double").alias("l_quantity"), F.lit("R").alias("l_returnflag"), F.lit("O").alias("l_linestatus")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(40).select(F.col("id").alias("p_partkey"), F.concat(F.lit("part "), F.col("id").cast("string")).alias("p_name"), F.lit("t").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(CT, "TASK_CASES", 50)
+    got, plain = CT.cases(spark, str(tmp_path)), CT.build_cases(spark, str(tmp_path))
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 120
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
