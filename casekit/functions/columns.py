@@ -162,6 +162,15 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def apart(c: str | Column) -> Column:
+    """``c`` itself, in a projection that Spark compiles by itself, in small methods.
+
+    Whole-stage code is one method for all fused operators; beyond 8,000 bytes of bytecode the JVM interprets it on every
+    row. Spark leaves a projection with a lambda out of it, so a long projection holds one cheap column of this kind.
+    """
+    return let(col_(c), lambda x: x)
+
+
 def fmt_fixed(c: str | Column, digits: int, sign: bool = False, bind: bool = True) -> Column:
     """Python ``f'{x:.Nf}'`` (``:+.Nf`` with ``sign``); null stays null.
 

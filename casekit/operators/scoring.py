@@ -130,6 +130,12 @@ def driver_message(feature: str, v: Column) -> Column:
     return T.render(C.DRIVER_MESSAGE_OTHER, label=F.lit(C.FEATURE_LABELS.get(feature, feature)), value=v)
 
 
+def _apart(cols: dict[str, Column]) -> dict[str, Column]:
+    """The columns of one projection, the first (a cheap one) ``apart``."""
+    first = next(iter(cols), None)
+    return cols if first is None else {**cols, first: X.apart(cols[first])}
+
+
 def importance_map(importance: DataFrame | None) -> Column | None:
     """Normalised |importance| per feature as a ``map`` (one scalar subquery over <= 9 rows).
 
@@ -172,8 +178,9 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
 
     The candidate list is bounded (8 rules, top N), so the ranking is
     ``sort_array`` over structs keyed (-score, rule order) and the per-driver
-    work is spelled out per position: every expression stays inside
-    whole-stage code generation (no lambda functions).
+    work is spelled out per position. Fused into whole-stage code these
+    projections are methods too long for the JVM's compiler, so each long one
+    stands ``apart``.
     """
     imap_q = importance_map(importance)
     cols = set(df.columns)
@@ -191,15 +198,15 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     for f in dict.fromkeys(rule_feats + fb_feats):
         staged[f"_w_{f}"] = weight(f)
         staged[f"_in_{f}"] = feature_intensity(f, F.col(f))
-    df = df.withColumns(staged)
+    df = df.withColumns(_apart(staged))
     feats = list(dict.fromkeys(rule_feats + fb_feats))
-    df = df.withColumns({**{f"_rs_{f}": (F.col(f"_w_{f}") + F.lit(0.05)) * F.col(f"_in_{f}") + F.lit(rw)
+    df = df.withColumns(_apart({**{f"_rs_{f}": (F.col(f"_w_{f}") + F.lit(0.05)) * F.col(f"_in_{f}") + F.lit(rw)
                             for f, _, rw in RULES if f in cols},
                          **{f"_fs_{f}": F.col(f"_w_{f}") * F.greatest(F.col(f"_in_{f}"), F.lit(0.1))
                             for f in fb_feats},
                          **{f"_wr_{f}": weight(f, "w4") for f in feats},
                          **{f"_inr_{f}": X.py_round(F.col(f"_in_{f}"), 3, bind=False) for f in feats},
-                         **{f"_msg_{f}": driver_message(f, F.col(f)) for f in feats}})
+                         **{f"_msg_{f}": driver_message(f, F.col(f)) for f in feats}}))
     cands, flags = [], []
     for i, (feat, trig, rw) in enumerate(RULES):
         if feat not in cols:
@@ -209,8 +216,8 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
         cands.append(F.when(hit, _driver_struct(-sc, i, feat, sc)))
         flags.append(hit.cast("int"))
     if cands:
-        out = df.withColumns({"_cand": F.sort_array(F.array(*cands)),  # nulls (untriggered) first
-                              "_ntrig": sum(flags[1:], flags[0])})
+        out = df.withColumns(_apart({"_ntrig": sum(flags[1:], flags[0]),
+                                     "_cand": F.sort_array(F.array(*cands))}))  # nulls (untriggered) first
         top_trig = F.slice(F.col("_cand"), F.lit(len(cands)) - F.col("_ntrig") + 1, F.lit(top_n))
     else:
         out = df.withColumns({"_cand": F.array().cast(f"array<{_DRIVER_TYPE}>"), "_ntrig": F.lit(0)})
@@ -220,13 +227,13 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
         fb = [_driver_struct(-F.col(f"_w_{f}"), 100 + i, f, F.col(f"_fs_{f}"))
               for i, f in enumerate(order) if f in cols]
         # the top importances (ties: table order), then re-keyed by score
-        out = out.withColumn("_fbw", F.slice(F.sort_array(F.array(*fb)), 1, top_n))
+        out = out.withColumns(_apart({"_nimp": F.size(F.map_keys(imap)),
+                                      "_fbw": F.slice(F.sort_array(F.array(*fb)), 1, top_n)}))
         rekeyed = [F.try_element_at(F.col("_fbw"), F.lit(j)) for j in range(1, top_n + 1)]
         rekeyed = [F.when(x.isNotNull(), x.withField("k1", -x["score"])) for x in rekeyed]
         n_fb = F.size("_fbw")
         fb_sorted = F.slice(F.sort_array(F.array(*rekeyed)), F.lit(top_n) - n_fb + 1, n_fb)
-        has_imp = F.size(F.map_keys(imap)) > 0
-        chosen = F.when(F.col("_ntrig") > 0, top_trig).when(has_imp, fb_sorted).otherwise(top_trig)
+        chosen = F.when(X.apart("_ntrig") > 0, top_trig).when(F.col("_nimp") > 0, fb_sorted).otherwise(top_trig)
     else:
         chosen = top_trig
     out = out.withColumn("_drv", chosen)
@@ -236,7 +243,7 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     for j in pos:  # Python's sum order over the ranked drivers
         total = total + F.coalesce(F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)), F.lit(0.0))
     out = out.withColumn("_tot", total)
-    out = out.withColumns({f"_i{j}": F.when(F.col("_tot") > 0, X.py_round(
+    out = out.withColumns({f"_i{j}": F.when(X.apart("_tot") > 0, X.py_round(
         (F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False))
         .otherwise(F.lit(0.0)) for j in pos})
     # _i<j> is already Python-rounded to 1 decimal: '%.1f' prints it verbatim, no second rounding needed
@@ -248,10 +255,10 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
             *[F.col(f"_d{j}.{f}").alias(f) for f in fields], F.col(f"_i{j}").alias("impact_pct"),
             F.col(f"_q{j}").alias("quantified_message"))) for j in pos]), 1, F.size("_drv"))
     risk = F.lower(F.col(risk_col))
-    summary = F.when(F.size(F.col("_drv")) > 0, T.render(
+    summary = F.when(X.apart(F.size("_drv")) > 0, T.render(
         C.EXPLANATION_SUMMARY, risk=risk, drivers=F.array_join(F.array(*[F.col(f"_q{j}") for j in pos]), "; "))
     ).otherwise(T.render(C.EXPLANATION_NO_DRIVERS, risk=risk))
-    temp = ["_cand", "_ntrig", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos] \
+    temp = ["_cand", "_ntrig", "_nimp", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos] \
         + [c for c in out.columns if c.startswith(("_w_", "_in_", "_rs_", "_fs_", "_wr_", "_inr_", "_msg_"))]
     return (out.withColumn("explanation", F.struct(summary.alias("summary"), drivers.alias("drivers"),
                                                    F.size("_drv").alias("n_drivers")))
