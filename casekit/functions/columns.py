@@ -171,16 +171,29 @@ def apart(c: str | Column) -> Column:
     return let(col_(c), lambda x: x)
 
 
-def fmt_fixed(c: str | Column, digits: int, sign: bool = False, bind: bool = True) -> Column:
+def printed(v: Column, digits: int, sign: bool = False, digits_only: bool = False) -> Column:
+    """A double that is already rounded to ``digits``, as text; null stays null.
+
+    ``format_string`` parses its pattern and makes a decimal for every value. With ``digits_only`` values from 1 to 10^12 are
+    put together from their digits instead, which gives the same text."""
+    text = F.when(v.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{digits}f", v))
+    if not digits_only or sign:
+        return text
+    scale = F.lit(10 ** digits).cast("bigint")
+    k = F.rint(v * F.lit(float(10 ** digits))).cast("bigint")
+    plain = F.concat(F.call_function("div", k, scale).cast("string"), F.lit("."), F.lpad((k % scale).cast("string"), digits, "0")) \
+        if digits else k.cast("string")
+    return F.when((v >= 1.0) & (v < 1e12), plain).otherwise(text)
+
+
+def fmt_fixed(c: str | Column, digits: int, sign: bool = False, bind: bool = True, digits_only: bool = False) -> Column:
     """Python ``f'{x:.Nf}'`` (``:+.Nf`` with ``sign``); null stays null.
 
     ``format_string`` rounds the shortest decimal form half-up and prints
     null as "null"; rounding first with Python's exact rule leaves it a
     value it prints verbatim.
     """
-    spec = f"%{'+' if sign else ''}.{digits}f"
-
     def body(v: Column) -> Column:
-        return F.when(v.isNotNull(), F.format_string(spec, py_round(v, digits, bind=False)))
+        return printed(py_round(v, digits, bind=False), digits, sign, digits_only)
     x = col_(c).cast("double")
     return let(x, body) if bind else body(x)

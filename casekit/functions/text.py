@@ -29,9 +29,10 @@ def _digits(spec: str) -> tuple[int, bool]:
     return int(body[1:-1]), sign
 
 
-def render(template: str, bind: bool = True, rounded: bool = False, **fields: Column | str) -> Column:
+def render(template: str, bind: bool = True, rounded: bool = False, digits: bool = False, **fields: Column | str) -> Column:
     """``rounded=True``: the numeric fields already hold Python-rounded values at the
-    template's precision, so they are formatted without rounding them again."""
+    template's precision, so they are formatted without rounding them again.
+    ``digits=True``: common numbers are put together from their digits (``columns.printed``)."""
     parts: list[Column] = []
     for literal, field, spec in _pieces(template):
         if literal:
@@ -42,9 +43,9 @@ def render(template: str, bind: bool = True, rounded: bool = False, **fields: Co
         if spec:
             d, sign = _digits(spec)
             if rounded:
-                parts.append(F.when(v.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{d}f", v.cast("double"))))
+                parts.append(X.printed(v.cast("double"), d, sign, digits))
             else:
-                parts.append(X.fmt_fixed(v, d, sign=sign, bind=bind))
+                parts.append(X.fmt_fixed(v, d, sign=sign, bind=bind, digits_only=digits))
         else:
             parts.append(v.cast("string"))
     return F.concat(*parts) if len(parts) > 1 else parts[0]

@@ -44,7 +44,8 @@ def threshold_sweep(scored: DataFrame, grid: list[float] | None = None) -> DataF
     """
     g = grid or C.threshold_grid()
     arr = grid_array(g)
-    slot = F.aggregate(arr, F.lit(0), lambda acc, t: acc + F.when(F.col("p") >= t, 1).otherwise(0))
+    # spelled out: inside a lambda over the grid Spark would evaluate the model behind ``p`` once for each threshold
+    slot = sum((F.when(F.col("p") >= F.lit(float(t)), 1).otherwise(0) for t in g), F.lit(0))
     counts = (scored.select("model", slot.alias("slot"), F.col("y").cast("long").alias("y"))
               .groupBy("model", "slot").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")))
     models = scored.select("model").distinct()

@@ -10,6 +10,7 @@ of structs and higher-order functions (``filter``, ``array_sort``,
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def feature_intensity(feature: str, v: Column) -> Column:
 def driver_message(feature: str, v: Column) -> Column:
     v = v.cast("double")
     if feature in C.DRIVER_MESSAGES:
-        return T.render(C.DRIVER_MESSAGES[feature], bind=False, value=v)
+        return T.render(C.DRIVER_MESSAGES[feature], bind=False, digits=True, value=v)
     return T.render(C.DRIVER_MESSAGE_OTHER, label=F.lit(C.FEATURE_LABELS.get(feature, feature)), value=v)
 
 
@@ -152,20 +153,13 @@ def importance_map(importance: DataFrame | None) -> Column | None:
     return norm.select(F.map_from_entries(F.collect_list(F.struct("feature", entry)))).scalar()
 
 
-_DRIVER_TYPE = ("struct<k1:double,ord:int,feature:string,label:string,value:double,importance:double,"
-                "feature_intensity:double,score:double,message:string>")
+_CANDIDATE_TYPE = "struct<k1:double,ord:int,at:int,score:double>"
 
 
-def _driver_struct(key: Column, ord_: int, feature: str, score: Column) -> Column:
-    """A candidate driver; ``k1`` (then ``ord``) is its sort key, so plain ``sort_array`` ranks candidates.
-
-    Weight and intensity come from the staged columns ``_w_<f>`` / ``_in_<f>``,
-    so the exact rounding expands over column references only."""
-    return F.struct(key.alias("k1"), F.lit(ord_).alias("ord"), F.lit(feature).alias("feature"),
-                    F.lit(C.FEATURE_LABELS.get(feature, feature)).alias("label"),
-                    F.col(feature).cast("double").alias("value"),
-                    F.col(f"_wr_{feature}").alias("importance"), F.col(f"_inr_{feature}").alias("feature_intensity"),
-                    score.alias("score"), F.col(f"_msg_{feature}").alias("message"))
+def _candidate(key: Column, ord_: int, at: int, score: Column) -> Column:
+    """A candidate driver: feature ``at`` (from 1) with its score; ``k1`` (then ``ord``) is its sort key, so plain
+    ``sort_array`` ranks candidates. What a kept driver shows is looked up after the ranking."""
+    return F.struct(key.alias("k1"), F.lit(ord_).alias("ord"), F.lit(at).alias("at"), score.alias("score"))
 
 
 def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame | None = None,
@@ -177,10 +171,10 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     impact % of the kept scores, one sentence.
 
     The candidate list is bounded (8 rules, top N), so the ranking is
-    ``sort_array`` over structs keyed (-score, rule order) and the per-driver
-    work is spelled out per position. Fused into whole-stage code these
-    projections are methods too long for the JVM's compiler, so each long one
-    stands ``apart``.
+    ``sort_array`` over short structs keyed (-score, rule order); values,
+    messages and roundings are made for the kept drivers only, spelled out per
+    position. Fused into whole-stage code these projections are methods too
+    long for the JVM's compiler, so each long one stands ``apart``.
     """
     imap_q = importance_map(importance)
     cols = set(df.columns)
@@ -195,36 +189,34 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     rule_feats = [f for f, _, _ in RULES if f in cols]
     fb_feats = [f for f in order if f in cols] if imap is not None else []
     staged = {}
-    for f in dict.fromkeys(rule_feats + fb_feats):
+    feats = list(dict.fromkeys(rule_feats + fb_feats))
+    for f in feats:
         staged[f"_w_{f}"] = weight(f)
         staged[f"_in_{f}"] = feature_intensity(f, F.col(f))
     df = df.withColumns(_apart(staged))
-    feats = list(dict.fromkeys(rule_feats + fb_feats))
+    at = {f: i for i, f in enumerate(feats, 1)}
     df = df.withColumns(_apart({**{f"_rs_{f}": (F.col(f"_w_{f}") + F.lit(0.05)) * F.col(f"_in_{f}") + F.lit(rw)
                             for f, _, rw in RULES if f in cols},
                          **{f"_fs_{f}": F.col(f"_w_{f}") * F.greatest(F.col(f"_in_{f}"), F.lit(0.1))
-                            for f in fb_feats},
-                         **{f"_wr_{f}": weight(f, "w4") for f in feats},
-                         **{f"_inr_{f}": X.py_round(F.col(f"_in_{f}"), 3, bind=False) for f in feats},
-                         **{f"_msg_{f}": driver_message(f, F.col(f)) for f in feats}}))
+                            for f in fb_feats}}))
     cands, flags = [], []
     for i, (feat, trig, rw) in enumerate(RULES):
         if feat not in cols:
             continue
         sc = F.col(f"_rs_{feat}")
         hit = F.coalesce(trig(F.col(feat).cast("double")), F.lit(False))
-        cands.append(F.when(hit, _driver_struct(-sc, i, feat, sc)))
+        cands.append(F.when(hit, _candidate(-sc, i, at[feat], sc)))
         flags.append(hit.cast("int"))
     if cands:
         out = df.withColumns(_apart({"_ntrig": sum(flags[1:], flags[0]),
                                      "_cand": F.sort_array(F.array(*cands))}))  # nulls (untriggered) first
         top_trig = F.slice(F.col("_cand"), F.lit(len(cands)) - F.col("_ntrig") + 1, F.lit(top_n))
     else:
-        out = df.withColumns({"_cand": F.array().cast(f"array<{_DRIVER_TYPE}>"), "_ntrig": F.lit(0)})
+        out = df.withColumns({"_cand": F.array().cast(f"array<{_CANDIDATE_TYPE}>"), "_ntrig": F.lit(0)})
         top_trig = F.col("_cand")
 
     if imap is not None:
-        fb = [_driver_struct(-F.col(f"_w_{f}"), 100 + i, f, F.col(f"_fs_{f}"))
+        fb = [_candidate(-F.col(f"_w_{f}"), 100 + i, at[f], F.col(f"_fs_{f}"))
               for i, f in enumerate(order) if f in cols]
         # the top importances (ties: table order), then re-keyed by score
         out = out.withColumns(_apart({"_nimp": F.size(F.map_keys(imap)),
@@ -243,23 +235,38 @@ def explain(df: DataFrame, risk_col: str = "risk_level", importance: DataFrame |
     for j in pos:  # Python's sum order over the ranked drivers
         total = total + F.coalesce(F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)), F.lit(0.0))
     out = out.withColumn("_tot", total)
-    out = out.withColumns({f"_i{j}": F.when(X.apart("_tot") > 0, X.py_round(
+
+    def shown(j: int, what: Callable[[str], Column]) -> Column:
+        """``what`` of the feature of driver ``j``."""
+        which = F.col(f"_d{j}.at")
+        return reduce(lambda case, f: case.when(which == at[f], what(f)), feats[1:], F.when(which == at[feats[0]], what(feats[0]))) \
+            if feats else F.lit(None)
+
+    def named(j: int, names: list[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), F.col(f"_d{j}.at")) if names else F.lit(None).cast("string")
+
+    out = out.withColumns({**{f"_i{j}": F.when((X.apart("_tot") if j == 1 else F.col("_tot")) > 0, X.py_round(
         (F.greatest(F.col(f"_d{j}.score"), F.lit(0.0)) / F.col("_tot")) * F.lit(100.0), 1, bind=False))
-        .otherwise(F.lit(0.0)) for j in pos})
+        .otherwise(F.lit(0.0)) for j in pos},
+        **{f"_m{j}": shown(j, lambda f: driver_message(f, F.col(f))).cast("string") for j in pos},
+        **{f"_x{j}": shown(j, lambda f: F.col(f"_in_{f}")).cast("double") for j in pos}})
     # _i<j> is already Python-rounded to 1 decimal: '%.1f' prints it verbatim, no second rounding needed
-    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, rounded=True, message=F.col(f"_d{j}.message"),
+    out = out.withColumns({f"_q{j}": T.render(C.QUANTIFIED_MESSAGE, rounded=True, digits=True, message=F.col(f"_m{j}"),
                                                impact=F.col(f"_i{j}")) for j in pos})
-    fields = ("feature", "label", "value", "importance", "feature_intensity", "score", "message")
     drivers = F.slice(F.array(*[
         F.when(F.col(f"_d{j}").isNotNull(), F.struct(
-            *[F.col(f"_d{j}.{f}").alias(f) for f in fields], F.col(f"_i{j}").alias("impact_pct"),
+            named(j, feats).alias("feature"), named(j, [C.FEATURE_LABELS.get(f, f) for f in feats]).alias("label"),
+            shown(j, lambda f: F.col(f).cast("double")).cast("double").alias("value"),
+            shown(j, lambda f: weight(f, "w4")).cast("double").alias("importance"),
+            X.py_round(F.col(f"_x{j}"), 3, bind=False).alias("feature_intensity"),
+            F.col(f"_d{j}.score").alias("score"), F.col(f"_m{j}").alias("message"), F.col(f"_i{j}").alias("impact_pct"),
             F.col(f"_q{j}").alias("quantified_message"))) for j in pos]), 1, F.size("_drv"))
     risk = F.lower(F.col(risk_col))
     summary = F.when(X.apart(F.size("_drv")) > 0, T.render(
         C.EXPLANATION_SUMMARY, risk=risk, drivers=F.array_join(F.array(*[F.col(f"_q{j}") for j in pos]), "; "))
     ).otherwise(T.render(C.EXPLANATION_NO_DRIVERS, risk=risk))
-    temp = ["_cand", "_ntrig", "_nimp", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "diq" for j in pos] \
-        + [c for c in out.columns if c.startswith(("_w_", "_in_", "_rs_", "_fs_", "_wr_", "_inr_", "_msg_"))]
+    temp = ["_cand", "_ntrig", "_nimp", "_fbw", "_drv", "_tot", "_imp"] + [f"_{p}{j}" for p in "dimqx" for j in pos] \
+        + [c for c in out.columns if c.startswith(("_w_", "_in_", "_rs_", "_fs_"))]
     return (out.withColumn("explanation", F.struct(summary.alias("summary"), drivers.alias("drivers"),
                                                    F.size("_drv").alias("n_drivers")))
             .drop(*[c for c in temp if c in out.columns]))

@@ -4,8 +4,8 @@ Stages (each distributed; the driver holds fitted parameters, <= 32-row
 sweeps and one-row summaries only):
 
 1. model frame (null drop, class guard), optional stratified cap;
-2. stratified 70/15/15 split, checkpointed (reused by every fit; the
-   checkpoint lives in the cluster's ``spark.checkpoint.dir`` so a lost
+2. stratified 70/15/15 split, stored (a folder for each part; reused by every
+   fit; it lives in the cluster's ``spark.checkpoint.dir`` so a lost
    executor does not recompute the lineage);
 3. scaler fitted on train; class weights;
 4. per candidate: fit on train, sweep thresholds on validation, pick the
@@ -16,6 +16,7 @@ sweeps and one-row summaries only):
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -50,9 +51,12 @@ class TrainingResult:
         return self.models[self.best_model_name]
 
 
-def _lineage_cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _lineage_cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet under the cluster's checkpoint folder and read again: later passes read the columns they use
+    and, with ``by``, the folders of its values they ask for."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/casekit-cut/{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def prepare_split(cases: DataFrame, max_rows: int | None = None, seed: int = C.RANDOM_STATE) -> DataFrame:
@@ -60,7 +64,7 @@ def prepare_split(cases: DataFrame, max_rows: int | None = None, seed: int = C.R
     S.require_two_classes(ml)
     if max_rows is not None:
         ml = S.stratified_sample(ml, max_rows, seed=seed)
-    return _lineage_cut(S.split_assign(ml, seed=seed))
+    return _lineage_cut(S.split_assign(ml, seed=seed), "split")
 
 
 def train_candidates(split: DataFrame, settings: M.ModelSettings | None = None, balanced: bool = True,

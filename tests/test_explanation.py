@@ -37,3 +37,25 @@ def test_a_column_apart_is_the_column(spark):
                                F.struct("id").alias("t"))
     out = df.select(*[X.apart(c).alias(c) for c in df.columns])
     assert out.dtypes == df.dtypes and out.collect() == df.collect()
+
+
+def test_messages_are_made_after_the_ranking(spark):
+    """No number is formatted for a driver that is not kept."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        imp = spark.createDataFrame([("age", 0.7, "t"), ("sex_code", 0.3, "t")], "feature string, importance double, source string")
+        plan = S.explain(S.proxy_scorer(table(spark)).withColumn("risk_level", F.lit("High")), importance=imp)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    before_ranking = plan[plan.index(" AS _cand"):]  # a plan's inputs follow it
+    assert "format_string" in plan and "format_string" not in before_ranking
+
+
+def test_numbers_by_their_digits_read_as_python_prints_them(spark):
+    values = [0.0, -0.0, 0.04, 0.05, 0.25, 0.5, 0.96, 1.0, 1.05, 1.5, 2.5, 9.95, 16.65, 99.95, 100.0, 1e6 + 0.15, 123456789.25, 2.0 ** 53, 1e12, 1e15, -1.25, -7.5, None]
+    rows = spark.createDataFrame([(v,) for v in values + [k / 20 for k in range(2100)]], "v double").select(
+        "v", *[X.fmt_fixed("v", d, bind=b, digits_only=True).alias(f"d{d}{int(b)}") for d in (0, 1, 3) for b in (True, False)]).collect()
+    for r in rows:
+        for d in (0, 1, 3):
+            want = None if r.v is None else f"{r.v:.{d}f}"
+            assert r[f"d{d}0"] == r[f"d{d}1"] == want, (r.v, d)
